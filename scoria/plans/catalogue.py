@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoria.plans import nested
+from scoria.plans import nested, records, texts
 
-MODULES = (nested,)
+MODULES = (texts, records, nested)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.p5_found(spark, sf_dir)
+    return texts.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

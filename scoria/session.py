@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +34,25 @@ def local_session(cores: str = "8", app: str = "scoria", **conf: str) -> SparkSe
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package's source to the workers, once per application, so that it need not be installed on them."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(spark.sparkContext.applicationId)
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="scoria-source-")) / "scoria_source.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -65,8 +84,8 @@ def skew_join(rows: DataFrame, dim: DataFrame, key: str, weight: str, salt_by: s
     other side only their dim rows are repeated. The piece is a hash of the column ``salt_by`` of ``rows``, so a task that
     runs again puts each row where it was. Inner join; all columns of ``rows`` and of ``dim``, ``key`` once.
     """
-    total = dim.agg((F.sum(weight) * HOT_SHARE).alias("__limit"))
-    hot = dim.select(key, weight).crossJoin(F.broadcast(total)).filter(F.col(weight) > F.col("__limit")).select(key, F.lit(True).alias("__hot"))
+    limit = dim.agg(F.sum(weight) * HOT_SHARE).scalar()
+    hot = dim.filter(F.col(weight) > limit).select(key, F.lit(True).alias("__hot"))
     spread = F.when(F.col("__hot"), F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     left = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", spread).drop("__hot")
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
