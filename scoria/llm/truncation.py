@@ -137,7 +137,8 @@ def truncated_values(df: DataFrame, id_col: str = "seq") -> DataFrame:
     A field's text ends with its last non-blank element; null, empty and blank-only fields are not cut. Records and cut
     texts are joined by 128 bits of the text's digest; a text that many records share is spread over SALTS pieces.
     """
-    cut = cut_texts(element_texts(df))
+    # distinct texts are written first: else the optimiser infers a filter from the splitting and runs it on every copy
+    cut = cut_texts(cut_lineage(element_texts(df)))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     marked = cut.select(F.md5("text").alias("digest"), salts)
     rows = last_texts(df, id_col).select("id", "source", "field", F.md5("text").alias("digest"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
