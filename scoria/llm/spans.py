@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters of a gram; must be below min_chars. Longer grams are shared by chance less often, shorter ones give fewer windows.
-GRAM = 64
+GRAM = 80
 #: Characters of all texts that are worked on at once.
 BLOCK = 4_000_000
 #: Texts that a task remembers as done.
@@ -253,4 +253,4 @@ def shared_parts(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text:
 
 def _gram(min_chars: int) -> int:
     """Grams well below the length of a passage, so that windows stay few, and at most GRAM."""
-    return max(1, min(GRAM, min_chars // 2))
+    return max(1, min(GRAM, min_chars * 8 // 15))
