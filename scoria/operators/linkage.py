@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from scoria.functions.similarity import indel_ratio, token_sort_ratio
 from scoria.functions.text import composite_key, normalize_name
+from scoria.session import cut_lineage
 
 #: Score of a wildcard part, least likeness of names, least token-sort likeness.
 WILDCARD_SCORE, LEAST_LIKENESS, LEAST_TOKEN_SORT = 0.3, 0.85, 0.85
@@ -173,13 +174,15 @@ def link(extraction: DataFrame, baseline: DataFrame, scanner: str | None = None,
     e, b = with_keys(extraction, scanner, ports), with_keys(baseline, scanner, ports)
     if not allow_duplicates:
         b = dedup_baseline(b)
-    resolved = resolve(e, b)
+    # several steps read what follows: both sides are cut to their narrow columns
+    b = cut_lineage(b.select("seq", "key", "name_norm", "port", "protocol"))
+    resolved = cut_lineage(resolve(e.select("seq", "key", "name_norm", "port", "protocol"), b))
     by_key = assign_by_key(resolved, b)
     used = by_key.filter("base_seq IS NOT NULL").select("base_seq")
     free = b.join(used, b["seq"] == used["base_seq"], "left_anti").select(F.col("name_norm").alias("name"), "port", "protocol", F.col("seq").alias("base_seq"))
     rest = resolved.filter("match_key IS NULL AND match_name IS NOT NULL").select(F.col("match_name").alias("name"), "port", "protocol", F.col("seq").alias("ext_seq"))
     by_name = assign_fallback(rest, free)
-    assigned = by_key.unionByName(by_name)
+    assigned = cut_lineage(by_key.unionByName(by_name))
     status = F.when(F.col("r.status") == "UNMATCHED", "UNMATCHED").when(F.col("a.base_seq").isNull(), "UNMATCHED_EXCESS").otherwise(F.col("r.status"))
     rows = resolved.alias("r").join(assigned.alias("a"), F.col("r.seq") == F.col("a.ext_seq"), "left").select(F.col("r.seq").alias("ext_seq"), "a.base_seq", status.alias("status"))
     absent = b.select(F.col("seq").alias("base_seq")).join(assigned.filter("base_seq IS NOT NULL").select("base_seq"), "base_seq", "left_anti")

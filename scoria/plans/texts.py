@@ -205,7 +205,7 @@ def oracle_sql() -> dict[str, str]:
           f AS (SELECT report, upper(severity) AS severity, port, protocol, unnest(regexp_extract_all(text, '(?m)^\s*NVT:[ \t]*([^\n]*)', 1)) AS name FROM blk)
           SELECT report, severity, count(*) AS findings FROM (SELECT DISTINCT report, severity, port, protocol, {norm_name_sql('name')} AS name FROM f) GROUP BY report, severity""",
         "line_explode_filter": rf"SELECT doc_id, count(*) AS n_lines, sum(length(line)) AS n_chars FROM {lines_sql()} WHERE NOT regexp_matches(line, '(?i)^\s*Page\s+\d+\s+of\s+\d+') AND length({strip_sql('line')}) > 0 GROUP BY doc_id",
-        "layout_clean": rf"SELECT doc_id, md5(regexp_replace(regexp_replace(translate(replace(regexp_replace(replace(text, chr(9), '    '), '\(cid:\d+\)', '', 'g'), '→', '->'), '’“”', '''""'), ' {{2,}}', ' ', 'g'), '{WS}+$', '', 'g')) AS clean_md5 FROM documents",
+        "layout_clean": rf"SELECT doc_id, md5(regexp_replace(regexp_replace(translate(replace(regexp_replace(replace(text, chr(9), '    '), '\(cid:\d+\)', '', 'g'), '→', '->'), '’“”', chr(39) || chr(34) || chr(34)), ' {{2,}}', ' ', 'g'), '{WS}+$', '', 'g')) AS clean_md5 FROM documents",
         "name_normalize": f"SELECT {norm_name_sql('Name')} AS name_norm, count(*) AS n FROM records GROUP BY 1",
         "field_normalize": rf"SELECT seq, md5(coalesce({norm_text_sql(f'''array_to_string(list_filter(list_transform(description, lambda x: {strip_sql('x')}), lambda x: lower(x) NOT IN ('', 'none', 'null')), '. ')''')}, '')) AS text_md5 FROM records",
         "composite_keys": f"SELECT {norm_name_sql('Name')} || '|' || {norm_port_sql('port')} || '|' || {wild_sql('protocol')} AS openvas_key, {norm_name_sql('Name')} || '|' || {wild_sql('severity')} || '|' || {wild_sql('plugin', False)} AS tenable_key, count(*) AS n FROM records GROUP BY 1, 2",
