@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoria.functions.text import clean_layout, is_footer, nfkc, page_or_placeholder
+from scoria.functions.text import WS, clean_layout, is_footer, nfkc, page_or_placeholder
 from scoria.profiles import PLUGIN_HEADER
 
 #: Marks of page breaks, and the headings at which a carried-over passage ends.
@@ -149,7 +149,7 @@ def split_summary(docs: DataFrame, scanner: str) -> DataFrame:
         # the head without its last export line and what follows: what a greedy match leaves of it
         above = F.length(F.regexp_extract(head, rf"(?s)^(.*\n)?[^\n]*{re.escape(EXPORT_MARK)}", 1))
         cut = F.coalesce(F.when(head.contains(EXPORT_MARK), above).otherwise(first), F.lit(0))
-        summary = F.rtrim(F.substring(text, F.lit(1), cut))
+        summary = F.regexp_replace(F.substring(text, F.lit(1), cut), f"{WS}+$", "")
         body = F.substring(text, cut + 1, F.length(text))
         body = F.when(first.isNotNull(), F.regexp_replace(body, re.escape(EXPORT_MARK) + r"[^\n]*", "")).otherwise(body)
     else:

@@ -50,7 +50,7 @@ def write_tsv(df: DataFrame, path: str) -> None:
 def metadata(df: DataFrame, converter: str) -> DataFrame:
     """The sidecar of an export: ``item``, ``value``: date, total, converter, and the count of each severity."""
     spark = df.sparkSession
-    head = spark.range(1).select(F.explode(F.array(F.struct(F.lit("generated").alias("item"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("value")), F.struct(F.lit("converter"), F.lit(converter)))).alias("m")).select("m.*")
+    head = spark.range(1).select(F.explode(F.array(F.struct(F.lit("generated").alias("item"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("value")), F.struct(F.lit("converter").alias("item"), F.lit(converter).alias("value")))).alias("m")).select("m.*")
     total = df.agg(F.lit("total").alias("item"), F.count(F.lit(1)).cast("string").alias("value"))
     severities = severity_counts(df).select(F.concat(F.lit("severity "), "severity").alias("item"), F.col("n").cast("string").alias("value"))
     return head.unionByName(total).unionByName(severities)
