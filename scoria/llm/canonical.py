@@ -15,10 +15,10 @@ PART = "\u0001"
 def canonical_words(value: Column) -> Column:
     """The words of a value in order, in one letter case, one space apart; '' for null and for values without words.
 
-    Case goes up and down again, so that letters with more than one small form meet (long s, final sigma, sharp s).
+    Case goes up and down again, so that letters with more than one small form meet (long s, final sigma); sharp s is ss.
     """
     spaced = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), SEPARATORS, " ")
-    return F.trim(F.lower(F.upper(spaced)))
+    return F.replace(F.trim(F.lower(F.upper(spaced))), F.lit("ß"), F.lit("ss"))
 
 
 def canonical_key(*values: Column) -> Column:
