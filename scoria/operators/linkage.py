@@ -64,8 +64,9 @@ def wildcard_matches(extraction: DataFrame, baseline: DataFrame) -> DataFrame:
     Joined on the number of parts and the first part; keys that begin with * are joined on the number of parts alone - on
     their few distinct keys only.
     """
-    e = extraction.select(F.col("key").alias("ext_key")).distinct().withColumn("ep", _parts(F.col("ext_key"))).withColumn("n", F.size("ep")).withColumn("head", F.get("ep", F.lit(0)))
-    b = baseline.groupBy(F.col("key").alias("base_key")).agg(F.min("seq").alias("base_seq")).withColumn("bp", _parts(F.col("base_key"))).withColumn("n", F.size("bp")).withColumn("head", F.get("bp", F.lit(0)))
+    # distinct keys, read by three joins
+    e = cut_lineage(extraction.select(F.col("key").alias("ext_key")).distinct()).withColumn("ep", _parts(F.col("ext_key"))).withColumn("n", F.size("ep")).withColumn("head", F.get("ep", F.lit(0)))
+    b = cut_lineage(baseline.groupBy(F.col("key").alias("base_key")).agg(F.min("seq").alias("base_seq"))).withColumn("bp", _parts(F.col("base_key"))).withColumn("n", F.size("bp")).withColumn("head", F.get("bp", F.lit(0)))
     agree = F.forall(F.zip_with("ep", "bp", lambda x, y: (x == y) | (x == "*") | (y == "*")), lambda x: x)
     out = ["ext_key", "base_key", "base_seq", parts_score(F.col("ep"), F.col("bp")).alias("score")]
     same = e.join(b, ["n", "head"]).filter(agree).select(*out)
@@ -83,9 +84,10 @@ def best_wildcard(extraction: DataFrame, baseline: DataFrame) -> DataFrame:
 def fuzzy_names(names: DataFrame, candidates: DataFrame, least: float = LEAST_LIKENESS, block: str | None = None, likeness: Callable[[Column, Column], Column] = indel_ratio) -> DataFrame:
     """Per name (``name``) the most alike candidate (``candidate``, ``rank``): ``name``, ``candidate``, ``score``; ties to the lower rank.
 
-    With ``block``, pairs are made within a block only. Without, candidates share a piece of text: two names as alike as
-    ``least`` differ by at most (1 - least) / least * 2 of the candidate's length in edits, so of one piece more than that
-    one stands unchanged in the name. Pieces are joined by equality; both sides are distinct names.
+    With ``block``, pairs are made within a block only. Without, a pair must share a piece of text: as alike as ``least``,
+    two names differ by at most (1 - least) of their joint length in edits, which is at most twice that part of the longer
+    name's; of one piece of the longer name more than that, one stands unchanged in the other. Pieces are joined by
+    equality; both sides are distinct names.
     """
     by = [block] if block else []
     a = names.select("name", *by).distinct()
@@ -96,15 +98,27 @@ def fuzzy_names(names: DataFrame, candidates: DataFrame, least: float = LEAST_LI
     if block:
         pairs = a.join(b, by).filter(near)
     else:
-        # a shared part is certain for any split into more pieces than there may be edits: pieces of the candidate
-        edits = F.floor((1 - least) / least * 2 * lb).cast("int") + 1
-        size = F.greatest(F.floor(lb / (edits + 1)), F.lit(1)).cast("int")
-        starts = F.when(lb > 0, F.transform(F.sequence(F.lit(0), edits), lambda i: i * size))
-        pieces = b.withColumn("__size", size).select("candidate", "rank", "__size", F.explode(F.transform(starts, lambda s: F.substring(F.col("candidate"), s + 1, F.col("__size")))).alias("__gram")).filter("__gram <> ''").distinct()
-        longest = max(1, int(least / (2 * (1 - least)))) if least < 1 else 1 << 16
-        grams = a.select("name", F.explode(F.sequence(F.lit(1), F.least(F.length("name"), F.lit(longest)))).alias("__size")).filter("name <> ''")
-        grams = grams.select("name", "__size", F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("__size") + 1), lambda s: F.substring(F.col("name"), s, F.col("__size")))).alias("__gram")).distinct()
-        pairs = grams.join(pieces, ["__size", "__gram"]).select("name", "candidate", "rank").distinct().filter(near)
+        longest = max(1, int(1 / (2 * (1 - least)))) if least < 1 else 1 << 16
+
+        def pieces(df: DataFrame, col: str) -> DataFrame:
+            """Disjoint pieces, one more than there may be edits."""
+            n = F.length(col)
+            edits = F.floor(2 * (1 - least) * n + 1e-9).cast("int")
+            size = F.least(F.greatest(F.floor(n / (edits + 1)), F.lit(1)), F.lit(longest)).cast("int")
+            cut = F.transform(F.sequence(F.lit(0), edits), lambda i: F.substring(F.col(col), i * size + 1, size))
+            return df.select(*df.columns, size.alias("__size"), F.explode(cut).alias("__gram")).filter(F.length("__gram") == F.col("__size")).distinct()
+
+        def grams(df: DataFrame, col: str) -> DataFrame:
+            """All substrings of the sizes that pieces have."""
+            sized = df.select(*df.columns, F.explode(F.sequence(F.lit(1), F.least(F.length(col), F.lit(longest)))).alias("__size")).filter(F.length(col) >= F.col("__size"))
+            every = F.transform(F.sequence(F.lit(1), F.length(col) - F.col("__size") + 1), lambda i: F.substring(F.col(col), i, F.col("__size")))
+            return sized.select(*df.columns, "__size", F.explode(every).alias("__gram")).distinct()
+
+        a, b = a.filter("name <> ''"), b.filter("candidate <> ''")
+        joint = ["__size", "__gram"]
+        longer_candidate = grams(a, "name").join(pieces(b, "candidate"), joint).filter(la <= lb)
+        longer_name = pieces(a, "name").join(grams(b, "candidate"), joint).filter(la > lb)
+        pairs = longer_candidate.unionByName(longer_name).filter(near).select("name", "candidate", "rank").distinct()
     scored = pairs.withColumn("score", likeness(F.col("name"), F.col("candidate"))).filter(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("name", *by).orderBy(F.desc("score"), "rank"))
     return scored.withColumn("__r", rank).filter("__r = 1").select("name", "candidate", *by, "score")

@@ -84,6 +84,7 @@ def skew_join(rows: DataFrame, dim: DataFrame, key: str, weight: str, salt_by: s
     other side only their dim rows are repeated. The piece is a hash of the column ``salt_by`` of ``rows``, so a task that
     runs again puts each row where it was. Inner join; all columns of ``rows`` and of ``dim``, ``key`` once.
     """
+    dim = cut_lineage(dim)  # read three times below
     limit = dim.agg(F.sum(weight) * HOT_SHARE).scalar()
     hot = dim.filter(F.col(weight) > limit).select(key, F.lit(True).alias("__hot"))
     spread = F.when(F.col("__hot"), F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
