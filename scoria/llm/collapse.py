@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoria.llm.canonical import canonical_key
-from scoria.session import skew_join
+from scoria.session import cut_lineage, skew_join
 
 KEY_FIELDS = ("Name", "port", "protocol")
 
@@ -41,7 +41,7 @@ def collapse_formatting(df: DataFrame, raw: str = "raw", id_col: str = "raw_id",
     are left alone.
     """
     distinct = df.groupBy(F.col(raw).alias("__raw")).agg(F.count(F.lit(1)).alias("copies"), F.min(id_col).alias("first_id"))
-    keyed = distinct.withColumn("key", canonical_json_key(F.col("__raw"), fields))
+    keyed = cut_lineage(distinct.withColumn("key", canonical_json_key(F.col("__raw"), fields)))
     groups = keyed.groupBy("key").agg(F.min("first_id").alias("group_first"), F.sum("copies").alias("group_copies"), F.count(F.lit(1)).alias("spellings"))
     # a group has at most as many survivors as it has spellings: the join is spread by their number
     survivors = skew_join(keyed, groups.withColumnRenamed("spellings", "__spellings"), "key", "__spellings", "first_id").drop("__spellings")
