@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoria.functions.text import base_name, instance_count, is_filled, severity_rank, stripped
@@ -110,10 +110,8 @@ def base_and_instances(df: DataFrame) -> DataFrame:
 
 def first_seen(df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): the first row of each key; rows with a null key are removed."""
-    rank = F.row_number().over(Window.partitionBy("__key").orderBy("seq"))
-    ranked = df.withColumn("__key", key).withColumn("__rank", rank)
-    keep = F.col("__key").isNotNull() & (F.col("__rank") == 1)
-    return ranked.filter(keep).drop("__key", "__rank"), ranked.filter(~keep).drop("__key", "__rank")
+    first = df.select(key.alias("__key"), "seq").filter("__key IS NOT NULL").groupBy("__key").agg(F.min("seq").alias("seq")).select("seq")
+    return df.join(first, "seq", "left_semi"), df.join(first, "seq", "left_anti")
 
 
 Strategy = Callable[[DataFrame], DataFrame]

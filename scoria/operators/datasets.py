@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoria.functions.text import first_cve, port_protocol, severity_case
 from scoria.schemas import DATASET_FIELDS
+from scoria.session import place_within
 
 #: Fixed value: columns that stand first in a CSV header.
 FIRST_COLUMNS = ("Name", "severity", "port", "protocol", "description", "solution", "references", "source")
@@ -24,17 +25,9 @@ def stringified(c: Column, kind: str, sep: str = ";") -> Column:
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
-    """Adds 1, 2, 3 ... in a total order, without bringing all rows to one task: rows are range-partitioned, and each partition begins after those before it.
-
-    ``order`` must be total for the numbers to be definite.
-    """
+    """Adds 1, 2, 3 ... in a total order, without bringing all rows to one task."""
     keys = [f"__o{i}" for i in range(len(order))]
-    ranged = df.select("*", *(o.alias(k) for o, k in zip(order, keys))).repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(*keys))
-    local = ranged.withColumn("__n", within)
-    # one row per partition
-    before = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__c")).withColumn("__before", F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).drop("__c")
-    return local.join(F.broadcast(before), "__p").withColumn(name, F.col("__n") + F.col("__before")).drop("__p", "__n", "__before", *keys)
+    return place_within(df.select("*", *(o.alias(k) for o, k in zip(order, keys))), [], keys, name).drop(*keys)
 
 
 def dataset(records: DataFrame, sep: str = ";") -> DataFrame:

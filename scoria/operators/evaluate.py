@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scoria.functions.similarity import field_score, rouge_l
 from scoria.functions.text import normalize_list, normalize_text
+from scoria.session import cut_lineage
 
 #: Bands of the mean score (strictly above), highest first.
 BANDS = (("Highly Similar", 0.7), ("Moderately Similar", 0.6), ("Slightly Similar", 0.4))
@@ -53,16 +54,36 @@ def categorize(links: DataFrame, scores: DataFrame, inventions: bool = True) ->
     return out if inventions else out.filter("category <> 'Non-existent'")
 
 
-def column_stats(long: DataFrame, name: str = "field", value: str = "score") -> DataFrame:
-    """Per column ``matched``, ``avg_v``, ``std_v`` (sample; null for one row), ``min_v``, ``max_v``, ``median_v``."""
-    return long.groupBy(name).agg(
-        F.count(value).alias("matched"),
-        F.avg(value).alias("avg_v"),
-        F.stddev_samp(value).alias("std_v"),
-        F.min(value).alias("min_v"),
-        F.max(value).alias("max_v"),
-        F.percentile(value, F.lit(0.5)).alias("median_v"),
+def column_stats(long: DataFrame, name: str = "field", value: str = "score", accuracy: int = 2000) -> DataFrame:
+    """Per column ``matched``, ``avg_v``, ``std_v`` (sample; null for one row), ``min_v``, ``max_v``, ``median_v`` (exact).
+
+    The median is found in two passes, so that no task holds a column's values: approximate quantiles give a narrow bracket
+    around the middle, and only distinct values within it are counted in order.
+    """
+    half = 4.0 / accuracy
+    edges = F.percentile_approx(value, F.array(F.lit(max(0.0, 0.5 - half)), F.lit(min(1.0, 0.5 + half))), accuracy)
+    stats = cut_lineage(
+        long.groupBy(name).agg(
+            F.count(value).alias("matched"),
+            F.avg(value).alias("avg_v"),
+            F.stddev_samp(value).alias("std_v"),
+            F.min(value).alias("min_v"),
+            F.max(value).alias("max_v"),
+            edges.alias("__edges"),
+        )
     )
+    # one row per column
+    bounds = stats.select(F.col(name).alias("__name"), F.col("matched").alias("__all"), F.col("__edges")[0].alias("__lo"), F.col("__edges")[1].alias("__hi"))
+    seen = long.filter(F.col(value).isNotNull()).select(F.col(name).alias("__name"), F.col(value).alias("__v"))
+    # values below the bracket count as one value under it, those above are left out of the running count
+    narrow = seen.join(bounds, "__name").filter(F.col("__v") <= F.col("__hi")).withColumn("__v", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")))
+    counted = narrow.groupBy("__name", "__all", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy("__name").orderBy(F.asc_nulls_first("__v")))
+    ranked = counted.withColumn("__upto", upto)
+    lower, upper = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1
+    medians = ranked.groupBy("__name").agg(((F.min(F.when(F.col("__upto") >= lower, F.col("__v"))) + F.min(F.when(F.col("__upto") >= upper, F.col("__v")))) / 2).alias("median_v"))
+    out = stats.join(medians, F.col(name).eqNullSafe(F.col("__name")), "left")
+    return out.select(name, "matched", "avg_v", "std_v", "min_v", "max_v", "median_v")
 
 
 def run_summary(links: DataFrame, categories: DataFrame, stats: DataFrame, description: str = "description") -> DataFrame:
@@ -70,7 +91,8 @@ def run_summary(links: DataFrame, categories: DataFrame, stats: DataFrame, descr
     counts = categories.agg(*(F.count_if(F.col("category") == c).alias(c.lower().replace(" ", "_").replace("-", "_")) for c in (*(b for b, _ in BANDS), LOWEST_BAND, "Non-existent", "Absent")))
     totals = links.agg(F.count("ext_seq").alias("total"), F.count_if(F.col("ext_seq").isNotNull() & F.col("base_seq").isNotNull()).alias("matched"))
     means = stats.agg(F.avg("avg_v").alias("overall_mean"), F.max(F.when(F.col("field") == description, F.col("avg_v"))).alias("description_mean"))
-    return totals.join(counts).join(means)
+    rows = totals.unionByName(counts, True).unionByName(means, True)
+    return rows.agg(*(F.max(c).alias(c) for c in rows.columns))
 
 
 def multiset_counts(found: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
@@ -134,7 +156,8 @@ def spread_by_run(counts: DataFrame, groups: list[str], values: list[str]) -> Da
 def mean_and_spread(rates: DataFrame, models: DataFrame, group: str, value: str) -> DataFrame:
     """Mean and deviation of ``value`` per (group, llm), with a row of zeros for models that a group has no runs of."""
     stats = rates.groupBy(group, "llm").agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    frame = rates.select(group).distinct().join(models.select("llm").distinct())
+    every = models.agg(F.collect_set("llm")).scalar()  # a handful of models
+    frame = rates.select(group).distinct().select(group, F.explode(every).alias("llm"))
     return frame.join(stats, [group, "llm"], "left").fillna(0.0, ["mean", "std"])
 
 

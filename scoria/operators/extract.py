@@ -200,8 +200,9 @@ def inherit_header(records: DataFrame, blocks: DataFrame, forced_block: int | No
 def complete_pairs(records: DataFrame, plugin: str = "plugin") -> DataFrame:
     """Only records whose base name and plugin have both a base and an instances record; bases first."""
     kinds = records.withColumn("base_name", base_name(F.col("Name"))).withColumn("is_instances", instance_count(F.col("Name")) > 0)
-    both = F.size(F.collect_set("is_instances").over(Window.partitionBy("base_name", plugin))) == 2
-    return kinds.withColumn("__both", both).filter("__both").drop("__both")
+    both = kinds.groupBy("base_name", F.col(plugin).alias("__plugin")).agg(F.bool_or("is_instances").alias("i"), F.bool_or(~F.col("is_instances")).alias("b")).filter("i AND b")
+    k, m = kinds.alias("k"), both.alias("m")
+    return k.join(m, (F.col("k.base_name") == F.col("m.base_name")) & F.col(f"k.{plugin}").eqNullSafe(F.col("m.__plugin")), "left_semi")
 
 
 def url_port(url: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scoria.functions.similarity import indel_ratio, token_sort_ratio
 from scoria.functions.text import composite_key, normalize_name
-from scoria.session import cut_lineage
+from scoria.session import cut_lineage, place_within
 
 #: Score of a wildcard part, least likeness of names, least token-sort likeness.
 WILDCARD_SCORE, LEAST_LIKENESS, LEAST_TOKEN_SORT = 0.3, 0.85, 0.85
@@ -128,30 +128,30 @@ def resolve(extraction: DataFrame, baseline: DataFrame, least: float = LEAST_LIK
     """Each extraction row with its match: adds ``match_key`` (from the key, else null), ``match_name``, ``match_score``, ``status``.
 
     In order: key (wildcards count), exact name, alike name, none. What one name resolves to holds for all its rows: the
-    last row's key decides. Exact names are looked up before likeness is computed for the rest.
+    last row's match decides (``match_name``); the key's match is each row's own. Exact names are looked up before likeness
+    is computed for the rest. ``match_score`` is the likeness of both names, 0 without a match.
     """
-    best = best_wildcard(extraction, baseline).withColumnRenamed("score", "key_score")
+    best = best_wildcard(extraction, baseline).select("ext_key", "base_key")
     names = baseline.groupBy("name_norm").agg(F.min("seq").alias("rank"))
     base_of_key = baseline.groupBy(F.col("key").alias("base_key")).agg(F.max_by("name_norm", "seq").alias("key_name"))
-    keyed = extraction.join(best.join(base_of_key, "base_key"), extraction["key"] == best["ext_key"], "left").drop("ext_key", "base_seq")
-    last = F.max_by("base_key", "seq").over(Window.partitionBy("name_norm"))
-    exact = names.select("name_norm", F.lit(True).alias("exact"))
-    keyed = keyed.withColumn("last_key", last).join(exact, "name_norm", "left")
-    rest = keyed.filter("base_key IS NULL AND exact IS NULL AND name_norm <> ''").select(F.col("name_norm").alias("name"))
-    alike = fuzzy_names(rest, names.select(F.col("name_norm").alias("name"), "rank"), least).withColumnRenamed("name", "__alike_name")
-    out = keyed.join(alike, keyed["name_norm"] == alike["__alike_name"], "left")
-    status = F.when(F.col("base_key").isNotNull(), "MATCHED_COMPOSITE").when(F.col("exact"), "MATCHED_NAME_ONLY").when(F.col("candidate").isNotNull(), "MATCHED_FUZZY").otherwise("UNMATCHED")
-    name = F.when(F.col("base_key").isNotNull(), F.col("key_name")).when(F.col("exact"), F.col("name_norm")).otherwise(F.col("candidate"))
-    kept = [c for c in extraction.columns]
-    return out.select(*kept, F.col("base_key").alias("match_key"), name.alias("match_name"), F.coalesce("key_score", F.when(F.col("exact"), 1.0), F.col("score"), F.lit(0.0)).alias("match_score"), status.alias("status"))
+    keyed = extraction.join(best.join(base_of_key, "base_key"), extraction["key"] == best["ext_key"], "left").drop("ext_key")
+    keyed = keyed.join(names.select("name_norm", F.lit(True).alias("exact")), "name_norm", "left")
+    rest = keyed.filter("exact IS NULL AND name_norm <> ''").select(F.col("name_norm").alias("name"))
+    alike = fuzzy_names(rest, names.select(F.col("name_norm").alias("name"), "rank"), least).select(F.col("name").alias("__alike_name"), "candidate")
+    own = keyed.join(alike, keyed["name_norm"] == alike["__alike_name"], "left").drop("__alike_name")
+    own = own.withColumn("own_name", F.when(F.col("base_key").isNotNull(), F.col("key_name")).when(F.col("exact"), F.col("name_norm")).otherwise(F.col("candidate")))
+    last = own.groupBy(F.col("name_norm").alias("__name")).agg(F.max_by("own_name", "seq").alias("match_name"))
+    scored = last.withColumn("match_score", F.coalesce(indel_ratio(F.col("__name"), F.col("match_name")), F.lit(0.0)))
+    out = own.join(scored, own["name_norm"] == scored["__name"], "left")
+    status = F.when(F.col("base_key").isNotNull(), "MATCHED_COMPOSITE").when(F.col("match_name").isNull(), "UNMATCHED").when(F.col("exact"), "MATCHED_NAME_ONLY").otherwise("MATCHED_FUZZY")
+    return out.select(*extraction.columns, F.col("base_key").alias("match_key"), "match_name", "match_score", status.alias("status"))
 
 
 def assign_by_key(extraction: DataFrame, baseline: DataFrame, left: str = "match_key", right: str = "key") -> DataFrame:
     """The k-th extraction row of a key with the k-th baseline row of that key: ``ext_seq``, ``base_seq`` (null: more rows than the baseline has)."""
     e = extraction.filter(F.col(left).isNotNull()).select(F.col(left).alias("k"), F.col("seq").alias("ext_seq"))
     b = baseline.select(F.col(right).alias("k"), F.col("seq").alias("base_seq"))
-    e = e.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("ext_seq")))
-    b = b.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("base_seq")))
+    e, b = place_within(e, ["k"], ["ext_seq"], "n"), place_within(b, ["k"], ["base_seq"], "n")
     return e.join(b, ["k", "n"], "left").select("ext_seq", "base_seq")
 
 
@@ -189,8 +189,8 @@ def link(extraction: DataFrame, baseline: DataFrame, scanner: str | None = None,
     if not allow_duplicates:
         b = dedup_baseline(b)
     # several steps read what follows: both sides are cut to their narrow columns
-    b = cut_lineage(b.select("seq", "key", "name_norm", "port", "protocol"))
-    resolved = cut_lineage(resolve(e.select("seq", "key", "name_norm", "port", "protocol"), b))
+    e, b = (cut_lineage(x.select("seq", "key", "name_norm", "port", "protocol")) for x in (e, b))
+    resolved = cut_lineage(resolve(e, b))
     by_key = assign_by_key(resolved, b)
     used = by_key.filter("base_seq IS NOT NULL").select("base_seq")
     free = b.join(used, b["seq"] == used["base_seq"], "left_anti").select(F.col("name_norm").alias("name"), "port", "protocol", F.col("seq").alias("base_seq"))

@@ -14,7 +14,8 @@ from scoria.operators import datasets, evaluate, extract, linkage, validate
 from scoria.plans.texts import norm_name_sql, norm_port_sql, strip_sql, wild_sql
 from scoria.profiles import PROFILES
 from scoria.schemas import SEVERITY_ORDER
-from scoria.session import table
+from scoria.session import cut_lineage, table
+from scoria.sources import writers
 from scoria.streaming import streams
 
 #: The flat columns that oracles can list without the nested ones.
@@ -242,6 +243,20 @@ def link_field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.column_stats(scores)
 
 
+def link_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row over a linked extraction: totals, categories, means."""
+    links, e, b = _linked(spark, sf_dir)
+    scores = cut_lineage(evaluate.field_scores(links, e, b, ["description", "solution", "severity", "references"]))
+    stats = evaluate.column_stats(scores.filter("base_seq IS NOT NULL"))
+    return evaluate.run_summary(links, evaluate.categorize(links, scores), stats)
+
+
+def removed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without a description that says anything."""
+    _, removed = validate.with_description(_records(spark, sf_dir))
+    return writers.removed_records(removed, n=20)
+
+
 def rouge_l_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First description line of each record against the report's next record: common words and ROUGE-L."""
     r = table(spark, sf_dir, "records").select("seq", "run_id", F.coalesce(F.get("description", F.lit(0)), F.lit("")).alias("x"))
@@ -408,7 +423,7 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     json_recover, answer_validation, retry_two_pass, rule_extraction, inherit_headers, token_ledger_totals, validated_records, asset_records, description_filter, integrity_sets, dedup_most_complete, dedup_composite,
     dedup_first_seen, merge_backfill, merge_groups, severity_max, base_instances_join, pair_completeness, url_ports, consolidation_report, merged_audit, by_source_consolidation, match_wildcard, match_exact, match_fuzzy,
-    match_fuzzy_names, match_token_sort, assign_one_to_one, anti_absent, link_models, link_scores, link_field_stats, rouge_l_pairs, score_bands, column_stats, multiset_prf, multiset_surplus, severity_pivot, source_pivot,
+    match_fuzzy_names, match_token_sort, assign_one_to_one, anti_absent, link_models, link_scores, link_field_stats, link_summary, removed_audit, rouge_l_pairs, score_bands, column_stats, multiset_prf, multiset_surplus, severity_pivot, source_pivot,
     heatmap, run_spread, run_mean_std, category_share, run_times, dataset_sort_id, export_cells, dataset_rows, severity_metadata, summary_lines, report_address, plan_resume, latest_ledger, model_of_file,
     first_existing_file, semantic_score, topk_per_group, stream_windows, stream_distinct,
 )
@@ -445,6 +460,7 @@ def oracle_sql() -> dict[str, str]:
         "validated_records": rf"SELECT CASE WHEN upper(severity) = 'INFO' THEN 'LOG' ELSE coalesce(severity, '') END AS severity, coalesce(source, '') AS source, count(*) AS n, sum(coalesce(len(description), 0)) AS texts FROM records WHERE {strip_sql('''coalesce(Name, '')''')} <> '' AND NOT regexp_matches({strip_sql('Name')}, '(?i)^\s*VULNERABILITY\s+(CRITICAL|HIGH|MEDIUM|LOW|INFO|LOG)\s+PLUGIN\s+ID\s+\d+') GROUP BY 1, 2",
         "asset_records": f"""SELECT seq, Name AS asset_name, TRY_CAST(port AS INT) AS port, coalesce(severity, '') AS severity, coalesce(len("references"), 0) AS n_references FROM records WHERE {strip_sql("coalesce(Name, '')")} <> ''""",
         "description_filter": f"WITH k AS (SELECT coalesce(len(list_filter(description, lambda x: length({strip_sql('x')}) > 0)), 0) > 0 AS ok FROM records) SELECT 'kept' AS stage, count(*) FILTER (ok) AS records FROM k UNION ALL SELECT 'removed', count(*) FILTER (NOT ok) FROM k",
+        "removed_audit": f"""SELECT 'description_filter' AS stage, seq, CASE WHEN length(Name) > 20 THEN Name[1:20] || '...' ELSE coalesce(Name, '') END AS name, severity, port FROM records WHERE coalesce(len(list_filter(description, lambda x: length({strip_sql('x')}) > 0)), 0) = 0""",
         "integrity_sets": """WITH f AS (SELECT DISTINCT report AS k FROM records WHERE report IS NOT NULL), m AS (SELECT container AS k, ip FROM inventory), b AS (SELECT DISTINCT ip FROM run_ledger JOIN inventory ON extractor = container WHERE ip IS NOT NULL)
           SELECT 'file without mapping' AS issue, k AS value FROM f WHERE k NOT IN (SELECT k FROM m) UNION ALL SELECT 'mapping without file', k FROM (SELECT DISTINCT k FROM m) WHERE k NOT IN (SELECT k FROM f) UNION ALL SELECT 'address not found', k FROM m WHERE ip IS NULL
           UNION ALL SELECT DISTINCT 'address not in baseline', ip FROM m WHERE ip IS NOT NULL AND ip NOT IN (SELECT ip FROM b) UNION ALL SELECT 'baseline address not mapped', ip FROM b WHERE ip NOT IN (SELECT ip FROM m WHERE ip IS NOT NULL)

@@ -11,6 +11,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoria.functions.text import clock, ellipsis
 from scoria.operators.datasets import header_order, or_placeholder, severity_counts, stringified
 
 
@@ -138,6 +139,48 @@ def accuracy_report(accuracy: DataFrame) -> str:
     return "".join(f"{k}: {r[k]:.4f}\n" if isinstance(r[k], float) else f"{k}: {r[k]}\n" for k in ("tp", "fp", "fn", "precision", "recall", "f1"))
 
 
+def removed_records(removed: DataFrame, stage: str = "description_filter", n: int = 100) -> DataFrame:
+    """Audit rows of records that a stage removed: ``stage``, ``seq``, ``name`` (cut to ``n`` characters), ``severity``, ``port``."""
+    return removed.select(F.lit(stage).alias("stage"), "seq", ellipsis(F.coalesce("Name", F.lit("")), n).alias("name"), "severity", "port")
+
+
+def consolidation_log(report: DataFrame, groups: DataFrame, most: int = 50) -> str:
+    """Text of a consolidation: records after each stage, and the ``most`` largest merged groups."""
+    stages = report.orderBy("stage_no").collect()
+    lines = ["CONSOLIDATION", *(f"{r.stage}: {r.records}" for r in stages), "", "LARGEST GROUPS"]
+    for r in groups.orderBy(F.desc("size"), "key").limit(most).collect():
+        lines.append(f"{r['size']} x {r.key or '(no name)'} (seq {r.first_seq} to {r.last_seq})")
+    return "\n".join(lines) + "\n"
+
+
+def difference_workbook(more: DataFrame, less: DataFrame, path: str) -> None:
+    """Two sheets: what stands too often and what is absent, from evaluate.surplus_and_deficit."""
+    write_xlsx({"non-existent": more, "absent": less}, path)
+
+
+def write_layout(summaries: DataFrame, path: str) -> None:
+    """Summaries as text files, with a header line before each document's."""
+    text = F.concat(F.lit("### "), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    summaries.filter("kind = 'summary'").select(text.alias("value")).write.mode("overwrite").text(path)
+
+
+def evaluation_workbook(scores: DataFrame, summary: DataFrame, categories: DataFrame, mapping: DataFrame, path: str) -> None:
+    """The four tables of an evaluation, as a folder of named tables."""
+    write_workbook({"Per_Vulnerability": scores, "Summary": summary, "Categorization": categories, "Mapping_Debug": mapping}, path)
+
+
+def final_report(times: DataFrame, tokens: DataFrame) -> str:
+    """Text of an experiment's runs, seconds and tokens per group; both tables have a row per group."""
+    lines = ["RUNS"]
+    total = 0.0
+    for r in times.select(*times.columns, clock(F.col("seconds")).alias("clock")).collect():
+        total += r.seconds or 0.0
+        lines.append(f"{r[0]}: {r.runs} runs, {r.clock}")
+    lines += [f"all: {total:.3f} s", "", "TOKENS"]
+    lines += [f"{r[0] or 'all'}: {r.tokens_input} in, {r.tokens_output} out, {r.calls} calls" for r in tokens.collect()]
+    return "\n".join(lines) + "\n"
+
+
 def append_ledger(spark: SparkSession, rows: list[dict], schema: str, path: str) -> None:
     """Adds rows to a run ledger; the latest row of a run counts when it is read."""
     spark.createDataFrame(rows, schema).write.mode("append").parquet(path)

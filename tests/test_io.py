@@ -70,3 +70,25 @@ def test_streams(spark, tmp_path):
     once = streams.distinct_findings(streams.text_stream(spark, str(tmp_path / "f"), found.schema))
     streams.run_once(once, str(tmp_path / "fo"), str(tmp_path / "fk"))
     assert spark.read.parquet(str(tmp_path / "fo")).count() == 2
+
+
+def test_reports(spark, tmp_path):
+    from scoria.operators import consolidate, evaluate
+
+    frame = spark.createDataFrame([("a", 1, "LOW", "1"), ("a", 2, "LOW", None), ("b" * 30, 3, None, None)], "Name string, seq bigint, severity string, port string")
+    text = writers.consolidation_log(consolidate.stage_counts(input=frame, final=frame.limit(1)), consolidate.merged_groups(frame, F.col("Name")))
+    assert "input: 3" in text and "2 x a (seq 1 to 2)" in text
+    assert writers.removed_records(frame, n=5).orderBy("seq").collect()[2].name == "bbbbb..."
+    times = spark.createDataFrame([("x", 2, 3661.5)], "base string, runs int, seconds double")
+    tokens = evaluate.token_totals(spark.createDataFrame([("m", 3, 4), ("m", 1, 1)], "llm string, tokens_input int, tokens_output int"))
+    report = writers.final_report(times, tokens)
+    assert "x: 2 runs, 01:01:01.500" in report and "all: 4 in, 5 out, 2 calls" in report
+    counts = evaluate.multiset_counts(frame.select("Name"), frame.select("Name").limit(1), ["Name"])
+    assert "precision" in writers.accuracy_report(evaluate.multiset_accuracy(counts))
+    more, less = evaluate.surplus_and_deficit(counts)
+    writers.difference_workbook(more, less, str(tmp_path / "d.xlsx"))
+    assert readers.read_workbook(spark, str(tmp_path), "absent", ["Name"]).count() == 0
+    writers.write_layout(spark.createDataFrame([("d", "summary", "toc"), ("d", "body", "x")], "doc_id string, kind string, text string"), str(tmp_path / "lay"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "lay")).collect()] == ["### d", "toc"]
+    writers.append_ledger(spark, [{"run_id": "r", "status": "ok"}], "run_id string, status string", str(tmp_path / "ledger"))
+    assert spark.read.parquet(str(tmp_path / "ledger")).count() == 1

@@ -229,3 +229,13 @@ def test_profiles(tmp_path, monkeypatch):
     p.write_text('{"model": "m", "max_completion_tokens": 7, "api_key": "${SOME_KEY}"}')
     m = load_model(str(p))
     assert (m.max_tokens, m.api_key) == (7, "v")
+
+
+def test_exact_median(spark):
+    rng = random.Random(7)
+    values = {"even": [rng.gauss(0, 5) for _ in range(5000)], "odd": [float(rng.randrange(3)) for _ in range(4001)], "two": [1.0, 4.0], "same": [2.0] * 50}
+    frame = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("odd", None)], "field string, score double")
+    got = {r.field: r.median_v for r in evaluate.column_stats(frame, accuracy=100).collect()}
+    from statistics import median
+
+    assert got == {k: median(v) for k, v in values.items()}
