@@ -67,10 +67,11 @@ def running_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - left], values[left:]) if left else values
 
 
-def compact_windows(texts: list[str], min_chars: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(texts: list[str], min_chars: int, gram: int = GRAM, ends_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, signature, c, first, last) of the compact windows of many texts.
 
     c: the token's place; first and last: where the runs of min_chars characters begin whose smallest token is c.
+    ends_only: of windows that repeat one token at equal distances only those at the ends, see _chain_ends.
     """
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
@@ -95,8 +96,33 @@ def compact_windows(texts: list[str], min_chars: int, gram: int = GRAM) -> tuple
     keep = inside[firsts]
     firsts, lasts = firsts[keep], lasts[keep]
     number, place = doc[firsts], at[firsts]
+    sig = hashes[place]
+    if ends_only:
+        number, sig, place, firsts, lasts = _chain_ends(number, sig, place, firsts, lasts, width, gram)
     begin = (ends - sizes)[number]
-    return number, hashes[place], place - begin, firsts - begin, lasts - begin
+    return number, sig, place - begin, firsts - begin, lasts - begin
+
+
+def _chain_ends(number: np.ndarray, sig: np.ndarray, place: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of windows of one gram that overlap at equal distances - a text that repeats itself, such as a ruled line - the two at either end.
+
+    Two texts that share a run within such parts also share one of that length where an end, or the next to it, of one lies
+    on an end, or the next to it, of the other. The windows kept stand for the chain: their intervals meet with any.
+    """
+    if len(place) < 2:
+        return number, sig, place, firsts, lasts
+    gap = np.diff(place)
+    link = (number[1:] == number[:-1]) & (sig[1:] == sig[:-1]) & (gap <= gram)
+    chained = np.zeros(len(place), bool)
+    chained[1:] |= link
+    chained[:-1] |= link
+    inner = np.zeros(len(place), bool)
+    if len(place) > 4:
+        steady = link[1:] & link[:-1] & (gap[1:] == gap[:-1])
+        inner[2:-2] = steady[:-2] & steady[1:-1] & steady[2:]
+    firsts, lasts = np.where(chained, place - width, firsts), np.where(chained, place, lasts)
+    keep = ~inner
+    return number[keep], sig[keep], place[keep], firsts[keep], lasts[keep]
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -117,7 +143,7 @@ def keyed_texts(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text: s
     return docs.filter(F.length(text) >= min_chars).select(F.col(id_col).alias("id"), key.alias("key"), F.col(text).alias("text"))
 
 
-def signatures(texts: DataFrame, min_chars: int, gram: int = GRAM) -> DataFrame:
+def signatures(texts: DataFrame, min_chars: int, gram: int = GRAM, ends_only: bool = False) -> DataFrame:
     """``key``, ``sig``, ``c``, ``first``, ``last``: the compact windows of each distinct text; one shuffle, by signature.
 
     A task makes the windows of a text once, however many copies it meets (it remembers up to SEEN keys), so copies are
@@ -138,7 +164,7 @@ def signatures(texts: DataFrame, min_chars: int, gram: int = GRAM) -> DataFrame:
             bodies = [bodies[k] for k in fresh]
             names = batch.column(0).take(pa.array(fresh, pa.int64()))
             for a, b in _blocks(bodies):
-                number, sig, *places = compact_windows(bodies[a:b], min_chars, gram)
+                number, sig, *places = compact_windows(bodies[a:b], min_chars, gram, ends_only)
                 cols = [names.take(pa.array(number + a)), pa.array(sig.view(np.int64)), *(pa.array(p.astype(np.int32)) for p in places)]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "sig", "c", "first", "last"])
 
@@ -220,7 +246,7 @@ def shared_pairs(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text:
     gives an empty result. Further columns of ``docs`` are not read.
     """
     texts = keyed_texts(docs, min_chars, id_col, text)
-    spans = verified_spans(texts, candidate_pairs(signatures(texts, min_chars, gram or _gram(min_chars))), min_chars)
+    spans = verified_spans(texts, candidate_pairs(signatures(texts, min_chars, gram or _gram(min_chars), True)), min_chars)
     members = texts.select("id", "key")
     between = spans.select("a", "b").distinct()
     x = members.select(F.col("key").alias("a"), F.col("id").alias("x"))

@@ -68,6 +68,18 @@ def test_pairs_and_parts_against_brute_force(spark):
         assert parts == brute_cover(docs, 30)
 
 
+def test_repeating_texts_against_brute_force(spark):
+    rng = random.Random(11)
+    for seed in range(3):
+        docs = []
+        for i in range(60):
+            unit = rng.choice(["-", "ab", "abc", "=-=", "xyzw", "0123456789"])
+            docs.append((i, rng.choice(["", "q", "head ", "qq"]) + (unit * 80)[rng.randrange(len(unit)) :][: rng.randrange(20, 75)] + rng.choice(["", "w", " tail", "ww"]) + (unit * 9)[: rng.randrange(40)]))
+        frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+        got = {(r.doc_id_a, r.doc_id_b) for r in spans.shared_pairs(frame, 30, gram=8 + 4 * seed).collect()}
+        assert got == brute_pairs(docs, 30)
+
+
 def test_long_and_empty(spark):
     rng = random.Random(5)
     long = "".join(rng.choice("abcdefghij ") for _ in range(60000))
