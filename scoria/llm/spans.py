@@ -12,6 +12,7 @@ one whole run. What is joined is verified on the texts, character by character.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -67,11 +68,10 @@ def running_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - left], values[left:]) if left else values
 
 
-def compact_windows(texts: list[str], min_chars: int, gram: int = GRAM, ends_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(texts: list[str], min_chars: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, signature, c, first, last) of the compact windows of many texts.
 
     c: the token's place; first and last: where the runs of min_chars characters begin whose smallest token is c.
-    ends_only: of windows that repeat one token at equal distances only those at the ends, see _chain_ends.
     """
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
@@ -96,33 +96,28 @@ def compact_windows(texts: list[str], min_chars: int, gram: int = GRAM, ends_onl
     keep = inside[firsts]
     firsts, lasts = firsts[keep], lasts[keep]
     number, place = doc[firsts], at[firsts]
-    sig = hashes[place]
-    if ends_only:
-        number, sig, place, firsts, lasts = _chain_ends(number, sig, place, firsts, lasts, width, gram)
     begin = (ends - sizes)[number]
-    return number, sig, place - begin, firsts - begin, lasts - begin
+    return number, hashes[place], place - begin, firsts - begin, lasts - begin
 
 
-def _chain_ends(number: np.ndarray, sig: np.ndarray, place: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of windows of one gram that overlap at equal distances - a text that repeats itself, such as a ruled line - the two at either end.
+def chains(number: np.ndarray, sig: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
+    """(text number, signature, c, first, last, gap): windows of one gram that overlap at equal distances as one row each.
 
-    Two texts that share a run within such parts also share one of that length where an end, or the next to it, of one lies
-    on an end, or the next to it, of the other. The windows kept stand for the chain: their intervals meet with any.
+    A text that repeats itself, such as a ruled line, has a window at each repetition. The row has the first window's place,
+    the distance in gap (0: a single window), and intervals, around that place, that hold those of all its windows around
+    theirs; none is left out, as ``alignments`` stands for all their places.
     """
-    if len(place) < 2:
-        return number, sig, place, firsts, lasts
-    gap = np.diff(place)
-    link = (number[1:] == number[:-1]) & (sig[1:] == sig[:-1]) & (gap <= gram)
-    chained = np.zeros(len(place), bool)
-    chained[1:] |= link
-    chained[:-1] |= link
-    inner = np.zeros(len(place), bool)
-    if len(place) > 4:
-        steady = link[1:] & link[:-1] & (gap[1:] == gap[:-1])
-        inner[2:-2] = steady[:-2] & steady[1:-1] & steady[2:]
-    firsts, lasts = np.where(chained, place - width, firsts), np.where(chained, place, lasts)
-    keep = ~inner
-    return number[keep], sig[keep], place[keep], firsts[keep], lasts[keep]
+    if not len(c):
+        return number, sig, c, first, last, c
+    step = np.diff(c)
+    link = (number[1:] == number[:-1]) & (sig[1:] == sig[:-1]) & (step < gram)
+    new = np.ones(len(c), bool)
+    new[1:] = ~link
+    new[2:] |= link[:-1] & (step[1:] != step[:-1])
+    heads = np.flatnonzero(new)
+    gap = np.where(np.diff(np.append(heads, len(c))) > 1, np.append(step, 0)[heads], 0)
+    place = c[heads]
+    return number[heads], sig[heads], place, place + np.minimum.reduceat(first - c, heads), place + np.maximum.reduceat(last - c, heads), gap
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -143,8 +138,10 @@ def keyed_texts(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text: s
     return docs.filter(F.length(text) >= min_chars).select(F.col(id_col).alias("id"), key.alias("key"), F.col(text).alias("text"))
 
 
-def signatures(texts: DataFrame, min_chars: int, gram: int = GRAM, ends_only: bool = False) -> DataFrame:
-    """``key``, ``sig``, ``c``, ``first``, ``last``: the compact windows of each distinct text; one shuffle, by signature.
+def signatures(texts: DataFrame, min_chars: int, gram: int = GRAM, chained: bool = False) -> DataFrame:
+    """``key``, ``sig``, ``c``, ``first``, ``last``, ``gap``: the compact windows of each distinct text; one shuffle, by signature.
+
+    ``chained``: windows of a part that repeats itself are one row, see chains; else ``gap`` is 0 in all.
 
     A task makes the windows of a text once, however many copies it meets (it remembers up to SEEN keys), so copies are
     combined before the shuffle as in a partial aggregation; what still comes twice is dropped after it.
@@ -164,12 +161,17 @@ def signatures(texts: DataFrame, min_chars: int, gram: int = GRAM, ends_only: bo
             bodies = [bodies[k] for k in fresh]
             names = batch.column(0).take(pa.array(fresh, pa.int64()))
             for a, b in _blocks(bodies):
-                number, sig, *places = compact_windows(bodies[a:b], min_chars, gram, ends_only)
+                number, sig, *places = compact_windows(bodies[a:b], min_chars, gram)
+                if chained:
+                    number, sig, *places = chains(number, sig, *places, gram)
+                else:
+                    places.append(np.zeros(len(number), np.int64))
                 cols = [names.take(pa.array(number + a)), pa.array(sig.view(np.int64)), *(pa.array(p.astype(np.int32)) for p in places)]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "sig", "c", "first", "last"])
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "sig", "c", "first", "last", "gap"])
 
-    made = texts.select("key", "text").mapInArrow(run, "key binary, sig bigint, c int, first int, last int")
-    return made.repartition("sig").dropDuplicates(["sig", "key", "c"])
+    made = texts.select("key", "text").mapInArrow(run, "key binary, sig bigint, c int, first int, last int, gap int")
+    # gap follows from the rest; as a key it isn't pruned on one side, so that joins share one exchange
+    return made.repartition("sig").dropDuplicates(["sig", "key", "c", "gap"])
 
 
 def common_run(a: str, b: str, shift: int, at: int) -> tuple[int, int]:
@@ -197,23 +199,70 @@ def common_run(a: str, b: str, shift: int, at: int) -> tuple[int, int]:
     return lo, hi
 
 
+def alignments(a: str, b: str, at: int, shift: int, gap_a: int, gap_b: int, gram: int, extents: dict) -> Iterator[tuple[int, int]]:
+    """(place in ``a``, way to ``b``) of windows or chains of one gram, so that if any of their places lie on a shared run, one given does too.
+
+    A run through parts that repeat at one distance ends where the first of them ends, unless both begin or both end at the
+    same place. So the longest is found with both true beginnings, or both true ends, on each other, or as near to it on either
+    side as the distance allows. At two different distances each place of the second chain is taken as a single window.
+    ``extents`` keeps where the repeating parts of this pair of texts begin and end.
+    """
+
+    def extent(side: int, text: str, c: int, gap: int) -> tuple[int, int]:
+        if (side, c, gap) not in extents:
+            lo, hi = common_run(text, text, gap, c)
+            extents[side, c, gap] = lo, hi + gap
+        return extents[side, c, gap]
+
+    if not gap_a and not gap_b:
+        yield at, shift
+        return
+    if gap_a and gap_b and gap_a != gap_b:
+        for k in range(0, extent(1, b, at + shift, gap_b)[1] - gram - at - shift + 1, gap_b):
+            yield from alignments(a, b, at, shift + k, gap_a, 0, gram, extents)
+        return
+    gap = gap_a or gap_b
+    lo_a, hi_a = extent(0, a, at, gap)
+    lo_b, hi_b = extent(1, b, at + shift, gap)
+    near = {d - (d - shift) % gap for d in (lo_b - lo_a, hi_b - hi_a)}
+    for d in sorted(near | {d + gap for d in near}):
+        begin, end = max(lo_a, lo_b - d), min(hi_a, hi_b - d)
+        if begin < end:
+            yield begin, d
+
+
 def candidate_pairs(sigs: DataFrame) -> DataFrame:
     """``a``, ``b``, ``places``: pairs of different texts with windows of one signature whose intervals meet.
 
     Moved so that both windows' tokens lie on each other, the intervals of run starts must overlap; else the texts can't
-    share a whole run there. ``places`` has the token's place in ``a`` and the way to its place in ``b``.
+    share a whole run there. ``places`` has the token's place in ``a``, the way to its place in ``b`` and both gaps.
     """
-    a = sigs.select("sig", F.col("key").alias("a"), F.col("c").alias("c_a"), (F.col("first") - F.col("c")).alias("from_a"), (F.col("last") - F.col("c")).alias("to_a"))
-    b = sigs.select("sig", F.col("key").alias("b"), F.col("c").alias("c_b"), (F.col("first") - F.col("c")).alias("from_b"), (F.col("last") - F.col("c")).alias("to_b"))
+    a = sigs.select("sig", F.col("key").alias("a"), F.col("c").alias("c_a"), F.col("gap").alias("gap_a"), (F.col("first") - F.col("c")).alias("from_a"), (F.col("last") - F.col("c")).alias("to_a"))
+    b = sigs.select("sig", F.col("key").alias("b"), F.col("c").alias("c_b"), F.col("gap").alias("gap_b"), (F.col("first") - F.col("c")).alias("from_b"), (F.col("last") - F.col("c")).alias("to_b"))
     meets = (F.col("a") < F.col("b")) & (F.col("from_a") <= F.col("to_b")) & (F.col("from_b") <= F.col("to_a"))
-    place = F.struct(F.col("c_a").alias("at"), (F.col("c_b") - F.col("c_a")).alias("shift"))
+    place = F.struct(F.col("c_a").alias("at"), (F.col("c_b") - F.col("c_a")).alias("shift"), "gap_a", "gap_b")
     return a.join(b, "sig").filter(meets).groupBy("a", "b").agg(F.collect_set(place).alias("places"))
 
 
-def verified_spans(texts: DataFrame, pairs: DataFrame, min_chars: int) -> DataFrame:
+def shared_runs(x: str, y: str, places: list[dict], min_chars: int, gram: int) -> Iterator[tuple[int, int, int]]:
+    """Start in ``x``, start in ``y`` and length of the longest common runs through the places."""
+    reached: dict[int, tuple[int, int]] = {}
+    extents: dict[tuple[int, int, int], tuple[int, int]] = {}
+    for p in sorted(places, key=lambda p: (p["at"], p["shift"])):
+        for at, shift in alignments(x, y, p["at"], p["shift"], p["gap_a"], p["gap_b"], gram, extents):
+            lo, hi = reached.get(shift, (0, 0))
+            if lo <= at < hi:
+                continue
+            reached[shift] = lo, hi = common_run(x, y, shift, at)
+            if hi - lo >= min_chars:
+                yield lo, lo + shift, hi - lo
+
+
+def verified_spans(texts: DataFrame, pairs: DataFrame, min_chars: int, gram: int = 0) -> DataFrame:
     """``a``, ``b``, ``start_a``, ``start_b``, ``length``: the longest common runs of each pair, compared on the texts themselves.
 
     Only texts that are in a pair are joined, one per key; every place is followed to both sides as far as the texts agree.
+    ``gram``: places may be chains of grams of this size; a pair then has one run that is long enough, not all.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     bodies = texts.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
@@ -224,14 +273,8 @@ def verified_spans(texts: DataFrame, pairs: DataFrame, min_chars: int) -> DataFr
         for batch in batches:
             out: list[tuple] = []
             for a, b, places, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                reached: dict[int, int] = {}
-                for at, shift in sorted((p["at"], p["shift"]) for p in places):
-                    if at < reached.get(shift, -1):
-                        continue
-                    lo, hi = common_run(x, y, shift, at)
-                    reached[shift] = hi
-                    if hi - lo >= min_chars:
-                        out.append((a, b, lo, lo + shift, hi - lo))
+                runs = shared_runs(x, y, places, min_chars, gram)
+                out.extend((a, b, *r) for r in (islice(runs, 1) if gram else runs))
             cols = list(zip(*out)) or [()] * 5
             kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["a", "b", "start_a", "start_b", "length"])
@@ -246,7 +289,8 @@ def shared_pairs(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text:
     gives an empty result. Further columns of ``docs`` are not read.
     """
     texts = keyed_texts(docs, min_chars, id_col, text)
-    spans = verified_spans(texts, candidate_pairs(signatures(texts, min_chars, gram or _gram(min_chars), True)), min_chars)
+    gram = gram or _gram(min_chars)
+    spans = verified_spans(texts, candidate_pairs(signatures(texts, min_chars, gram, True)), min_chars, gram)
     members = texts.select("id", "key")
     between = spans.select("a", "b").distinct()
     x = members.select(F.col("key").alias("a"), F.col("id").alias("x"))

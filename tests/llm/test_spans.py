@@ -80,6 +80,57 @@ def test_repeating_texts_against_brute_force(spark):
         assert got == brute_pairs(docs, 30)
 
 
+def tailed(seed, n=150):
+    """A repeating part of under n characters and a tail, with different text before and after; long and broken parts too."""
+    rng = random.Random(seed)
+    units = ["-", "=-", "- ", "word ", "1 | ok | -\n", "abcdefghijklmnopqrstuvwxyz0123456789" * 2]
+    tails = ["".join(rng.choice("pqrstu ") for _ in range(70)) for _ in range(2)]
+    docs = []
+    for i in range(90):
+        unit = rng.choice(units)
+        part = (unit * 400)[rng.randrange(len(unit)) :][: rng.choice([rng.randrange(60, n + 20), rng.randrange(80, n), rng.randrange(n, 330)])]
+        tail = rng.choice(tails)[: rng.choice([0, rng.randrange(5, 71)])]
+        other = (rng.choice(units) * 300)[: rng.randrange(200)]
+        docs.append((i, "".join(rng.choice("ABCDEF") for _ in range(rng.randrange(9))) + part + tail + "".join(rng.choice("GHIJKL") for _ in range(rng.choice([1, 9, 90]))) + rng.choice(["", other])))
+    return docs
+
+
+def local_pairs(docs, n, gram):
+    """shared_pairs over a handful of texts, without Spark."""
+    names, texts = zip(*docs)
+    windows: dict = {}
+    for k, sig, c, first, last, gap in zip(*spans.chains(*spans.compact_windows(list(texts), n, gram), gram)):
+        windows.setdefault(int(sig), []).append((int(k), int(c), int(first - c), int(last - c), int(gap)))
+    places: dict = {}
+    for group in windows.values():
+        for i, c, f, t, g in group:
+            for j, d, e, u, h in group:
+                if i < j and f <= u and e <= t:
+                    places.setdefault((i, j), []).append({"at": c, "shift": d - c, "gap_a": g, "gap_b": h})
+    return {(names[i], names[j]) for (i, j), p in places.items() if next(spans.shared_runs(texts[i], texts[j], p, n, gram), None)}
+
+
+def test_tails_of_repeating_parts():
+    for seed in range(12):
+        docs = tailed(seed)
+        assert local_pairs(docs, 150, 80) == brute_pairs(docs, 150)
+        assert local_pairs(docs, 60, 32) == brute_pairs(docs, 60)
+
+
+def test_tails_of_short_rows(spark):
+    rng = random.Random(1)
+    tail = "the section ends with this tail of seventy characters, as all of them.."
+    for unit in ("12 | ok |\n", "-", "word "):
+        docs = []
+        for n in (5, 20, 45, 70):
+            for _ in range(24):
+                line = (unit * 300)[-rng.choice([rng.randrange(80, 150), rng.randrange(150 - n, 150), 300]) :]
+                docs.append((len(docs), "".join(rng.choice("ABCDEF") for _ in range(rng.randrange(9))) + line + tail[:n] + "".join(rng.choice("GHIJKL") for _ in range(90))))
+        frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+        got = [(r.doc_id_a, r.doc_id_b) for r in spans.shared_pairs(frame, 150).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_pairs(docs, 150)
+
+
 def test_long_and_empty(spark):
     rng = random.Random(5)
     long = "".join(rng.choice("abcdefghij ") for _ in range(60000))
