@@ -15,17 +15,19 @@ from pyspark.sql import functions as F
 from scoria.session import cut_lineage
 
 FIELDS = ("description", "solution", "impact")
-#: An end is real if at least this part of a trigram's occurrences are ends, in at least MIN_ENDS different sentences.
+#: An end is real if at least this part of a trigram's occurrences are ends, both among different sentences, of which at
+#: least MIN_ENDS end there, and among all copies, where no sentence counts as more than all others that end there.
 END_PART = 0.1
 MIN_ENDS = 3
 #: Inside occurrences that show how a sentence goes on.
 MIN_INSIDE = 1
 #: The same for a bigram, which is asked only where the trigram was never seen to go on.
 MIN_INSIDE_PAIR = 5
+BOUNDED = "least({0}ends, 2 * ({0}ends - {0}most))"
 IS_CUT = f"""CASE
-  WHEN end_kinds >= {MIN_ENDS} AND ends >= {END_PART} * (inside + ends) THEN false
+  WHEN end_kinds >= {MIN_ENDS} AND end_kinds >= {END_PART} * (inside_kinds + end_kinds) AND {BOUNDED.format("")} >= {END_PART} * (inside + {BOUNDED.format("")}) THEN false
   WHEN inside >= {MIN_INSIDE} OR names >= {MIN_INSIDE} THEN true
-  ELSE pair_inside >= {MIN_INSIDE_PAIR} AND pair_ends < {END_PART} * (pair_inside + pair_ends) END"""
+  ELSE pair_inside >= {MIN_INSIDE_PAIR} AND {BOUNDED.format("pair_")} < {END_PART} * (pair_inside + {BOUNDED.format("pair_")}) END"""
 #: Pieces that flagged texts are spread over in the join back to the records.
 SALTS = 8
 
@@ -67,7 +69,8 @@ def last_texts(df: DataFrame, id_col: str = "seq") -> DataFrame:
 def final_trigrams(texts: DataFrame) -> DataFrame:
     """Each distinct ``text`` with its final trigram and how often that goes on and ends: ``inside``, ``ends``, and for its last two words.
 
-    Counts cover all sentences of all texts, copies included; ``end_kinds`` counts different sentences only. Sentences and counts are cut from their
+    Counts cover all sentences of all texts, copies included; ``end_kinds`` and ``inside_kinds`` count different sentences only,
+    and ``most`` is the copies of the one that ends there most often, as one text's copies say nothing on how others end. Sentences and counts are cut from their
     lineage, as several joins read them; both hold distinct values only.
     """
     spark = texts.sparkSession
@@ -81,7 +84,7 @@ def final_trigrams(texts: DataFrame) -> DataFrame:
     grams = cut_lineage(step(
         r"""
         SELECT g.w1, g.w2, g.w3, sum(CASE WHEN g.last THEN 0 ELSE copies END) AS inside,
-          sum(CASE WHEN g.last THEN copies ELSE 0 END) AS ends, count_if(g.last) AS end_kinds
+          sum(CASE WHEN g.last THEN copies ELSE 0 END) AS ends, count_if(g.last) AS end_kinds, count_if(NOT g.last) AS inside_kinds, max(CASE WHEN g.last THEN copies ELSE 0 END) AS most
         FROM (SELECT any_value(words) AS words, sum(copies) AS copies FROM {shaped} GROUP BY sentence)
         LATERAL VIEW explode(transform(sequence(2, size(words) - 1), i -> named_struct('w1', words[i - 2], 'w2', words[i - 1], 'w3', words[i], 'last', i = size(words) - 1))) AS g
         GROUP BY g.w1, g.w2, g.w3""",
@@ -95,30 +98,31 @@ def final_trigrams(texts: DataFrame) -> DataFrame:
     # every beginning of a longer third word, for the cuts inside words; a mark after the whole word is not a longer word
     begun = step(
         r"""
-        SELECT w1, w2, left(w3, n) AS w3, sum(inside + ends) AS longer
+        SELECT w1, w2, left(w3, n) AS w3, sum(inside + ends) AS longer, sum(inside_kinds + end_kinds) AS longer_kinds
         FROM {grams} LATERAL VIEW explode(sequence(1, length(w3) - 1)) AS n
         WHERE length(w3) > 1 GROUP BY w1, w2, left(w3, n)""",
         grams=grams,
     )
     triples = step(
         """
-        SELECT w.w1, w.w2, w.w3, coalesce(g.inside, 0) + coalesce(b.longer, 0) AS inside, coalesce(g.ends, 0) AS ends, coalesce(g.end_kinds, 0) AS end_kinds
+        SELECT w.w1, w.w2, w.w3, coalesce(g.inside, 0) + coalesce(b.longer, 0) AS inside, coalesce(g.ends, 0) AS ends, coalesce(g.end_kinds, 0) AS end_kinds,
+          coalesce(g.inside_kinds, 0) + coalesce(b.longer_kinds, 0) AS inside_kinds, coalesce(g.most, 0) AS most
         FROM {wanted} w LEFT JOIN {grams} g ON w.w1 = g.w1 AND w.w2 = g.w2 AND w.w3 = g.w3
         LEFT JOIN {begun} b ON w.w1 = b.w1 AND w.w2 = b.w2 AND w.w3 = b.w3""",
         wanted=wanted, grams=grams, begun=begun,
     )
     pairs = step(
         """
-        SELECT p.w2, p.w3, coalesce(g.inside, 0) + coalesce(b.longer, 0) AS inside, coalesce(g.ends, 0) AS ends
+        SELECT p.w2, p.w3, coalesce(g.inside, 0) + coalesce(b.longer, 0) AS inside, coalesce(g.ends, 0) AS ends, coalesce(g.most, 0) AS most
         FROM (SELECT DISTINCT w2, w3 FROM {wanted}) p
-        LEFT JOIN (SELECT w2, w3, sum(inside) AS inside, sum(ends) AS ends FROM {grams} GROUP BY w2, w3) g ON p.w2 = g.w2 AND p.w3 = g.w3
+        LEFT JOIN (SELECT w2, w3, sum(inside) AS inside, sum(ends) AS ends, max(most) AS most FROM {grams} GROUP BY w2, w3) g ON p.w2 = g.w2 AND p.w3 = g.w3
         LEFT JOIN (SELECT w2, w3, sum(longer) AS longer FROM {begun} GROUP BY w2, w3) b ON p.w2 = b.w2 AND p.w3 = b.w3""",
         wanted=wanted, grams=grams, begun=begun,
     )
     # names are shapes once they are whole; the beginning of one is a plain word that stands where names do
     named = step("SELECT w1, w2, sum(inside + ends) AS names FROM {grams} WHERE w3 RLIKE '^a[^a-z]' GROUP BY w1, w2", grams=grams)
     return step(
-        "SELECT f.text, f.w1, f.w2, f.w3, t.inside, t.ends, t.end_kinds, p.inside AS pair_inside, p.ends AS pair_ends,"
+        "SELECT f.text, f.w1, f.w2, f.w3, t.inside, t.ends, t.end_kinds, t.inside_kinds, t.most, p.inside AS pair_inside, p.ends AS pair_ends, p.most AS pair_most,"
         " CASE WHEN f.w2 <> '^' AND f.w3 RLIKE '^[\\\\p{{Ll}}]+$' THEN coalesce(n.names, 0) ELSE 0 END AS names FROM {finals} f"
         " JOIN {triples} t ON f.w1 = t.w1 AND f.w2 = t.w2 AND f.w3 = t.w3 JOIN {pairs} p ON f.w2 = p.w2 AND f.w3 = p.w3"
         " LEFT JOIN {named} n ON f.w1 = n.w1 AND f.w2 = n.w2",

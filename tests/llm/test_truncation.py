@@ -39,6 +39,19 @@ def test_finds_cuts_and_nothing_else(spark):
     assert got == {(r[0], r[6]) for r in rows() if r[5]}
 
 
+def test_one_text_for_a_third_of_the_rows(spark):
+    """Copies of one cut text make no ending, of a trigram or a pair, and copies of one whole text don't turn it into a cut."""
+    base = rows()
+    cut = [f"Successful use lets a peer read 7 rows of {n} or change /{n}/z.cfg. The service {n} keeps the state at" for n in NAMES[:4]]
+    paired = "Every other node reads some rows of"
+    for hot, is_cut in ((cut[0], True), (paired, True), ("Upgrade Velim Server to 7.8.2 or later", False)):
+        texts = [hot] * (len(base) // 2) + cut[1:]
+        more = [(1000 + i, "D", [x], None, None, is_cut if x == hot else True, "description") for i, x in enumerate(texts)]
+        data = spark.createDataFrame(base + more, frame(spark).schema)
+        got = {(r.id, r.field) for r in truncation.truncated_values(data).collect()}
+        assert got == {(r[0], r[6]) for r in base + more if r[5]}
+
+
 def test_rates(spark):
     got = {(r.source, r.field): (r.texts, r.cut) for r in truncation.truncation_rates(frame(spark)).collect()}
     assert got[("B", "description")] == (7, 7) and got[("A", "description")][1] == 0 and got[("C", "description")] == (3, 0)
