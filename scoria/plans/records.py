@@ -258,11 +258,13 @@ def removed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rouge_l_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First description line of each record against the report's next record: common words and ROUGE-L."""
-    r = table(spark, sf_dir, "records").select("seq", "run_id", F.coalesce(F.get("description", F.lit(0)), F.lit("")).alias("x"))
+    """Whole description of each record against the run's next record: common words and ROUGE-L."""
+    r = table(spark, sf_dir, "records").select("seq", "run_id", F.coalesce(t.normalize_list(F.col("description")), F.lit("")).alias("x"))
     y = F.lead("x").over(Window.partitionBy("run_id").orderBy("seq"))
-    pairs = r.withColumn("y", y).filter("y IS NOT NULL")
-    return pairs.select("seq", sim.lcs_tokens(F.col("x"), F.col("y")).alias("common"), F.round(sim.field_score(F.col("x"), F.col("y"), sim.rouge_l), 6).alias("rouge"))
+    pairs = r.withColumn("y", y).filter("y IS NOT NULL").select("seq", "x", "y", sim.lcs_tokens(F.col("x"), F.col("y")).alias("common"))
+    # normalised text has single blanks; the score follows from the common words, which are counted once
+    score = sim.field_score(F.col("x"), F.col("y"), lambda x, y: 2 * F.col("common") / (F.size(F.split(x, " ")) + F.size(F.split(y, " "))))
+    return pairs.select("seq", "common", F.round(score, 6).alias("rouge"))
 
 
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

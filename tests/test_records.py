@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scoria.operators import consolidate as c
 from scoria.operators import datasets, evaluate, extract, linkage, validate
+from scoria.plans import records as plans
 from scoria.profiles import PROFILES, load_model, load_profile, with_environment
 
 
@@ -239,3 +240,22 @@ def test_exact_median(spark):
     from statistics import median
 
     assert got == {k: median(v) for k, v in values.items()}
+
+
+def test_rouge_l_pairs_reads_whole_fields(spark, tmp_path):
+    descriptions = [["It is bad", "so fix it"], ["It is bad", "but leave it"], ["other", " None ", "so fix it"], None, [], ["so fix it"]]
+    rows = [(i, "r", d) for i, d in enumerate(descriptions)] + [(9, "s", ["alone"])]
+    spark.createDataFrame(rows, "seq bigint, run_id string, description array<string>").write.parquet(str(tmp_path / "records.parquet"))
+
+    def common(a, b):
+        if not a or not b:
+            return 0
+        return common(a[:-1], b[:-1]) + 1 if a[-1] == b[-1] else max(common(a[:-1], b), common(a, b[:-1]))
+
+    texts = ["It is bad. so fix it", "It is bad. but leave it", "other. so fix it", "", "", "so fix it"]
+    want = {}
+    for i, (a, b) in enumerate(zip(texts, texts[1:])):
+        x, y = a.split(), b.split()
+        n = common(x, y)
+        want[i] = (n, round(2 * n / (len(x) + len(y)), 6) if x or y else 1.0)
+    assert {r.seq: (r.common, r.rouge) for r in plans.rouge_l_pairs(spark, str(tmp_path)).collect()} == want
