@@ -16,6 +16,7 @@ WS = r"[\p{Z}\t\n\v\f\r\x1c-\x1f\x{85}]"
 
 
 def _docs(spark: SparkSession, sf_dir: str, kind: str, source: str) -> DataFrame:
+    """Documents of one stated kind and source; those of unknown kind or source are left out, as in the SQL."""
     return table(spark, sf_dir, "documents").filter((F.col("kind") == kind) & (F.col("source") == source)).select("doc_id", "text")
 
 
@@ -136,7 +137,10 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct findings per report and severity, from report text: lines, blocks, findings, deduplication, counts."""
+    """Distinct findings per report and severity, from report text: lines, blocks, findings, deduplication, counts.
+
+    Only documents stated to be bodies are read, as in the SQL; those of unknown kind are left out, and so are their findings.
+    """
     docs = table(spark, sf_dir, "documents").filter((F.col("kind") == "body") & (F.col("source") == "openvas"))
     found = blocks.header_blocks(docs.select("doc_id", "text"))
     names = F.regexp_extract_all("text", F.lit(r"(?m)^\s*NVT:[ \t]*([^\n]*)"), 1)
