@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Keys with more than this part of all rows are treated as hot by skew-aware joins; there can be at most 1/HOT_SHARE of them.
+#: Keys with more than this part of all rows are hot in skew-aware joins; there can be at most 1/HOT_SHARE of them.
 HOT_SHARE = 0.005
-#: Pieces into which the rows of a hot key are spread.
-SALTS = 32
 
 
 def local_session(cores: str = "8", app: str = "scoria", **conf: str) -> SparkSession:
@@ -35,11 +32,16 @@ def local_session(cores: str = "8", app: str = "scoria", **conf: str) -> SparkSe
 
 
 _SHIPPED: set[str] = set()
+_STAGING: dict[str, str] = {}
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package's source to the workers, once per application, so that it need not be installed on them."""
-    if spark.sparkContext.applicationId in _SHIPPED:
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Sends this package's source to the workers, once per application, so that it need not be installed on them.
+
+    Every operator that runs Python on workers calls it; without ``spark`` it is for the active session, if there is one.
+    """
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext.applicationId in _SHIPPED:
         return
     _SHIPPED.add(spark.sparkContext.applicationId)
     root = Path(__file__).parent
@@ -50,48 +52,74 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(archive))
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, with this package on its session's workers."""
+    ship_package(df.sparkSession)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``."""
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and go on from there.
+def staging_folder(spark: SparkSession) -> str:
+    """The application's own folder below the cluster's shared one; it goes when the application's JVM ends.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary
-    folder is taken. The copy outlives the loss of executors, unlike a local checkpoint or a cache.
+    The shared folder is the session's ``spark.checkpoint.dir``, or what the context was given. Only on one machine, where
+    neither is set, a temporary folder is taken: on a cluster each executor would write to a disk of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="scoria-")
-        context.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    if context.applicationId not in _STAGING:
+        shared = context.getConf().get("spark.checkpoint.dir")
+        given = context._jsc.sc().getCheckpointDir()
+        if not shared and given.isDefined():
+            shared = given.get()
+        if not shared:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = "file://" + tempfile.mkdtemp(prefix="scoria-")
+        folder = f"{shared.rstrip('/')}/scoria-{context.applicationId}"
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _STAGING[context.applicationId] = folder
+    return _STAGING[context.applicationId]
+
+
+def release_staging(spark: SparkSession) -> None:
+    """Deletes what cut_lineage wrote; DataFrames that were built on it can't be read any more."""
+    context = spark.sparkContext
+    folder = _STAGING.pop(context.applicationId, None)
+    if folder:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def worker_threads_one() -> None:
-    """Keep numeric libraries in Python workers to one thread; Spark already runs one worker per core."""
-    for name in ("OMP_NUM_THREADS", "TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS"):
-        os.environ.setdefault(name, "1")
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the staging folder as parquet and goes on from there.
+
+    The copy outlives the loss of executors, unlike a local checkpoint or a cache; it is read by column, and the optimiser
+    knows its size. It is written when this is called.
+    """
+    spark = df.sparkSession
+    where = f"{staging_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
 
 
-def skew_join(rows: DataFrame, dim: DataFrame, key: str, weight: str, salt_by: str) -> DataFrame:
+def skew_join(rows: DataFrame, dim: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Equi-join ``rows`` to ``dim`` (unique in ``key``) without sending all rows of a hot key to one task.
 
-    ``dim[weight]`` is the number of rows that the key has. Keys holding more than HOT_SHARE of all rows - at most
-    1/HOT_SHARE of them, whatever the data's size, so their list may be broadcast - are spread over SALTS pieces; on the
-    other side only their dim rows are repeated. The piece is a hash of the column ``salt_by`` of ``rows``, so a task that
-    runs again puts each row where it was. Inner join; all columns of ``rows`` and of ``dim``, ``key`` once.
+    ``dim[weight]`` is the number of rows that the key has, ``total`` that of all rows. The dim rows of keys holding more
+    than HOT_SHARE of all rows - at most 1/HOT_SHARE of them, whatever the data's size - are broadcast, so the rows of hot
+    keys are joined where they are read and not shuffled at all; the others meet by key. Both parts read ``rows``, which
+    should be a table. Inner join on non-null keys; all columns of ``rows`` and of ``dim``, ``key`` once.
     """
-    dim = cut_lineage(dim)  # read three times below
-    limit = dim.agg(F.sum(weight) * HOT_SHARE).scalar()
-    hot = dim.filter(F.col(weight) > limit).select(key, F.lit(True).alias("__hot"))
-    spread = F.when(F.col("__hot"), F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    left = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", spread).drop("__hot")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = dim.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
-    return left.join(right, [key, "__salt"]).drop("__salt")
+    limit = total * HOT_SHARE
+    hot = F.broadcast(dim.filter(F.col(weight) > limit))
+    cold = rows.join(hot.select(key), key, "left_anti").join(dim.filter(F.col(weight) <= limit), key)
+    return rows.join(hot, key).unionByName(cold)
 
 
 def place_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
@@ -112,8 +140,3 @@ def place_within(df: DataFrame, keys: list[str], order: list[str], name: str) ->
         same = same & F.col(f"l.`{k}`").eqNullSafe(F.col(f"c.`{k}`"))
     place = (F.col("l.__n") + F.col("c.__before")).alias(name)
     return local.alias("l").join(counts.alias("c"), same).select(*(F.col(f"l.`{c}`") for c in df.columns), place)
-
-
-def persist(df: DataFrame) -> DataFrame:
-    """Keep what an expensive step returned, so that sinks and audits don't run it again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
