@@ -11,8 +11,8 @@ from scoria.llm.canonical import canonical_key
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO", "LOG")
 FIELDS = ("description", "severity", "instances")
 WHITE = r"[\p{Z}\t-\r\x1c-\x1f\x85]+"
-#: Rows of one group are ranked in so many parts first, then the parts' best.
-PARTS = 16
+#: Rows of one group are ranked in parts first, then the parts' best: at least PARTS, and one for each PART_ROWS rows of the table.
+PARTS, PART_ROWS = 16, 1_000_000
 
 
 def visible_chars(texts: Column) -> Column:
@@ -25,26 +25,29 @@ def is_severity(value: Column) -> Column:
     return F.coalesce(F.upper(F.regexp_replace(value, f"^{WHITE}|{WHITE}$", "")).isin(*SEVERITIES), F.lit(False))
 
 
-def rank_fields(df: DataFrame, group: list[Column], id_col: str = "seq", recency: str = "extracted_at") -> DataFrame:
+def rank_fields(df: DataFrame, group: list[Column], id_col: str = "seq", recency: str = "extracted_at", trust: dict[str, int] | None = None, source: str = "source") -> DataFrame:
     """One row per group of two or more: ``first_id``, ``members`` and, per field, ``best_<field>`` (null if no member has a value).
 
-    Completeness ranks first, then recency (null counts as oldest), then the smaller id. The ranking is done in two
-    windows over narrow rows: within PARTS pieces of each group, then over the pieces' best - at most three rows a piece -
-    so no group, however large, is sorted in one task. Rows whose group columns are all null are one group.
+    Completeness ranks first, then ``trust`` (a rank by source, the highest first; none unless given, sources without one
+    have 0), then recency (null counts as oldest), then the smaller id. The ranking is done in two windows over narrow
+    rows: within pieces of each group, whose number follows the table's rows, then over the pieces' best - at most three
+    rows a piece - so no group, however large, is sorted in one task. Rows whose group columns are all null are one group.
     """
     recent = F.desc_nulls_last("__recent")
+    known = F.create_map(*(F.lit(x) for kv in (trust or {}).items() for x in kv)) if trust else None
     rows = df.select(
         F.sha2(F.to_json(F.struct(*(g.alias(f"g{i}") for i, g in enumerate(group)))), 256).substr(1, 32).alias("__group"),
         F.col(id_col).alias("__id"),
         F.col(recency).alias("__recent"),
+        (F.coalesce(F.try_element_at(known, F.col(source)), F.lit(0)) if trust else F.lit(0)).alias("__trust"),
         visible_chars(F.col("description")).alias("__description"),
         is_severity(F.col("severity")).cast("int").alias("__severity"),
         F.greatest(F.coalesce(F.size("instances"), F.lit(0)), F.lit(0)).alias("__instances"),
-    ).withColumn("__part", F.pmod(F.xxhash64("__id"), F.lit(PARTS)))
+    ).withColumn("__part", F.pmod(F.xxhash64("__id"), F.lit(max(PARTS, df.count() // PART_ROWS))))
 
     def ranked(frame: DataFrame, by: list[str]) -> DataFrame:
         for f in FIELDS:
-            frame = frame.withColumn(f"__rank_{f}", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(f"__{f}"), recent, F.asc("__id"))))
+            frame = frame.withColumn(f"__rank_{f}", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(f"__{f}"), F.desc("__trust"), recent, F.asc("__id"))))
         return frame
 
     piece = Window.partitionBy("__group", "__part")
@@ -71,12 +74,20 @@ def best_fields(ranked: DataFrame) -> DataFrame:
     return ranked.select("first_id", F.explode(pairs).alias("p")).select("first_id", "p.field", "p.best_id").filter(F.col("best_id").isNotNull())
 
 
-def surviving_records(df: DataFrame, ranked: DataFrame) -> DataFrame:
+def surviving_records(df: DataFrame, ranked: DataFrame, id_col: str = "seq") -> DataFrame:
     """Builds the survivors: the columns of each group's first record, with description, severity and instances of its best ones.
 
-    Needs only ids of the ranking; the wide columns are fetched by joins on the unique id, never held per group.
+    ``members`` is added (``group_members`` where ``df`` has that name). The wide rows are read and shuffled once, by a join
+    on the unique id with the up to four ids that each group names; only those rows meet by group.
     """
-    out = df.join(ranked.select(F.col("first_id").alias("seq"), "members", *(f"best_{f}" for f in FIELDS)), "seq").drop(*FIELDS)
-    for f in FIELDS:
-        out = out.join(df.select(F.col("seq").alias(f"best_{f}"), f), f"best_{f}", "left")
-    return out.drop(*(f"best_{f}" for f in FIELDS))
+    members = "group_members" if "members" in df.columns else "members"
+    best = [f"__best_{f}" for f in FIELDS]
+    named = ranked.select("first_id", "members", *(F.col(f"best_{f}").alias(b) for f, b in zip(FIELDS, best)))
+    named = named.select(F.col("first_id").alias("__first"), F.col("members").alias("__members"), *best, F.explode(F.array_distinct(F.array_compact(F.array("first_id", *best)))).alias("__id"))
+    rows = df.withColumn("__id", F.col(id_col)).join(named, "__id")
+
+    def of(column: str, owner: str) -> Column:
+        return F.first(F.when(F.col("__id") == F.col(owner), F.struct(F.col(f"`{column}`").alias("v"))), True)["v"].alias(column)
+
+    chosen = [of(c, f"__best_{c}" if c in FIELDS else "__first") for c in df.columns]
+    return rows.groupBy("__first").agg(*chosen, F.first("__members").alias(members)).drop("__first")

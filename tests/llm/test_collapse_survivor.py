@@ -120,3 +120,15 @@ def test_surviving_records(spark):
     frame = spark.createDataFrame(rows, SCHEMA.replace(", members string", ""))
     got = survivor.surviving_records(frame, survivor.duplicate_findings(frame)).collect()
     assert [(r.seq, r.description, r.severity, [i.instance for i in r.instances], r.members) for r in got] == [(1, ["xyz"], "high", ["u"], 3)]
+    clash = frame.withColumn("members", F.lit("own"))
+    got = survivor.surviving_records(clash, survivor.duplicate_findings(clash)).collect()
+    assert [(r.seq, r.members, r.group_members) for r in got] == [(1, "own", 3)]
+    assert survivor.surviving_records(frame.limit(0), survivor.duplicate_findings(frame.limit(0))).count() == 0
+
+
+def test_trusted_sources(spark):
+    rows = [(1, "r", "a", "1", "t", ["x"], "low", None, 9, "B"), (2, "r", "a", "1", "t", ["y"], "high", None, 1, "A"), (3, "r", "a", "1", "t", ["z"], None, None, 5, None)]
+    frame = spark.createDataFrame(rows, SCHEMA.replace("members", "source"))
+    group = [F.col("run_id")]
+    assert [(r.best_description, r.best_severity) for r in survivor.rank_fields(frame, group).collect()] == [(1, 1)]
+    assert [(r.best_description, r.best_severity) for r in survivor.rank_fields(frame, group, trust={"A": 2, "B": 1}).collect()] == [(2, 2)]
