@@ -12,20 +12,27 @@ one whole run. What is joined is verified on the texts, character by character.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoria.session import cut_lineage
+
 #: Characters of a gram; must be below min_chars. Longer grams are shared by chance less often, shorter ones give fewer windows.
 GRAM = 80
 #: Characters of all texts that are worked on at once.
 BLOCK = 4_000_000
 #: Texts that a task remembers as done.
 SEEN = 500_000
+#: A signature with more windows than HOT_WINDOWS, and than this part of all windows (so there are at most 1/HOT_PART of
+#: them), is joined in pieces of HOT_WINDOWS rows.
+HOT_WINDOWS, HOT_PART = 2_000, 1e-6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a hash by which grams are ordered; the place takes the others. The same in all texts, whatever they are worked on with.
+_LOW = np.uint64((1 << 32) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -81,10 +88,9 @@ def compact_windows(texts: list[str], min_chars: int, gram: int = GRAM) -> tuple
     if len(codes) < min_chars:
         return none, none.view(np.uint64), none, none, none
     hashes = gram_hashes(codes, gram)
-    # place in the low bits: the leftmost of equal hashes is the smallest; both texts of a pair order alike
-    low = np.uint64((1 << max(1, int(len(hashes)).bit_length())) - 1)
-    smallest = running_min((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), width)
-    at = (smallest & low).astype(np.int64)
+    # place in the low bits: the leftmost of grams with equal upper bits is the smallest, in both texts of a pair
+    smallest = running_min((hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64), width)
+    at = (smallest & _LOW).astype(np.int64)
     starts = np.arange(len(at), dtype=np.int64)
     # runs of starts with the same token, within one text; runs over the border of two texts are left out
     doc = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)[: len(at)]
@@ -236,12 +242,25 @@ def candidate_pairs(sigs: DataFrame) -> DataFrame:
 
     Moved so that both windows' tokens lie on each other, the intervals of run starts must overlap; else the texts can't
     share a whole run there. ``places`` has the token's place in ``a``, the way to its place in ``b`` and both gaps.
+
+    Signatures meet where the shuffle by signature put them. Those with very many windows, a short list, are joined in
+    pieces: each of a's windows is in one, b's go to all pieces.
     """
-    a = sigs.select("sig", F.col("key").alias("a"), F.col("c").alias("c_a"), F.col("gap").alias("gap_a"), (F.col("first") - F.col("c")).alias("from_a"), (F.col("last") - F.col("c")).alias("to_a"))
-    b = sigs.select("sig", F.col("key").alias("b"), F.col("c").alias("c_b"), F.col("gap").alias("gap_b"), (F.col("first") - F.col("c")).alias("from_b"), (F.col("last") - F.col("c")).alias("to_b"))
+    counts = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    limit = F.greatest(F.coalesce(counts.agg(F.sum("n") * HOT_PART).scalar(), F.lit(0.0)), F.lit(float(HOT_WINDOWS)))
+    hot = F.broadcast(counts.filter(F.col("n") > limit).select("sig", F.ceil(F.col("n") / HOT_WINDOWS).cast("int").alias("pieces")))
+    cold, many = sigs.join(hot, "sig", "left_anti"), sigs.join(hot, "sig")
+
+    def side(df: DataFrame, key: str, *more: Column) -> DataFrame:
+        return df.select("sig", F.col("key").alias(key), F.col("c").alias(f"c_{key}"), F.col("gap").alias(f"gap_{key}"), (F.col("first") - F.col("c")).alias(f"from_{key}"), (F.col("last") - F.col("c")).alias(f"to_{key}"), *more)
+
     meets = (F.col("a") < F.col("b")) & (F.col("from_a") <= F.col("to_b")) & (F.col("from_b") <= F.col("to_a"))
     place = F.struct(F.col("c_a").alias("at"), (F.col("c_b") - F.col("c_a")).alias("shift"), "gap_a", "gap_b")
-    return a.join(b, "sig").filter(meets).groupBy("a", "b").agg(F.collect_set(place).alias("places"))
+    piece = F.pmod(F.xxhash64("key", "c"), F.col("pieces")).cast("int").alias("piece")
+    pieces = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")
+    met = [side(cold, "a").join(side(cold, "b"), "sig"), side(many, "a", piece).join(side(many, "b", pieces), ["sig", "piece"])]
+    found = met[0].filter(meets).select("a", "b", place.alias("place")).unionByName(met[1].filter(meets).select("a", "b", place.alias("place")))
+    return found.groupBy("a", "b").agg(F.collect_set("place").alias("places"))
 
 
 def shared_runs(x: str, y: str, places: list[dict], min_chars: int, gram: int) -> Iterator[tuple[int, int, int]]:
@@ -258,28 +277,35 @@ def shared_runs(x: str, y: str, places: list[dict], min_chars: int, gram: int) -
                 yield lo, lo + shift, hi - lo
 
 
-def verified_spans(texts: DataFrame, pairs: DataFrame, min_chars: int, gram: int = 0) -> DataFrame:
-    """``a``, ``b``, ``start_a``, ``start_b``, ``length``: the longest common runs of each pair, compared on the texts themselves.
+def verified_pairs(texts: DataFrame, pairs: DataFrame, min_chars: int, gram: int) -> DataFrame:
+    """``a``, ``b`` of the pairs that share a run of ``min_chars`` characters, compared on the texts themselves.
 
-    Only texts that are in a pair are joined, one per key; every place is followed to both sides as far as the texts agree.
-    ``gram``: places may be chains of grams of this size; a pair then has one run that is long enough, not all.
+    ``pairs`` and the texts in pairs, one per key, should be tables: then each join shuffles both sides as they are, and a
+    text in very many pairs is spread by the engine. A pair carries no more of a text than its places can reach, as long
+    as none of them is in a part that repeats itself.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    bodies = texts.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    both = pairs.join(bodies.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(bodies.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "places", "text_a", "text_b")
+    at, to, chained = F.col("places.at"), F.zip_with("places.at", "places.shift", lambda x, y: x + y), F.exists("places", lambda p: (p["gap_a"] > 0) | (p["gap_b"] > 0))
+    reach = min_chars - gram
+
+    def cut(places: Column) -> tuple[Column, Column]:
+        lo = F.when(chained, F.lit(0)).otherwise(F.greatest(F.array_min(places) - reach, F.lit(0)))
+        return lo, F.when(chained, F.lit((1 << 31) - 1)).otherwise(F.array_max(places) + min_chars - lo)
+
+    both = pairs
+    for key, places in (("a", at), ("b", to)):
+        lo, size = cut(places)
+        mine = texts.select(F.col("key").alias(key), F.col("text").alias("__text"))
+        both = both.withColumn(f"lo_{key}", lo).join(mine, key).withColumn(f"text_{key}", F.substring("__text", F.col(f"lo_{key}") + 1, size)).drop("__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for a, b, places, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                runs = shared_runs(x, y, places, min_chars, gram)
-                out.extend((a, b, *r) for r in (islice(runs, 1) if gram else runs))
-            cols = list(zip(*out)) or [()] * 5
-            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["a", "b", "start_a", "start_b", "length"])
+            found = []
+            for places, lo_a, lo_b, x, y in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                moved = [p | {"at": p["at"] - lo_a, "shift": p["shift"] + lo_a - lo_b} for p in places]
+                found.append(next(shared_runs(x, y, moved, min_chars, gram), None) is not None)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(found)) for c in batch.columns[:2]], names=["a", "b"])
 
-    return both.mapInArrow(run, "a binary, b binary, start_a int, start_b int, length int")
+    return both.select("a", "b", "places", "lo_a", "lo_b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
 def shared_pairs(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text: str = "text", gram: int | None = None) -> DataFrame:
@@ -290,9 +316,11 @@ def shared_pairs(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text:
     """
     texts = keyed_texts(docs, min_chars, id_col, text)
     gram = gram or _gram(min_chars)
-    spans = verified_spans(texts, candidate_pairs(signatures(texts, min_chars, gram, True)), min_chars, gram)
+    pairs = cut_lineage(candidate_pairs(signatures(texts, min_chars, gram, True)))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    bodies = cut_lineage(texts.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
+    between = verified_pairs(bodies, pairs, min_chars, gram)
     members = texts.select("id", "key")
-    between = spans.select("a", "b").distinct()
     x = members.select(F.col("key").alias("a"), F.col("id").alias("x"))
     y = members.select(F.col("key").alias("b"), F.col("id").alias("y"))
     apart = between.join(x, "a").join(y, "b").select("x", "y")
@@ -300,22 +328,43 @@ def shared_pairs(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text:
     return apart.unionByName(copies).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 
+def run_places(texts: DataFrame, windows: DataFrame, min_chars: int) -> DataFrame:
+    """``run``, ``key``, ``start``: each run of ``min_chars`` characters that begins in one of the text's windows, by 128 bits of its digest."""
+    spans = windows.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    bodies = texts.select("key", "text").join(spans, "key").dropDuplicates(["key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, numbers, starts, digests = batch.column(0), [], [], []
+            for k, (text, spans) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                mine = sorted({i for s in spans for i in range(s["first"], s["last"] + 1)})
+                digests += [blake2b(text[i : i + min_chars].encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in mine]
+                starts += mine
+                numbers += [k] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), keys.take(pa.array(numbers, pa.int64())), pa.array(starts, pa.int32())], names=["run", "key", "start"])
+
+    return bodies.select("key", "text", "spans").mapInArrow(run, "run binary, key binary, start int")
+
+
 def shared_parts(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text: str = "text", gram: int | None = None) -> DataFrame:
     """``doc_id``, ``n_chars``, ``shared_chars``, ``shared_part`` of every document with a passage that stands elsewhere too.
 
-    A text with copies is shared as a whole. The intervals of a text are made distinct before they are put together, so
-    their number follows its length, not the number of texts that it shares with.
+    A text with copies is shared as a whole. No pairs are made: of a signature that more than one text has, each window's
+    runs are grouped by what they are, and those that more than one text has are covered; a passage in n texts costs n
+    rows for each of its characters.
     """
     texts = keyed_texts(docs, min_chars, id_col, text)
-    spans = verified_spans(texts, candidate_pairs(signatures(texts, min_chars, gram or _gram(min_chars))), min_chars)
-    a = spans.select(F.col("a").alias("key"), F.col("start_a").alias("lo"), (F.col("start_a") + F.col("length")).alias("hi"))
-    b = spans.select(F.col("b").alias("key"), F.col("start_b").alias("lo"), (F.col("start_b") + F.col("length")).alias("hi"))
+    sigs = signatures(texts, min_chars, gram or _gram(min_chars))
+    several = sigs.groupBy("sig").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("sig")
+    places = cut_lineage(run_places(texts, sigs.join(several, "sig", "left_semi").select("key", "first", "last"), min_chars))
+    again = places.groupBy("run").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("run")
+    each = places.join(again, "run", "left_semi").select("key", "start")
+    # a start covers min_chars characters, or those up to the next one
+    ahead = F.lead("start").over(Window.partitionBy("key").orderBy("start")) - F.col("start")
+    parts = each.withColumn("__new", F.least(F.coalesce(ahead, F.lit(min_chars)), F.lit(min_chars))).groupBy("key").agg(F.sum("__new").alias("shared_chars"))
     members = texts.select("id", "key", F.length("text").alias("n_chars"))
-    whole = members.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), F.first("n_chars").alias("hi")).filter("__n > 1").select("key", F.lit(0).alias("lo"), "hi")
-    each = a.unionByName(b).unionByName(whole).groupBy("key", "lo").agg(F.max("hi").alias("hi"))
-    before = Window.partitionBy("key").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    new = F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.coalesce(F.max("hi").over(before), F.lit(0))), F.lit(0))
-    covered = each.withColumn("__new", new).groupBy("key").agg(F.sum("__new").alias("shared_chars"))
+    whole = members.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), F.first("n_chars").cast("bigint").alias("shared_chars")).filter("__n > 1").select("key", "shared_chars")
+    covered = parts.unionByName(whole).groupBy("key").agg(F.max("shared_chars").alias("shared_chars"))
     # a key's members may be a third of all rows; the covered side is one row per key
     out = members.join(covered, "key")
     return out.select(F.col("id").alias("doc_id"), "n_chars", "shared_chars", (F.col("shared_chars") / F.col("n_chars")).alias("shared_part"))

@@ -144,3 +144,43 @@ def test_common_run():
     assert spans.common_run("xxabcyy", "abcz", -2, 3) == (2, 5)
     assert spans.common_run("a" * 300, "a" * 200, 0, 150) == (0, 200)
     assert spans.common_run("ab", "cd", 0, 0) == (0, 0)
+
+
+def test_ruled_lines_and_what_follows():
+    """Over 10,000 pairs of ruled lines, each followed by shared text and then by other text, at the shipped sizes."""
+    rng = random.Random(21)
+    pairs = 0
+    for unit in ("-", "=", "-=", "_ ", "* * ", "~-~"):
+        for after in (0, 1, 9, 300):
+            tails = ["".join(rng.choice("abc ") for _ in range(12)) for _ in range(2)]
+            docs = []
+            for i in range(40):
+                size = rng.randrange(140, 150) if i % 2 else rng.randrange(150, 500)
+                docs.append((i, (unit * 500)[:size] + rng.choice(tails)[: rng.randrange(13)] + "".join(rng.choice("defgh") for _ in range(after))))
+            want = brute_pairs(docs, 150)
+            assert local_pairs(docs, 150, 80) == want
+            pairs += 40 * 39 // 2
+    assert pairs > 10_000
+    # a run that holds the end of a ruled line, where inner windows are the ones that meet
+    docs = [(1, "d--------------cc"), (2, "a--" * 12 + "-" * 46 + "cbb")]
+    assert local_pairs(docs, 15, 8) == brute_pairs(docs, 15) == {(1, 2)}
+
+
+def test_very_common_passages(spark, monkeypatch):
+    """Signatures with very many windows are joined in pieces, with the same result; so are texts worked on one by one."""
+    rng = random.Random(8)
+    docs = [(i, "".join(rng.choice("ghijk ") for _ in range(rng.randrange(60))) + "the same passage in all of them, of some length" + str(i % 7) * 3) for i in range(120)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    monkeypatch.setattr(spans, "HOT_WINDOWS", 5)
+    monkeypatch.setattr(spans, "BLOCK", 50)
+    got = [(r.doc_id_a, r.doc_id_b) for r in spans.shared_pairs(frame, 30, gram=10).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(docs, 30)
+    assert {r.doc_id: r.shared_chars for r in spans.shared_parts(frame, 30, gram=10).collect()} == brute_cover(docs, 30)
+
+
+def test_odd_input(spark):
+    schema = "doc_id bigint, text string, a string, places int, lo_a int"
+    texts = ["\t" * 200, " " * 200, "😀".encode("utf-16", "surrogatepass").decode("utf-16") * 200, None, "", "x"]
+    frame = spark.createDataFrame([(i, t, "k", 1, 2) for i, t in enumerate(texts * 2)], schema)
+    assert {(r.doc_id_a, r.doc_id_b) for r in spans.shared_pairs(frame, 150).collect()} == {(0, 6), (1, 7), (2, 8)}
+    assert {(r.doc_id, r.shared_part) for r in spans.shared_parts(frame, 150).collect()} == {(i, 1.0) for i in (0, 1, 2, 6, 7, 8)}
