@@ -27,7 +27,7 @@ GRAM = 80
 BLOCK = 4_000_000
 #: Texts that a task remembers as done.
 SEEN = 500_000
-#: A signature with more windows than HOT_WINDOWS, and than this part of all windows (so there are at most 1/HOT_PART of
+#: A signature with more windows than HOT_WINDOWS, and than this part of all characters (so there are at most 1/HOT_PART of
 #: them), is joined in pieces of HOT_WINDOWS rows.
 HOT_WINDOWS, HOT_PART = 2_000, 1e-6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -237,19 +237,21 @@ def alignments(a: str, b: str, at: int, shift: int, gap_a: int, gap_b: int, gram
             yield begin, d
 
 
-def candidate_pairs(sigs: DataFrame) -> DataFrame:
+def candidate_pairs(sigs: DataFrame, characters: int) -> DataFrame:
     """``a``, ``b``, ``places``: pairs of different texts with windows of one signature whose intervals meet.
 
     Moved so that both windows' tokens lie on each other, the intervals of run starts must overlap; else the texts can't
     share a whole run there. ``places`` has the token's place in ``a``, the way to its place in ``b`` and both gaps.
 
     Signatures meet where the shuffle by signature put them. Those with very many windows, a short list, are joined in
-    pieces: each of a's windows is in one, b's go to all pieces.
+    pieces: each of a's windows is in one, b's go to all pieces. ``characters``: of all texts, which no more windows have.
     """
-    counts = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    limit = F.greatest(F.coalesce(counts.agg(F.sum("n") * HOT_PART).scalar(), F.lit(0.0)), F.lit(float(HOT_WINDOWS)))
-    hot = F.broadcast(counts.filter(F.col("n") > limit).select("sig", F.ceil(F.col("n") / HOT_WINDOWS).cast("int").alias("pieces")))
-    cold, many = sigs.join(hot, "sig", "left_anti"), sigs.join(hot, "sig")
+    # the largest place is asked for so that the counts need all columns, and so the same shuffle as the joins
+    counts = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("c", "first", "last", "gap")).alias("most"))
+    hot = counts.filter((F.col("n") > max(HOT_WINDOWS, characters * HOT_PART)) & (F.col("most") >= 0))
+    hot = F.broadcast(hot.select("sig", F.ceil(F.col("n") / HOT_WINDOWS).cast("int").alias("pieces")))
+    # an anti join would be pushed below the shuffle, and then be another one
+    cold, many = sigs.join(hot, "sig", "left").filter(F.col("pieces").isNull()), sigs.join(hot, "sig")
 
     def side(df: DataFrame, key: str, *more: Column) -> DataFrame:
         return df.select("sig", F.col("key").alias(key), F.col("c").alias(f"c_{key}"), F.col("gap").alias(f"gap_{key}"), (F.col("first") - F.col("c")).alias(f"from_{key}"), (F.col("last") - F.col("c")).alias(f"to_{key}"), *more)
@@ -316,7 +318,8 @@ def shared_pairs(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text:
     """
     texts = keyed_texts(docs, min_chars, id_col, text)
     gram = gram or _gram(min_chars)
-    pairs = cut_lineage(candidate_pairs(signatures(texts, min_chars, gram, True)))
+    characters = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    pairs = cut_lineage(candidate_pairs(signatures(texts, min_chars, gram, True), characters))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     bodies = cut_lineage(texts.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
     between = verified_pairs(bodies, pairs, min_chars, gram)
@@ -328,43 +331,65 @@ def shared_pairs(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text:
     return apart.unionByName(copies).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 
-def run_places(texts: DataFrame, windows: DataFrame, min_chars: int) -> DataFrame:
-    """``run``, ``key``, ``start``: each run of ``min_chars`` characters that begins in one of the text's windows, by 128 bits of its digest."""
-    spans = windows.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    bodies = texts.select("key", "text").join(spans, "key").dropDuplicates(["key"])
+def window_digests(bodies: DataFrame, windows: DataFrame, min_chars: int, each_run: bool) -> DataFrame:
+    """``key``, ``sig``, ``first``, ``last``, ``offset``, ``digest`` (128 bits) of what windows (``key``, ``sig``, ``c``, ``first``, ``last``) hold.
+
+    One row for a window, of all characters that its runs have and the token's place in them (offset 0); with ``each_run``
+    one row for each run of ``min_chars`` characters, ``offset`` characters from the first.
+    """
+    spans = windows.groupBy("key").agg(F.collect_list(F.struct("sig", "c", "first", "last")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, numbers, starts, digests = batch.column(0), [], [], []
-            for k, (text, spans) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                mine = sorted({i for s in spans for i in range(s["first"], s["last"] + 1)})
-                digests += [blake2b(text[i : i + min_chars].encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in mine]
-                starts += mine
-                numbers += [k] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), keys.take(pa.array(numbers, pa.int64())), pa.array(starts, pa.int32())], names=["run", "key", "start"])
-
-    return bodies.select("key", "text", "spans").mapInArrow(run, "run binary, key binary, start int")
+            rows = []
+            for key, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
+                for s in spans:
+                    first, last = s["first"], s["last"]
+                    if each_run:
+                        held = [text[i : i + min_chars] for i in range(first, last + 1)]
+                    else:
+                        held = [f"{s['c'] - first} {text[first : last + min_chars]}"]
+                    rows += [(key, s["sig"], first, last, k, blake2b(h.encode("utf-8", "surrogatepass"), digest_size=16).digest()) for k, h in enumerate(held)]
+            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "sig", "first", "last", "offset", "digest"])
+
+    schema = "key binary, sig bigint, first int, last int, offset int, digest binary"
+    return bodies.join(spans, "key").select("key", "text", "spans").mapInArrow(run, schema)
 
 
 def shared_parts(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text: str = "text", gram: int | None = None) -> DataFrame:
     """``doc_id``, ``n_chars``, ``shared_chars``, ``shared_part`` of every document with a passage that stands elsewhere too.
 
-    A text with copies is shared as a whole. No pairs are made: of a signature that more than one text has, each window's
-    runs are grouped by what they are, and those that more than one text has are covered; a passage in n texts costs n
-    rows for each of its characters.
+    A text with copies is shared as a whole. No pairs are made, so the work follows the windows, however many texts a
+    passage is in. Of a signature that more than one text has, windows that hold the same are one class; a class with more
+    than one text is shared as it is. Where a signature has more classes, one window of each is taken apart into its runs,
+    and those that more than one text has are shared, in all windows of the class.
     """
     texts = keyed_texts(docs, min_chars, id_col, text)
     sigs = signatures(texts, min_chars, gram or _gram(min_chars))
-    several = sigs.groupBy("sig").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("sig")
-    places = cut_lineage(run_places(texts, sigs.join(several, "sig", "left_semi").select("key", "first", "last"), min_chars))
-    again = places.groupBy("run").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("run")
-    each = places.join(again, "run", "left_semi").select("key", "start")
-    # a start covers min_chars characters, or those up to the next one
-    ahead = F.lead("start").over(Window.partitionBy("key").orderBy("start")) - F.col("start")
-    parts = each.withColumn("__new", F.least(F.coalesce(ahead, F.lit(min_chars)), F.lit(min_chars))).groupBy("key").agg(F.sum("__new").alias("shared_chars"))
+    # the largest place is asked for so that the counts need all columns, and so the same shuffle as the join
+    several = sigs.groupBy("sig").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.max(F.greatest("c", "first", "last", "gap")).alias("most")).filter("x <> y AND most >= 0").select("sig")
+    windows = cut_lineage(sigs.join(several, "sig", "left_semi").select("sig", "key", "c", "first", "last"))
+    bodies = cut_lineage(texts.select("key", "text").join(windows.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
+    held = cut_lineage(window_digests(bodies, windows, min_chars, False).select("sig", "key", "first", "last", F.col("digest").alias("class")))
+    classes = cut_lineage(held.groupBy("sig", "class").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.min(F.struct("key", "first", "last")).alias("one")))
+    mixed = classes.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
+    apart = classes.join(mixed, "sig", "left_semi").select("sig", "class", "x", "y", "one.*")
+    runs = window_digests(bodies, apart.select("key", "sig", F.lit(0).alias("c"), "first", "last"), min_chars, True)
+    # a window is its text's only one with that first place: it names its class
+    runs = cut_lineage(runs.join(apart, ["sig", "key", "first", "last"]).select("sig", "class", "x", "y", "offset", "digest"))
+    common = runs.groupBy("sig", "digest").agg(F.min("x").alias("x"), F.max("y").alias("y")).filter("x <> y").select("sig", "digest")
+    offsets = runs.filter("x = y").join(common, ["sig", "digest"], "left_semi").select("sig", "class", "offset")
+    whole = classes.filter("x <> y").select("sig", "class")
+    parts = held.join(whole, ["sig", "class"], "left_semi").select("key", F.col("first").alias("lo"), (F.col("last") + min_chars).alias("hi"))
+    parts = parts.unionByName(held.join(offsets, ["sig", "class"]).select("key", (F.col("first") + F.col("offset")).alias("lo"), (F.col("first") + F.col("offset") + min_chars).alias("hi")))
     members = texts.select("id", "key", F.length("text").alias("n_chars"))
-    whole = members.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), F.first("n_chars").cast("bigint").alias("shared_chars")).filter("__n > 1").select("key", "shared_chars")
-    covered = parts.unionByName(whole).groupBy("key").agg(F.max("shared_chars").alias("shared_chars"))
+    copied = members.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), F.first("n_chars").alias("hi")).filter("__n > 1").select("key", F.lit(0).alias("lo"), "hi")
+    each = parts.unionByName(copied).groupBy("key", "lo").agg(F.max("hi").alias("hi"))
+    before = Window.partitionBy("key").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.coalesce(F.max("hi").over(before), F.lit(0))), F.lit(0))
+    covered = each.withColumn("__new", new).groupBy("key").agg(F.sum("__new").alias("shared_chars"))
     # a key's members may be a third of all rows; the covered side is one row per key
     out = members.join(covered, "key")
     return out.select(F.col("id").alias("doc_id"), "n_chars", "shared_chars", (F.col("shared_chars") / F.col("n_chars")).alias("shared_part"))
