@@ -8,9 +8,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoria.session import shipped
+
 SENTENCE_END = re.compile(r"[.!?][\"')\]]*\s+")
 WORD_END = re.compile(r"\s+")
 BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
@@ -119,4 +121,23 @@ def split_oversized(df: DataFrame, limits: Limits, keys: list[str], text: str =
                 out += [(*row[:-1], k, a, b, body[a:b]) for k, (a, b) in enumerate(cut(body, limits, marker))]
             yield pd.DataFrame(out, columns=[*keys, "piece_no", "start", "end", "piece"])
 
-    return df.filter(needs_split(F.col(text), limits)).select(*keys, F.col(text).alias("__text")).mapInPandas(run, schema)
+    return shipped(df).filter(needs_split(F.col(text), limits)).select(*keys, F.col(text).alias("__text")).mapInPandas(run, schema)
+
+
+def piece_checks(pieces: DataFrame, limits: Limits, keys: list[str]) -> DataFrame:
+    """Per text: ``pieces``, ``text_md5`` of the text put together again, and whether every piece keeps the limits and repeats what it should.
+
+    On the JVM and from the pieces alone: without what they repeat, they give the text. A piece repeats ``overlap``
+    characters, or all of the piece before where that is shorter; fewer only where the limits leave no room.
+    """
+    before = Window.partitionBy(*keys).orderBy("piece_no")
+    p = pieces.withColumn("__end", F.lag("end").over(before)).withColumn("__start", F.lag("start").over(before)).withColumn("__text", F.lag("piece").over(before))
+    repeated = F.coalesce(F.col("__end") - F.col("start"), F.lit(0))
+    markers = F.size(F.filter(F.split("piece", "\n"), lambda line: line.rlike("(?U)" + limits.marker)))
+    full = F.least(F.lit(limits.overlap), F.col("__end") - F.col("__start"))
+    same = F.substring("__text", F.length("__text") - repeated + 1, repeated) == F.substring("piece", F.lit(1), repeated)
+    p = p.withColumn("__new", F.substring("piece", repeated + 1, F.length("piece")))
+    p = p.withColumn("__kept", (F.length("piece") <= limits.max_chars) & (markers <= limits.max_markers) & (F.length("__new") > 0))
+    p = p.withColumn("__repeats", F.col("__end").isNull() | (same & (repeated >= 0) & ((repeated == full) | (markers == limits.max_markers))))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "__new"))), lambda s: s["__new"]), "")
+    return p.groupBy(*keys).agg(F.count(F.lit(1)).alias("pieces"), F.md5(text).alias("text_md5"), F.bool_and("__kept").alias("limits_kept"), F.bool_and("__repeats").alias("overlap_kept"))
