@@ -16,8 +16,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from scoria.session import ship_package
+
 #: Where the public vocabularies are; a parameter of every function that needs one.
 TOKENIZER_DIR = os.environ.get("SCORIA_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the published splitting pattern of the 50k byte-level vocabularies, in the syntax of Python's re.
@@ -192,21 +195,33 @@ def load_ranks(name: str, directory: str = TOKENIZER_DIR) -> dict[bytes, int]:
 
 
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
+_SENT: set[tuple[str, str]] = set()
+
+
+def send_vocabulary(df: DataFrame, name: str, directory: str) -> None:
+    """Sends the vocabulary's file to all workers, once per application, where the driver has it."""
+    ship_package(df.sparkSession)
+    context, path = df.sparkSession.sparkContext, os.path.join(directory, f"{name}.tiktoken")
+    if (context.applicationId, path) not in _SENT and os.path.isfile(path):
+        context.addFile(path)
+        _SENT.add((context.applicationId, path))
 
 
 def _encoder(name: str, directory: str) -> TextEncoder:
-    """One per worker process."""
+    """One per worker process, from the file that the driver sent, else from the worker's own ``directory``."""
     if (name, directory) not in _ENCODERS:
-        _ENCODERS[(name, directory)] = TextEncoder(load_ranks(name, directory))
+        sent = SparkFiles.get(f"{name}.tiktoken")
+        _ENCODERS[(name, directory)] = TextEncoder(load_ranks(name, os.path.dirname(sent) if os.path.isfile(sent) else directory))
     return _ENCODERS[(name, directory)]
 
 
 def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", directory: str = TOKENIZER_DIR) -> DataFrame:
     """``key`` and ``ids``: the token ids of each whole text, without special tokens, whose strings are ordinary text.
 
-    Null and empty texts have an empty list; repeated rows come out each; no shuffle. The vocabulary is read on the
-    workers from ``directory``.
+    Null and empty texts have an empty list; repeated rows come out each; no shuffle. The vocabulary is sent from the
+    driver's ``directory``, or read from the workers' own.
     """
+    send_vocabulary(df, name, directory)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +239,7 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", name: str
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", name: str = "byte_bpe_50k", directory: str = TOKENIZER_DIR) -> DataFrame:
     """``keep`` and ``n_tokens`` of each row: like token_ids, but only the length leaves the worker."""
+    send_vocabulary(df, name, directory)
     fields = df.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
