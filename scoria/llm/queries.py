@@ -49,6 +49,12 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "blocks"), limits(spark, sf_dir), ["doc_id", "block_id"])
 
 
+def p3_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of each oversized block give when they are put together, and whether they keep the limits and the overlap."""
+    pieces = splitting.split_oversized(table(spark, sf_dir, "blocks"), limits(spark, sf_dir), ["doc_id", "block_id"])
+    return splitting.piece_checks(pieces, limits(spark, sf_dir), ["doc_id", "block_id"]).drop("pieces")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = survivor.best_fields(survivor.duplicate_findings(table(spark, sf_dir, "records")))
     return best.select(F.col("first_id").alias("first_seq"), "field", F.col("best_id").alias("best_seq"))
@@ -58,7 +64,7 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving records: seq of the group's first, number of members and what was chosen."""
     records = table(spark, sf_dir, "records")
     out = survivor.surviving_records(records, survivor.duplicate_findings(records))
-    return out.select("seq", "run_id", "Name", "members", F.to_json("description").alias("description"), "severity", F.coalesce(F.size("instances"), F.lit(-1)).alias("n_instances"))
+    return out.select("seq", "run_id", "Name", "members", F.array_join("description", "\n").alias("description"), "severity", F.coalesce(F.size("instances"), F.lit(-1)).alias("n_instances"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +93,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_rates, p3_found, p3_pieces, p4_found, p4_survivors, p6_ids, p7_mix, p7_shares, p8_found, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_rates, p3_found, p3_pieces, p3_rebuilt, p4_found, p4_survivors, p6_ids, p7_mix, p7_shares, p8_found, p8_shared)}
 
 
 _SEP = r"([\p{Z}\t\n\v\f\r\x1c-\x1f\x{85}]|\p{P})+"
@@ -121,5 +127,12 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"""WITH b AS (SELECT doc_id, block_id, text, setting_value AS marker FROM blocks, profile_settings WHERE setting_key = 'openvas.chunking.marker_pattern')
             SELECT doc_id, block_id FROM b WHERE length(text) > {setting.format('llama4.max_chunk_size')}
             OR len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, marker))) > {setting.format('openvas.chunking.max_vulnerabilities_per_chunk')}""",
+        "p3_rebuilt": f"""WITH b AS (SELECT doc_id, block_id, text, setting_value AS marker FROM blocks, profile_settings WHERE setting_key = 'openvas.chunking.marker_pattern')
+            SELECT doc_id, block_id, md5(text) AS text_md5, true AS limits_kept, true AS overlap_kept FROM b WHERE length(text) > {setting.format('llama4.max_chunk_size')}
+            OR len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, marker))) > {setting.format('openvas.chunking.max_vulnerabilities_per_chunk')}""",
+        "p4_survivors": grouped + """, w AS (SELECT first_seq, field, seq FROM f QUALIFY row_number() OVER (PARTITION BY first_seq, field ORDER BY score DESC, extracted_at DESC NULLS LAST, seq) = 1),
+          b AS (SELECT first_seq, max(seq) FILTER (field = 'description') AS d, max(seq) FILTER (field = 'severity') AS s, max(seq) FILTER (field = 'instances') AS i FROM w GROUP BY first_seq)
+          SELECT m.seq, m.run_id, m.Name, m.members, array_to_string(x.description, chr(10)) AS description, y.severity, coalesce(len(z.instances), -1) AS n_instances
+          FROM m LEFT JOIN b USING (first_seq) LEFT JOIN records x ON x.seq = b.d LEFT JOIN records y ON y.seq = b.s LEFT JOIN records z ON z.seq = b.i WHERE m.seq = m.first_seq AND members > 1""",
         "p4_found": grouped + " SELECT first_seq, field, seq AS best_seq FROM f QUALIFY row_number() OVER (PARTITION BY first_seq, field ORDER BY score DESC, extracted_at DESC NULLS LAST, seq) = 1",
     }

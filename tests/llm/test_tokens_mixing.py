@@ -98,3 +98,55 @@ def test_mixing_edges(spark):
     assert sorted((r.doc_id, r.copies) for r in taken.collect()) == [(4, 2), (4, 2)] and shares.count() == 2
     taken, shares = mix(spark, docs[:1], [("a", 1.0, 1)])
     assert taken.count() == 0 and shares.first().actual_share == 0.0
+
+
+def test_inclusion_follows_weights(spark):
+    """Over many seeds documents are drawn as often as their weights say, and dues above the cap stay at it."""
+    rng = random.Random(4)
+    docs = [(i, "a", rng.choice([5, 10, 20, 40, 400])) for i in range(120)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint").withColumn("weight", F.col("n_tokens"))
+    targets = spark.createDataFrame([("a", 1.0, 2)], TARGETS)
+    total = 0.5 * sum(n for _, _, n in docs)
+    copies: dict = {}
+    seeds = 40
+    for seed in range(seeds):
+        rows = mixing.mix_sources(frame, targets, total=total, seed=seed)[0].collect()
+        tokens = sum(r.copies * r.n_tokens for r in rows)
+        assert total - 400 < tokens <= total + 1e-6 and max(r.copies for r in rows) <= 2
+        for r in rows:
+            copies[r.n_tokens] = copies.get(r.n_tokens, 0) + r.copies
+    rate = total / sum(n * n for _, _, n in docs)  # no document is due more than its cap here
+    for n in (5, 10, 20, 40, 400):
+        of_size = sum(1 for d in docs if d[2] == n)
+        assert abs(copies.get(n, 0) / seeds / of_size - rate * n) < 0.08 * max(1, rate * n) + 0.02
+
+
+def test_dues_are_capped(spark):
+    docs = [(i, "a", 10) for i in range(50)] + [(100, "a", 1000)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint").withColumn("weight", F.col("n_tokens"))
+    taken, shares = mixing.mix_sources(frame, spark.createDataFrame([("a", 1.0, 1)], TARGETS), total=1250)
+    got = {r.doc_id: r.copies for r in taken.collect()}
+    assert got[100] == 1 and len(got) == 26 and shares.first().limits is False and shares.first().most_total == 1500
+    taken, shares = mixing.mix_sources(frame, spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 1)], TARGETS))
+    assert {r.copies for r in taken.collect()} == {3} and {r.source: r.limits for r in shares.collect()} == {"a": True, "b": False}
+    odd = frame.withColumn("weight", F.when(F.col("doc_id") % 2 == 0, 0.0).when(F.col("doc_id") == 1, F.lit(None).cast("double")).otherwise(1.0))
+    assert all(r.doc_id % 2 for r in mixing.mix_sources(odd, spark.createDataFrame([("a", 1.0, 2)], TARGETS))[0].collect())
+
+
+@needs_vocabulary
+def test_shares_are_what_the_mix_holds(spark):
+    """The shares of the project's tables, by SQL over the rows of the mix."""
+    import duckdb
+
+    from scoria.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables here")
+    mix_rows, share_rows = queries.p7_mix(spark, data).toPandas(), queries.p7_shares(spark, data).toPandas()  # noqa: F841
+    wrong = duckdb.sql(f"""
+        WITH t AS (SELECT source, target_share, max_copies FROM '{data}/mix_targets.parquet'), m AS (SELECT source, count(*) AS docs, sum(copies) AS copies, sum(copies * n_tokens) AS tokens, max(copies) AS most FROM mix_rows GROUP BY source)
+        SELECT * FROM t LEFT JOIN m USING (source) LEFT JOIN share_rows s USING (source)
+        WHERE s.tokens <> coalesce(m.tokens, 0) OR s.taken_docs <> coalesce(m.docs, 0) OR s.taken_copies <> coalesce(m.copies, 0) OR coalesce(m.most, 0) > t.max_copies OR s.target_share <> t.target_share
+        OR abs(s.actual_share - coalesce(m.tokens, 0) / (SELECT sum(tokens) FROM m)) > 1e-9""")
+    assert len(share_rows) and wrong.fetchall() == []
