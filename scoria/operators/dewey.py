@@ -16,6 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoria.schemas import RECORD_FIELDS, TEXT_ARRAYS
+from scoria.session import cut_lineage, shipped
+
 #: Schema paths of the tables, and the child names that they have in results.
 TABLES = {
     "record": "records",
@@ -27,17 +30,51 @@ TABLES = {
 #: Nested fields of a record that become tables of their own.
 CHILDREN = ("instances", "references", "plugin_details")
 _DECODER = json.JSONDecoder()
-#: What may begin a JSON list or object; prose in brackets doesn't look like it.
+#: What may begin a JSON list or object; prose in braces doesn't look like an object.
 _OPENING = re.compile(r"[\[{]")
-_LIKELY = re.compile(r'\[\s*(?:$|[\[{\]"\d-]|null|true|false)|\{\s*(?:$|["}])')
+_OBJECT = re.compile(r'\{\s*(?:$|["}])')
+_SPACE = re.compile(r"\s*")
+
+
+def _breaks_off(raw: str, at: int) -> bool:
+    """Whether the list or object beginning at ``at``, which doesn't decode, is an incomplete one and not prose in brackets.
+
+    A list is followed item by item: it is incomplete if the text ends within it, or if something structured stands in it
+    before what can't be read, or is that itself. ``[1, 2 and more]`` is prose.
+    """
+    if raw[at] == "{":
+        return bool(_OBJECT.match(raw, at))
+    structured, pos = False, at + 1
+    while True:
+        pos = _SPACE.match(raw, pos).end()
+        if pos == len(raw) or raw[pos] == '"' and raw.find('"', pos + 1) < 0:
+            return True
+        try:
+            value, pos = _DECODER.raw_decode(raw, pos)
+        except RecursionError:
+            return True
+        except ValueError:
+            if structured or raw[pos] not in "[{":
+                return structured
+            if raw[pos] == "{":
+                return bool(_OBJECT.match(raw, pos))
+            pos += 1  # a list within the list: it decides
+            continue
+        structured |= isinstance(value, (dict, list))
+        pos = _SPACE.match(raw, pos).end()
+        if pos == len(raw):
+            return True
+        if raw[pos] != ",":
+            return structured
+        pos += 1
 
 
 def answer_json(raw: str | None) -> Any:
     """The JSON list or object of an answer, fenced or within prose or alone; None where there is none or it is incomplete.
 
     Of the places where one may begin the first counts that decodes to an object or to a list with anything structured in
-    it (a mark like ``[1]`` in prose is passed over), or else to an empty list. A place that begins like a list of objects
-    or an object but breaks off makes the answer incomplete: its inner parts are not taken for answers.
+    it (a mark like ``[1]`` in prose is passed over), or else to an empty list. A list or object that breaks off makes the
+    answer incomplete, whatever its first items are: its inner parts are not taken for answers.
     """
     if not raw:
         return None
@@ -47,7 +84,7 @@ def answer_json(raw: str | None) -> Any:
         try:
             value, end = _DECODER.raw_decode(raw, at)
         except (ValueError, RecursionError):
-            if _LIKELY.match(raw, at) and (raw[at] == "{" or re.match(r"\[\s*(?:$|[\[{])", raw[at:])):
+            if _breaks_off(raw, at):
                 return None
             pos = at + 1
             continue
@@ -131,7 +168,7 @@ def label_nodes(df: DataFrame, id_col: str = "response_id", raw: str = "raw") ->
             out = [(i, label, path, json.dumps(value, ensure_ascii=False)) for i, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]) for label, path, value in nodes_of(text)]
             yield pd.DataFrame(out, columns=["id", "label", "path", "value"])
 
-    nodes = df.filter(F.col(raw).isNotNull()).select(F.col(id_col).alias("id"), F.col(raw).alias("raw")).mapInPandas(run, f"id {kind}, label string, path string, value string")
+    nodes = shipped(df).filter(F.col(raw).isNotNull()).select(F.col(id_col).alias("id"), F.col(raw).alias("raw")).mapInPandas(run, f"id {kind}, label string, path string, value string")
     parent = F.when(F.instr("label", ".") > 0, F.regexp_replace("label", r"\.[0-9]+$", ""))
     return nodes.select("id", "label", parent.alias("parent"), "path", "value")
 
@@ -144,25 +181,39 @@ def child_rows(nodes: DataFrame) -> DataFrame:
     return below.select("id", F.get(part, F.lit(0)).cast("int").alias("rec_no"), name.alias("child"), F.get(part, F.lit(1)).cast("int").alias("child_no"), F.coalesce(F.get(part, F.lit(2)).cast("int"), F.lit(-1)).alias("sub_no"))
 
 
-#: Columns of the flat tables; a reference or header that is a bare string is its ``value``.
+#: Columns of the flat tables, all text but for the record's lists of texts; a reference or header that is a bare string is its ``value``.
 COLUMNS = {
-    "records": "Name string, severity string, port string, protocol string, description string",
-    "instances": "instance string, input_type string, input_name string, payload string, proof string, output string, request_method string, http_status_code string, http_protocol string, response_content_type string",
-    "references": "type string, value string",
-    "plugin_details": "publication_date string, modification_date string, family string, severity string, plugin_id string",
-    "headers": "name string, value string",
+    "records": tuple(n for n, _ in RECORD_FIELDS if n not in CHILDREN),
+    "instances": ("instance", "input_type", "input_name", "payload", "proof", "output", "request_method", "http_status_code", "http_protocol", "response_content_type"),
+    "references": ("type", "value"),
+    "plugin_details": ("publication_date", "modification_date", "family", "severity", "plugin_id"),
+    "headers": ("name", "value"),
 }
 
 
 def flat_table(nodes: DataFrame, name: str) -> DataFrame:
-    """One of the tables: ``id``, ``label``, ``parent`` and the columns of COLUMNS, all text; missing fields are null.
+    """One of the tables: ``id``, ``label``, ``parent``, the columns of COLUMNS, and ``extra``: all other fields of the node as JSON text.
 
-    The parent's row has (id, label) = (id, parent) in the table above.
+    Missing fields are null; so is ``extra`` without other fields. Where a record's list of texts is one text or the text of
+    a list, it is that list. The parent's row has (id, label) = (id, parent) in the table above.
     """
     path = next(p for p, n in TABLES.items() if n == name)
     mine = nodes.filter(F.col("path") == path)
-    fields = F.from_json("value", COLUMNS[name])
-    plain = F.when(F.col("value").startswith('"'), F.from_json(F.concat(F.lit('{"value":'), "value", F.lit("}")), "value string")["value"])
-    out = mine.select("id", "label", "parent", fields.alias("f"), plain.alias("plain"))
-    columns = [c.split(" ")[0] for c in COLUMNS[name].split(", ")]
-    return out.select("id", "label", "parent", *((F.coalesce(F.col("plain"), F.col(f"f.{c}")) if c == "value" else F.col(f"f.{c}")).alias(c) for c in columns))
+    plain = F.col("value").startswith('"')
+    fields = F.when(plain, F.create_map(F.lit("value"), F.from_json(F.concat(F.lit('{"value":'), "value", F.lit("}")), "value string")["value"])).otherwise(F.from_json("value", "map<string,string>"))
+    rows = mine.select("id", "label", "parent", fields.alias("f"))
+    columns = []
+    for c in COLUMNS[name]:
+        value = F.col("f")[c]
+        if name == "records" and c in TEXT_ARRAYS:
+            read = F.from_json(F.when(F.ltrim(value).startswith("["), value), "array<string>")
+            value = F.coalesce(read, F.when(value.isNotNull(), F.array(value)))
+        columns.append(value.alias(c))
+    others = F.map_filter("f", lambda k, v: ~k.isin(*COLUMNS[name]))
+    return rows.select("id", "label", "parent", *columns, F.when(F.size(others) > 0, F.to_json(others)).alias("extra"))
+
+
+def flat_tables(df: DataFrame, id_col: str = "response_id", raw: str = "raw") -> dict[str, DataFrame]:
+    """All tables by name. The answers are parsed once; the nodes are written down, and each table reads its part of them."""
+    nodes = cut_lineage(label_nodes(df, id_col, raw))
+    return {name: flat_table(nodes, name) for name in COLUMNS}

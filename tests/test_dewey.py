@@ -33,6 +33,27 @@ def test_nothing_to_find():
     assert children(json.dumps([{"Name": None, "references": "x"}, {"references": ["y"]}])) == []
 
 
+def test_incomplete_lists_of_any_beginning():
+    """Whatever the first items are: an incomplete list has no records, not even whole ones within it."""
+    record = json.dumps(RECORD)
+    for first in ("7", "-1.5e3", '"see next chunk"', "null", "true", "[1]", "{}", '"a [b] {c}"', "7, null, [], {}"):
+        for ends in (f"[{first}, {record}", f"[{first}, {record},", f"[{first}, {record[:-9]}", f"[\n {first},\n {record}, {{", f"[{first}, {record}, oops]", f"Found (see [1]):\n[{first}, {record}\n```"):
+            assert children(ends) == [], ends
+        assert children(f"[{first}, {record}]") and children(f"Found [1, 2 and 3] in [see above] {{all}}:\n[{first}, {record}]")
+    assert children("[[[[" + record) == [] and children("[" * 3000 + record) == []
+
+
+def test_all_fields_are_kept(spark):
+    record = {"Name": "n", "solution": "one", "impact": ["a", {"b": 1}, None], "cvss": '["x", "y"]', "severity": 3, "insight": None, "log_method": "[no list", "odd": {"k": [1]}, "more": "t"}
+    rows = [(1, json.dumps([record | {"instances": [{"instance": "u", "uri": "v"}], "references": [{"type": "t", "value": 5, "note": "z"}, "R"], "plugin_details": {"plugin_id": 1, "cpe": None}}]))]
+    tables = {n: t.collect() for n, t in dewey.flat_tables(spark.createDataFrame(rows, "response_id bigint, raw string")).items()}
+    r = tables["records"][0]
+    assert (r.Name, r.solution, r.impact, r.cvss, r.severity, r.insight, r.log_method) == ("n", ["one"], ["a", '{"b":1}', None], ["x", "y"], "3", None, ["[no list"])
+    assert json.loads(r.extra) == {"odd": '{"k":[1]}', "more": "t"}
+    assert json.loads(tables["instances"][0].extra) == {"uri": "v"} and tables["plugin_details"][0].plugin_id == "1"
+    assert [(x.type, x.value, x.extra) for x in sorted(tables["references"], key=lambda x: x.label)] == [("t", "5", '{"note":"z"}'), (None, "R", None)]
+
+
 def test_tables_and_links(spark):
     rows = [(1, json.dumps([RECORD]), "clash"), (2, None, "x"), (3, json.dumps([RECORD]), "y"), (3, "broken [", "z")]
     nodes = dewey.label_nodes(spark.createDataFrame(rows, "response_id bigint, raw string, label string"))
