@@ -176,7 +176,9 @@ def signatures(texts: DataFrame, min_chars: int, gram: int = GRAM, chained: bool
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "sig", "c", "first", "last", "gap"])
 
     made = texts.select("key", "text").mapInArrow(run, "key binary, sig bigint, c int, first int, last int, gap int")
-    # gap follows from the rest; as a key it isn't pruned on one side, so that joins share one exchange
+    # none is null; said here, no join adds it to one side only. gap follows from the rest; as a key it isn't pruned on one
+    # side. So all that reads this shares one exchange
+    made = made.filter(" AND ".join(f"{x} IS NOT NULL" for x in ("sig", "key", "c", "gap")))
     return made.repartition("sig").dropDuplicates(["sig", "key", "c", "gap"])
 
 
