@@ -7,10 +7,12 @@ from collections import Counter
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scoria.session import ship_package
+
 
 def lcs_length(x: Sequence, y: Sequence) -> int:
     """Length of the longest common subsequence, on the bits of one big integer: O(len(x) * len(y) / word size)."""
@@ -69,7 +71,14 @@ def pairwise(score: Callable[[str, str], float], kind: str = "double") -> Callab
         return pd.Series(out, dtype="float64" if kind == "double" else "Int64")
 
     batch.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return F.pandas_udf(batch, T.DoubleType() if kind == "double" else T.IntegerType())
+    udf = F.pandas_udf(batch, T.DoubleType() if kind == "double" else T.IntegerType())
+
+    def call(a: Column, b: Column) -> Column:
+        ship_package()
+        return udf(a, b)
+
+    call.udf = udf
+    return call
 
 
 lcs_tokens = pairwise(lambda a, b: lcs_length(a.split(), b.split()), "int")
@@ -93,6 +102,23 @@ def field_score(a: Column, b: Column, score: Callable[[Column, Column], Column])
     return F.when((left == "") & (right == ""), 1.0).when((left == "") | (right == ""), 0.0).otherwise(score(left, right))
 
 
+def score_pairs(df: DataFrame, x: str, y: str, score: Callable[[Column, Column], Column], name: str = "score", equal: float | None = None) -> DataFrame:
+    """Adds ``name``, the field_score of two text columns, with one call for each different pair of texts, across all batches.
+
+    ``equal``: what two equal texts have, where that is known without a call. Pairs without a side to compare need none
+    either; the others are made distinct by a digest of both, scored, and joined back.
+    """
+    left, right = F.coalesce(F.col(x), F.lit("")), F.coalesce(F.col(y), F.lit(""))
+    known = F.when((left == "") & (right == ""), 1.0).when((left == "") | (right == ""), 0.0)
+    if equal is not None:
+        known = F.when((left == right) & (left != ""), equal).otherwise(known)
+    digest = F.when(known.isNull(), F.unhex(F.substring(F.sha2(F.to_json(F.struct(left.alias("a"), right.alias("b"))), 256), 1, 32)))
+    marked = df.withColumn("__known", known).withColumn("__pair", digest)
+    distinct = marked.filter("__pair IS NOT NULL").groupBy("__pair").agg(F.min(x).alias("__x"), F.min(y).alias("__y"))
+    scored = distinct.select("__pair", score(F.col("__x"), F.col("__y")).alias("__score"))
+    return marked.join(scored, "__pair", "left").withColumn(name, F.coalesce("__known", "__score")).drop("__known", "__pair", "__score")
+
+
 def lcs_by_fold(x: Column, y: Column) -> Column:
     """lcs of two arrays without Python: one row of the table is carried through a nested fold. For short arrays."""
     zero = F.transform(y, lambda _: F.lit(0))
@@ -114,5 +140,7 @@ def register(spark: SparkSession) -> None:
     """Makes the functions usable in SQL under their names."""
     from scoria.functions.text import nfkc
 
+    ship_package(spark)
+
     for name, f in {"lcs_tokens": lcs_tokens, "rouge_l": rouge_l, "indel_ratio": indel_ratio, "token_sort_ratio": token_sort_ratio, "nfkc": nfkc}.items():
-        spark.udf.register(name, f)
+        spark.udf.register(name, getattr(f, "udf", f))

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scoria.session import ship_package
+
 #: Footer lines that are dropped.
 FOOTER = r"(?i)^\s*Page\s+\d+\s+of\s+\d+"
 #: Characters that are replaced when text is made safe for any code page.
@@ -59,11 +61,19 @@ def page_or_placeholder(text: Column, page_no: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode compatibility form; Spark has none of its own."""
+def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def nfkc(text: Column | str) -> Column:
+    """Unicode compatibility form; Spark has none of its own."""
+    ship_package()
+    return _nfkc(text)
+
+
+nfkc.udf = _nfkc
+
+
 def sanitize(text: Column) -> Column:
     """NFKC, then the safe characters, then nothing but ASCII, letters, numbers and white space."""
     out = nfkc(text)
@@ -121,12 +131,13 @@ def or_wildcard(value: Column, lower: bool = True) -> Column:
 def composite_key(scanner: str, columns: list[str], ports: bool = True) -> Column:
     """Matching key: name, port and protocol (openvas); name, severity and plugin (tenable); else the name.
 
-    Rows named 'services' match by content only: the key is a digest of the whole row. ``ports``: whether ports are normalised.
+    Rows named 'services' match by content only: the key is a digest of the whole row but for ``seq``, which only numbers
+    rows. ``ports``: whether ports are normalised.
     """
     name = normalize_name(F.col("Name"))
     if scanner == "openvas":
         port = normalize_port(F.col("port")) if ports else or_wildcard(F.col("port"), False)
-        content = F.concat(F.lit("services_exact|"), F.sha2(F.to_json(F.struct(*sorted(columns))), 256))
+        content = F.concat(F.lit("services_exact|"), F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(columns) if c != "seq"))), 256))
         return F.when(name == "services", content).otherwise(F.concat_ws("|", name, port, or_wildcard(F.col("protocol"))))
     if scanner == "tenable":
         return F.concat_ws("|", name, or_wildcard(F.col("severity")), or_wildcard(F.col("plugin"), False))
@@ -171,6 +182,25 @@ def run_number(path: Column) -> Column:
     return F.regexp_extract(path, r"run(\d+)", 1).try_cast("int")
 
 
+def folder_parts(path: Column) -> tuple[Column, Column]:
+    """(scanner, baseline) from a result file's path: the fourth part from its end, with the scanner's name before the baseline's.
+
+    A folder that begins with no known scanner is both; paths without such a folder are 'unknown'. In lower case.
+    """
+    folder = F.lower(F.try_element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), F.lit(-4)))
+    pattern = "^(openvas|tenable)_*(.*)$"
+    known = folder.rlike(pattern)
+    scanner = F.when(folder.isNull(), "unknown").when(known, F.regexp_extract(folder, pattern, 1)).otherwise(folder)
+    return scanner, F.when(folder.isNull(), "unknown").when(known, F.regexp_extract(folder, pattern, 2)).otherwise(folder)
+
+
+def stable_uuid(*values: Column) -> Column:
+    """An id in the form of a UUID (version 5 layout) from values: the same for the same values, in every run."""
+    digest = F.sha1(F.to_json(F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values))), {"ignoreNullFields": "false"}))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+
+
 def known_model(file_name: Column, models: list[str]) -> Column:
     """The last of a file name's '_'-parts that is a known model."""
     return F.try_element_at(F.filter(F.split(F.lower(file_name), "_"), lambda p: p.isin(*models)), F.lit(-1))

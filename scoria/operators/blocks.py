@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoria.functions.text import stripped
-from scoria.operators.pages import text_lines
+from scoria.operators.pages import ordered_text, text_lines
 from scoria.profiles import PLUGIN_HEADER
 
 #: Header lines of the two report kinds, and of the severity field.
@@ -20,11 +20,6 @@ def _part(line: Column, pattern: str, n: int) -> Column:
     return F.nullif(F.regexp_extract(line, pattern, n), F.lit(""))
 
 
-def ordered_text(no: str, line: str, sep: str = "\n") -> Column:
-    """Lines of a group joined in their order."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(no, line))), lambda s: s[line]), sep)
-
-
 def header_context(summaries: DataFrame) -> DataFrame:
     """Per document the last header line of its summary: ``severity``, ``port``, ``protocol`` and ``context``, the up to five lines that end there.
 

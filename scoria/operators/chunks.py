@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 
 from scoria.functions.text import sanitize
 from scoria.profiles import NVT_LINE, Chunking, Profile
+from scoria.session import ship_package
 
 #: Sizes of the packing in characters and tokens.
 TARGET, FLOOR, WINDOW, RESERVED = 8000, 1000, 4096, 1000
+#: Fixed value: the header of a finding, where no profile says how it looks.
 AUTO_PLUGIN_HEADER = r"^\s*VULNERABILITY\s+(CRITICAL|HIGH|MEDIUM|LOW)\s+PLUGIN\s+ID\s+\d+"
-#: What a chunk is, found by its own text where the profile's pattern doesn't occur.
+#: What a chunk is, found by its own text where the profile's pattern doesn't occur.
 AUTO = (("openvas", NVT_LINE, False, 5), ("tenable_was", AUTO_PLUGIN_HEADER, True, 3))
 
 Slicer = Callable[[str, int], list[str]]
@@ -43,6 +45,7 @@ def _exploded(df: DataFrame, cut: Callable[[str], list[str]]) -> DataFrame:
     def pieces(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: cut(t) if t else [])
 
+    ship_package(df.sparkSession)
     rest = [c for c in df.columns if c not in ("text", "chunk_id")]
     return df.select(*rest, F.posexplode(pieces("text")).alias("chunk_id", "text"))
 
@@ -168,6 +171,7 @@ def redivide(failed: DataFrame, max_tokens: int, profile: Profile | None = None)
 
         return pd.Series([cut(t, bool(v), list(e) if e is not None else []) if t else [] for t, v, e in zip(texts, token_valid, errors)])
 
+    ship_package(failed.sparkSession)
     rest = [c for c in failed.columns if c not in ("text", "token_valid", "errors")]
     return failed.select(*rest, F.posexplode(pieces("text", "token_valid", "errors")).alias("piece_no", "text"))
 
@@ -198,3 +202,14 @@ def chunk_quality(chunks: DataFrame, pattern: str | None, budget: int = TARGET,
             "pair_kinds": pairs,
         }
     )
+
+
+def quality_hints(quality: DataFrame) -> DataFrame:
+    """``hints``: what chunk_quality found to be wrong with each chunk, in words; an empty list for a good one."""
+    hints = F.array(
+        F.when(~F.col("size_ok"), "over the size: lower the chunk size"),
+        F.when(F.col("markers") == 0, "no marker: check the marker pattern"),
+        F.when(~F.col("clean_start"), "begins within a finding"),
+        F.when(~F.col("clean_end"), "ends soon after a marker: its finding goes on in the next chunk"),
+    )
+    return quality.withColumn("hints", F.array_compact(hints))

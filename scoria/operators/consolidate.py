@@ -7,8 +7,9 @@ map-side combine does it: no group is sorted or held as a whole. ``seq`` is the
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoria.functions.text import base_name, instance_count, is_filled, severity_rank, stripped
@@ -115,11 +116,28 @@ def first_seen(df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
 
 
 Strategy = Callable[[DataFrame], DataFrame]
+
+
+@dataclass(frozen=True)
+class About:
+    """What reports say of a strategy, and the keys of its groups when many sources are consolidated in one plan (null: records stay as they are)."""
+
+    name: str
+    description: str = "a strategy of its own"
+    reason: str = "deduplication"
+    keys: Callable[[], list[Column]] | None = None
+
+
 STRATEGIES: dict[str, Strategy] = {"openvas": lambda df: dedup_openvas(df).drop("place"), "tenable": merge_tenable}
+ABOUT: dict[str, About] = {
+    "openvas": About("most complete", "the most complete record of each name, port and protocol", "deduplication", lambda: [stripped(F.coalesce("Name", F.lit(""))), F.col("port"), F.col("protocol")]),
+    "tenable": About("merge of instances", "records of one name and plugin, with all their instances", "instance consolidation", lambda: [base_name(F.col("Name"))]),
+}
 
 
-def register_strategy(source: str, strategy: Strategy) -> None:
+def register_strategy(source: str, strategy: Strategy, about: About | None = None) -> None:
     STRATEGIES[source.lower()] = strategy
+    ABOUT[source.lower()] = about or About(getattr(strategy, "__name__", source))
 
 
 def strategy_for(source: str | None, aliases: dict[str, str] | None = None) -> Strategy | None:
@@ -131,26 +149,43 @@ def strategy_for(source: str | None, aliases: dict[str, str] | None = None) -> S
 def consolidate(df: DataFrame, profile: Profile, allow_duplicates: bool = False, aliases: dict[str, str] | None = None, source: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, report) of one run: its source's strategy, else pass-through or the most complete by the profile's field; then the description filter.
 
-    ``source``: the run's; without it that of its first record (one row is read). report: ``stage``, ``records``.
+    ``source``: the run's; without it that of its first record (one row is read). report: ``stage_no``, ``stage``,
+    ``records``, ``removed`` by the stage, and the ``strategy`` and ``reason`` of what was removed.
     """
     if source is None:
         head = df.select("source", "seq").orderBy("seq").limit(1).collect()
         source = head[0].source if head and head[0].source else profile.reader
     strategy = strategy_for(source, aliases)
     if strategy:
-        merged = strategy(df)
+        name = source.lower()
+        about = ABOUT[(aliases or {}).get(name, name)]
     elif allow_duplicates:
-        merged = df
+        strategy, about = lambda x: x, About("pass-through", "records as they are", "none")
     else:
-        merged = most_complete(df, profile.consolidation_field).drop("place")
-    merged = cut_lineage(merged)
+        strategy, about = lambda x: most_complete(x, profile.consolidation_field).drop("place"), About("most complete", f"the most complete record of each {profile.consolidation_field}")
+    merged = cut_lineage(strategy(df))
     kept, removed = with_description(merged, profile.description_field)
-    return kept, stage_counts(input=df, strategy=merged, no_description=removed, final=kept)
+    counts = stage_counts(input=df, strategy=merged, no_description=removed, final=kept)
+    before = F.lag("records").over(Window.orderBy("stage_no"))  # four rows
+    lost = F.when(F.col("stage") == "strategy", before - F.col("records")).when(F.col("stage") == "no_description", F.col("records")).otherwise(0)
+    reason = F.when(F.col("stage") == "strategy", about.reason).when(F.col("stage") == "no_description", "no valid description")
+    return kept, counts.select("stage_no", "stage", "records", lost.cast("bigint").alias("removed"), F.lit(about.name).alias("strategy"), reason.alias("reason"))
 
 
-def consolidate_by_source(df: DataFrame, name: str = "Name") -> DataFrame:
-    """Groups by source and base name in one plan; every source's rows are merged as in merge_group."""
-    return merge_group(df, [F.lower("source"), base_name(F.col(name))])
+def consolidate_by_source(df: DataFrame, name: str = "Name", aliases: dict[str, str] | None = None) -> DataFrame:
+    """Records of many sources in one plan: each source's rows are grouped by its strategy's keys and merged as in merge_group.
+
+    Rows of sources without a strategy stay as they are; unnamed rows of the others are left out.
+    """
+    known = [x for x, y in ABOUT.items() if y.keys]
+    source = F.lower(F.coalesce("source", F.lit("")))
+    for alias, target in (aliases or {}).items():
+        source = F.when(source == alias.lower(), target).otherwise(source)
+    own = df.filter(~source.isin(*known))
+    for x in known:
+        mine = df.filter((source == x) & (F.length(stripped(F.coalesce(F.col(name), F.lit("")))) > 0))
+        own = own.unionByName(merge_group(mine, [F.col("source"), *ABOUT[x].keys()]))
+    return own
 
 
 def stage_counts(**stages: DataFrame) -> DataFrame:
@@ -164,3 +199,16 @@ def stage_counts(**stages: DataFrame) -> DataFrame:
 def merged_groups(df: DataFrame, key: Column) -> DataFrame:
     """Audit: groups of more than one record: ``key``, ``size``, ``first_seq``, ``last_seq``."""
     return df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("size"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).filter("size > 1")
+
+
+def group_members(df: DataFrame, groups: DataFrame, key: Column, most: int = 20) -> DataFrame:
+    """The first ``most`` members of each of ``groups`` (of merged_groups; null keys are one): ``key``, ``place``, ``seq``, ``Name``, ``port``, ``protocol``, ``severity``.
+
+    Each group's rows are ranked as they are partitioned, so the few rows that are kept come from every task before they meet.
+    """
+    rows = df.select(key.alias("key"), "seq", "Name", "port", "protocol", "severity")
+    rows = rows.join(groups.select(F.col("key").alias("__key"), F.lit(True).alias("__in")), F.col("key").eqNullSafe(F.col("__key")), "left_semi")
+    local = F.row_number().over(Window.partitionBy("key", "__part").orderBy("seq"))
+    few = rows.withColumn("__part", F.pmod(F.xxhash64("seq"), F.lit(64))).withColumn("__r", local).filter(F.col("__r") <= most)
+    place = F.row_number().over(Window.partitionBy("key").orderBy("seq"))
+    return few.withColumn("place", place).filter(F.col("place") <= most).select("key", "place", "seq", "Name", "port", "protocol", "severity")

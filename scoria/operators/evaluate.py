@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoria.functions.similarity import field_score, rouge_l
+from scoria.functions.similarity import SEMANTIC, rouge_l, score_pairs, semantic_score
 from scoria.functions.text import normalize_list, normalize_text
+from scoria.operators.linkage import link_steps, mapping_debug, mean_field_score
 from scoria.session import cut_lineage
 
 #: Bands of the mean score (strictly above), highest first.
@@ -23,37 +25,64 @@ def band(score: Column) -> Column:
     return out
 
 
-def field_scores(links: DataFrame, extraction: DataFrame, baseline: DataFrame, fields: list[str], score: Callable[[Column, Column], Column] = rouge_l) -> DataFrame:
-    """``ext_seq``, ``base_seq``, ``status``, ``field``, ``score`` of linked rows, one row per field; unlinked rows score 0, absent rows have none.
+def common_columns(extraction: DataFrame, baseline: DataFrame, skip: tuple[str, ...] = ("Name", "seq")) -> list[str]:
+    """The columns of both sides that are compared, in the extraction's order."""
+    return [c for c in extraction.columns if c in baseline.columns and c not in skip and not c.startswith("__")]
 
-    The fields' texts are put side by side in rows first, so one vectorised call scores all fields.
-    """
-    kinds = dict(extraction.dtypes)
 
-    def text(side: str, c: str) -> Column:
-        col = F.col(f"{side}.`{c}`")
-        return normalize_list(col) if kinds[c] == "array<string>" else normalize_text(col.cast("string"))
+def comparable(df: DataFrame, c: str, side: str | None = None) -> Column:
+    """A column's text for scoring: lists joined, other nested values as JSON, anything else as text."""
+    kind, col = dict(df.dtypes)[c], F.col(f"{side}.`{c}`" if side else f"`{c}`")
+    if kind == "array<string>":
+        return normalize_list(col)
+    return normalize_text(F.to_json(col) if kind.startswith(("array", "struct", "map")) else col.cast("string"))
 
+
+def field_scores(links: DataFrame, extraction: DataFrame, baseline: DataFrame, fields: list[str], score: Callable[[Column, Column], Column] = rouge_l, equal: float | None = 1.0) -> DataFrame:
+    """``ext_seq``, ``base_seq``, ``status``, ``field``, ``score`` of linked rows, one row per field; unlinked rows score 0, absent rows have none.
+
+    The fields' texts are put side by side in rows first, so one vectorised call scores all fields, each different pair of
+    texts once. ``equal``: what equal texts score, where the score says so of all (null: they are scored like others).
+    """
     rows = links.filter("ext_seq IS NOT NULL").alias("l")
     joined = rows.join(extraction.alias("e"), F.col("l.ext_seq") == F.col("e.seq")).join(baseline.alias("b"), F.col("l.base_seq") == F.col("b.seq"), "left")
-    pairs = F.array(*(F.struct(F.lit(c).alias("field"), text("e", c).alias("x"), text("b", c).alias("y")) for c in fields))
+    pairs = F.array(*(F.struct(F.lit(c).alias("field"), comparable(extraction, c, "e").alias("x"), comparable(baseline, c, "b").alias("y")) for c in fields))
     each = joined.select("ext_seq", "base_seq", "status", F.explode(pairs).alias("p")).select("ext_seq", "base_seq", "status", "p.*")
-    return each.select("ext_seq", "base_seq", "status", "field", F.when(F.col("base_seq").isNull(), 0.0).otherwise(field_score(F.col("x"), F.col("y"), score)).alias("score"))
+    unlinked = each.filter("base_seq IS NULL").select("ext_seq", "base_seq", "status", "field", F.lit(0.0).alias("score"))
+    linked = score_pairs(each.filter("base_seq IS NOT NULL"), "x", "y", score, "score", equal).select("ext_seq", "base_seq", "status", "field", "score")
+    return linked.unionByName(unlinked)
 
 
 def row_means(scores: DataFrame) -> DataFrame:
     return scores.groupBy("ext_seq", "status").agg(F.avg("score").alias("mean_score"))
 
 
+#: What a category row is.
+MATCHED, EXCESS, INVENTED, ABSENT = "Matched", "Non-existent (excess duplicate)", "Non-existent (LLM invention)", "Absent (not extracted)"
+
+
 def categorize(links: DataFrame, scores: DataFrame, inventions: bool = True) -> DataFrame:
-    """``ext_seq``, ``base_seq``, ``category``: the band of linked rows, 'Non-existent' for unlinked ones (if ``inventions``), 'Absent' for unused baseline rows."""
+    """``ext_seq``, ``base_seq``, ``mean_score``, ``category``, ``type``: the band of linked rows, 'Non-existent' for unlinked ones (if ``inventions``), 'Absent' for unused baseline rows.
+
+    ``type`` parts unlinked rows into those whose counterpart was used up and those without one.
+    """
     means = scores.groupBy("ext_seq").agg(F.avg("score").alias("mean_score"))
     joined = links.join(means, "ext_seq", "left")
-    category = F.when(F.col("status") == "ABSENT", "Absent").when(F.col("base_seq").isNull(), "Non-existent").otherwise(band(F.col("mean_score")))
-    out = joined.select("ext_seq", "base_seq", "mean_score", category.alias("category"))
+    absent, unlinked = F.col("status") == "ABSENT", F.col("base_seq").isNull()
+    category = F.when(absent, "Absent").when(unlinked, "Non-existent").otherwise(band(F.col("mean_score")))
+    kind = F.when(absent, ABSENT).when(unlinked & (F.col("status") == "UNMATCHED_EXCESS"), EXCESS).when(unlinked, INVENTED).otherwise(MATCHED)
+    out = joined.select("ext_seq", "base_seq", "mean_score", category.alias("category"), kind.alias("type"))
     return out if inventions else out.filter("category <> 'Non-existent'")
 
 
+def category_counts(categories: DataFrame, by: list[str]) -> DataFrame:
+    """Per group one column for each category, and of the non-existent ones the ``excess`` and the ``invented``."""
+    names = (*(b for b, _ in BANDS), LOWEST_BAND, "Non-existent", "Absent")
+    columns = [F.count_if(F.col("category") == c).alias(c.lower().replace(" ", "_").replace("-", "_")) for c in names]
+    columns += [F.count_if(F.col("type") == EXCESS).alias("excess"), F.count_if(F.col("type") == INVENTED).alias("invented")]
+    return categories.groupBy(*by).agg(*columns)
+
+
 def column_stats(long: DataFrame, name: str = "field", value: str = "score", accuracy: int = 2000) -> DataFrame:
     """Per column ``matched``, ``avg_v``, ``std_v`` (sample; null for one row), ``min_v``, ``max_v``, ``median_v`` (exact).
 
@@ -88,7 +117,7 @@ def column_stats(long: DataFrame, name: str = "field", value: str = "score", acc
 
 def run_summary(links: DataFrame, categories: DataFrame, stats: DataFrame, description: str = "description") -> DataFrame:
     """One row of an extraction: totals, one column per category, mean of the column means, and the description's mean."""
-    counts = categories.agg(*(F.count_if(F.col("category") == c).alias(c.lower().replace(" ", "_").replace("-", "_")) for c in (*(b for b, _ in BANDS), LOWEST_BAND, "Non-existent", "Absent")))
+    counts = category_counts(categories, [])
     totals = links.agg(F.count("ext_seq").alias("total"), F.count_if(F.col("ext_seq").isNotNull() & F.col("base_seq").isNotNull()).alias("matched"))
     means = stats.agg(F.avg("avg_v").alias("overall_mean"), F.max(F.when(F.col("field") == description, F.col("avg_v"))).alias("description_mean"))
     rows = totals.unionByName(counts, True).unionByName(means, True)
@@ -103,13 +132,13 @@ def multiset_counts(found: DataFrame, expected: DataFrame, keys: list[str]) -> D
 
 
 def multiset_accuracy(counts: DataFrame) -> DataFrame:
-    """``tp``, ``fp``, ``fn``, ``precision``, ``recall``, ``f1`` of multisets; 0 where a denominator is 0."""
+    """``tp``, ``fp``, ``fn``, ``precision``, ``recall``, ``f1``, and ``found_pct``, ``invented_pct``, ``missing_pct`` of multisets; 0 where a denominator is 0."""
     sums = counts.agg(
         F.coalesce(F.sum(F.least("found", "expected")), F.lit(0)).alias("tp"),
         F.coalesce(F.sum(F.greatest(F.col("found") - F.col("expected"), F.lit(0))), F.lit(0)).alias("fp"),
         F.coalesce(F.sum(F.greatest(F.col("expected") - F.col("found"), F.lit(0))), F.lit(0)).alias("fn"),
     )
-    return sums.withColumns({k: F.coalesce(F.try_divide(*v), F.lit(0.0)) for k, v in {"precision": (F.col("tp"), F.col("tp") + F.col("fp")), "recall": (F.col("tp"), F.col("tp") + F.col("fn")), "f1": (2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))}.items()})
+    return sums.withColumns({k: F.coalesce(F.try_divide(*v), F.lit(0.0)) for k, v in {"precision": (F.col("tp"), F.col("tp") + F.col("fp")), "recall": (F.col("tp"), F.col("tp") + F.col("fn")), "f1": (2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), "found_pct": (100.0 * F.col("tp"), F.col("tp") + F.col("fn")), "invented_pct": (100.0 * F.col("fp"), F.col("tp") + F.col("fp")), "missing_pct": (100.0 * F.col("fn"), F.col("tp") + F.col("fn"))}.items()})
 
 
 def surplus_and_deficit(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,6 +152,18 @@ def token_totals(ledger: DataFrame, by: str = "llm") -> DataFrame:
     return ledger.rollup(by).agg(F.sum("tokens_input").alias("tokens_input"), F.sum("tokens_output").alias("tokens_output"), F.count(F.lit(1)).alias("calls"))
 
 
+def token_cost(ledger: DataFrame, prices: dict[str, tuple[float, float]], by: str = "llm", unit: float = 1e6) -> DataFrame:
+    """token_totals with ``cost``, by the given prices of ``unit`` tokens in and out per model; the last row (``by`` null) adds up.
+
+    Models without a price cost nothing, as their tokens can't be valued; ``priced`` says so.
+    """
+    rates = F.create_map(*(F.lit(x) for k, (i, o) in prices.items() for x in (k, F.struct(F.lit(float(i)).alias("i"), F.lit(float(o)).alias("o"))))) if prices else F.lit(None).cast("map<string,struct<i:double,o:double>>")
+    own = F.try_element_at(rates, F.col(by))
+    cost = (F.coalesce("tokens_input", F.lit(0)) * own["i"] + F.coalesce("tokens_output", F.lit(0)) * own["o"]) / unit
+    rows = ledger.withColumn("__cost", cost)
+    return rows.rollup(by).agg(F.sum("tokens_input").alias("tokens_input"), F.sum("tokens_output").alias("tokens_output"), F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("__cost"), F.lit(0.0)).alias("cost"), (F.count("__cost") == F.count(F.lit(1))).alias("priced"))
+
+
 def pivot_counts(df: DataFrame, rows: list[str], column: Column, values: list[str], total: str = "total") -> DataFrame:
     """Counts per row group and value, 0 where there are none, and their total; the values are given, so no extra pass finds them."""
     out = df.withColumn("__c", column).groupBy(*rows).pivot("__c", values).agg(F.count(F.lit(1))).fillna(0, values)
@@ -171,3 +212,60 @@ def category_shares(counts: DataFrame, group: str, category: str = "category", v
 def run_times(runs: DataFrame, start: str, end: str, group: str) -> DataFrame:
     """Runs and seconds per group."""
     return runs.groupBy(group).agg(F.count(F.lit(1)).alias("runs"), F.sum(F.col(end).cast("double") - F.col(start).cast("double")).alias("seconds"))
+
+
+def with_zero_columns(stats: DataFrame, fields: list[str]) -> DataFrame:
+    """Column statistics with a row of zeros for fields without any linked row."""
+    spark = stats.sparkSession
+    every = spark.range(1).select(F.explode(F.array(*map(F.lit, fields))).alias("field"))
+    out = every.join(stats, "field", "left")
+    none = F.coalesce("matched", F.lit(0)) == 0
+    return out.select("field", *(F.when(none, F.lit(0).cast(kind)).otherwise(F.col(c)).alias(c) for c, kind in stats.dtypes if c != "field"))
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    """The tables of one evaluation: ``per_record`` (a column per field), ``summary`` (per field), ``categories``, ``mapping``, and ``overall`` (one row)."""
+
+    per_record: DataFrame
+    summary: DataFrame
+    categories: DataFrame
+    mapping: DataFrame
+    overall: DataFrame
+
+
+def evaluate(extraction: DataFrame, baseline: DataFrame, metric: str = "rouge", allow_duplicates: bool = False, scanner: str | None = None, fields: list[str] | None = None, backend: str = "none") -> Evaluation:
+    """Compares an extraction with a baseline: links the records, scores the fields that both have, and gives all tables.
+
+    Both need ``seq`` (unique) and ``Name``. metric 'rouge': ROUGE-L of the fields; 'semantic': the named ``backend`` of
+    similarity.SEMANTIC, which then also decides among baseline rows of one name, by the mean of the fields and 0.5 for an
+    equal port and protocol. ``allow_duplicates``: baseline records of one name all take part, else the first of each.
+    """
+    if metric not in ("rouge", "semantic"):
+        raise ValueError(f"metric is 'rouge' or 'semantic', not {metric!r}")
+    fields = fields if fields is not None else common_columns(extraction, baseline)
+    if metric == "rouge":
+        linkage = link_steps(extraction, baseline, scanner, allow_duplicates)
+        scores = field_scores(linkage.links, extraction, baseline, fields)
+    else:
+        texts = [f"__t{i}" for i in range(len(fields))]
+        with_texts = [df.withColumns({t: comparable(df, f) for t, f in zip(texts, fields)}) for df in (extraction, baseline)]
+        linkage = link_steps(*with_texts, scanner, allow_duplicates, score=mean_field_score(texts, SEMANTIC[backend]), fields=tuple(texts))
+        scores = field_scores(linkage.links, extraction, baseline, fields, lambda x, y: semantic_score(x, y, backend), None)
+    scores = cut_lineage(scores)
+    categories = categorize(linkage.links, scores)
+    names = extraction.select(F.col("seq").alias("ext_seq"), "Name")
+    suffix = "rouge_l" if metric == "rouge" else "semantic"
+    status = F.when(F.col("base_seq").isNotNull(), "OK").otherwise(F.first("status"))
+    per_record = scores.groupBy("ext_seq", "base_seq").agg(status.alias("status"), *(F.max(F.when(F.col("field") == f, F.col("score"))).alias(f"{f}_{suffix}") for f in fields)).join(names, "ext_seq")
+    stats = cut_lineage(with_zero_columns(column_stats(scores.filter("base_seq IS NOT NULL")), fields))
+    return Evaluation(per_record, stats, categories, mapping_debug(linkage), run_summary(linkage.links, categories, stats))
+
+
+def summary_of_all(evaluations: dict[str, Evaluation]) -> DataFrame:
+    """One row per extraction: ``extraction`` and its overall row."""
+    out = None
+    for name, e in evaluations.items():
+        row = e.overall.select(F.lit(name).alias("extraction"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out

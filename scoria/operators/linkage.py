@@ -7,18 +7,22 @@ assignment gives, without a loop over rows.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoria.functions.similarity import indel_ratio, token_sort_ratio
+from scoria.functions.similarity import indel_ratio
 from scoria.functions.text import composite_key, normalize_name
-from scoria.session import cut_lineage, place_within
+from scoria.session import cut_lineage, place_within, ship_package
 
 #: Score of a wildcard part, least likeness of names, least token-sort likeness.
 WILDCARD_SCORE, LEAST_LIKENESS, LEAST_TOKEN_SORT = 0.3, 0.85, 0.85
+#: Likenesses that are asked for first, from the highest: what has a counterpart so alike isn't compared with less alike ones.
+ROUNDS = (0.93,)
 
 
 def detect_scanner(df: DataFrame) -> str:
@@ -37,9 +41,9 @@ def detect_scanner(df: DataFrame) -> str:
     return "generic"
 
 
-def with_keys(df: DataFrame, scanner: str, ports: bool = True) -> DataFrame:
-    """Adds ``name_norm`` and ``key``."""
-    return df.withColumn("name_norm", normalize_name(F.col("Name"))).withColumn("key", composite_key(scanner, df.columns, ports))
+def with_keys(df: DataFrame, scanner: str, ports: bool = True, columns: list[str] | None = None) -> DataFrame:
+    """Adds ``name_norm`` and ``key``. ``columns``: those that both sides have, where they differ; a 'Services' row's key is made of them."""
+    return df.withColumn("name_norm", normalize_name(F.col("Name"))).withColumn("key", composite_key(scanner, columns or df.columns, ports))
 
 
 def dedup_baseline(baseline: DataFrame) -> DataFrame:
@@ -64,9 +68,8 @@ def wildcard_matches(extraction: DataFrame, baseline: DataFrame) -> DataFrame:
     Joined on the number of parts and the first part; keys that begin with * are joined on the number of parts alone - on
     their few distinct keys only.
     """
-    # distinct keys, read by three joins
-    e = cut_lineage(extraction.select(F.col("key").alias("ext_key")).distinct()).withColumn("ep", _parts(F.col("ext_key"))).withColumn("n", F.size("ep")).withColumn("head", F.get("ep", F.lit(0)))
-    b = cut_lineage(baseline.groupBy(F.col("key").alias("base_key")).agg(F.min("seq").alias("base_seq"))).withColumn("bp", _parts(F.col("base_key"))).withColumn("n", F.size("bp")).withColumn("head", F.get("bp", F.lit(0)))
+    e = extraction.select(F.col("key").alias("ext_key")).distinct().withColumn("ep", _parts(F.col("ext_key"))).withColumn("n", F.size("ep")).withColumn("head", F.get("ep", F.lit(0)))
+    b = baseline.groupBy(F.col("key").alias("base_key")).agg(F.min("seq").alias("base_seq")).withColumn("bp", _parts(F.col("base_key"))).withColumn("n", F.size("bp")).withColumn("head", F.get("bp", F.lit(0)))
     agree = F.forall(F.zip_with("ep", "bp", lambda x, y: (x == y) | (x == "*") | (y == "*")), lambda x: x)
     out = ["ext_key", "base_key", "base_seq", parts_score(F.col("ep"), F.col("bp")).alias("score")]
     same = e.join(b, ["n", "head"]).filter(agree).select(*out)
@@ -81,47 +84,78 @@ def best_wildcard(extraction: DataFrame, baseline: DataFrame) -> DataFrame:
     return wildcard_matches(extraction, baseline).withColumn("__r", rank).filter("__r = 1").drop("__r")
 
 
-def fuzzy_names(names: DataFrame, candidates: DataFrame, least: float = LEAST_LIKENESS, block: str | None = None, likeness: Callable[[Column, Column], Column] = indel_ratio) -> DataFrame:
+def _tokens(df: DataFrame) -> DataFrame:
+    """Explodes ``__text`` to ``__token``: its pairs of neighbouring characters, each with its number among equal ones, so that they are a set."""
+    text = F.col("__text")
+    pairs = F.when(F.length(text) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, 2)))
+    each = df.select(*df.columns, F.explode_outer(pairs).alias("__pair")).groupBy(*df.columns, "__pair").agg(F.count(F.lit(1)).alias("__times"))
+    return each.select(*df.columns, F.explode(F.sequence(F.lit(1), "__times")).alias("__i"), "__pair").select(*df.columns, F.concat("__pair", F.col("__i").cast("string")).alias("__token"))
+
+
+def _least_shared(length: Column, least: float) -> Column:
+    """Tokens that a text of this length surely shares with any text as alike as ``least``; 1 or more for all but short texts.
+
+    Of T characters in both texts d <= (1 - least) * T are edits, and (T - d) / 2 common; each edit makes at most one new
+    pair of neighbours, so (T - d) / 2 - 1 - d pairs are shared, and T is at least length * 2 / (2 - least).
+    """
+    return F.ceil(length * (2.0 * (1.5 * least - 1.0) / (2.0 - least)) - 1.0 - 1e-9).cast("int")
+
+
+def fuzzy_names(names: DataFrame, candidates: DataFrame, least: float = LEAST_LIKENESS, block: str | None = None, likeness: Callable[[Column, Column], Column] = indel_ratio, form: Callable[[Column], Column] | None = None) -> DataFrame:
     """Per name (``name``) the most alike candidate (``candidate``, ``rank``): ``name``, ``candidate``, ``score``; ties to the lower rank.
 
-    With ``block``, pairs are made within a block only. Without, a pair must share a piece of text: as alike as ``least``,
-    two names differ by at most (1 - least) of their joint length in edits, which is at most twice that part of the longer
-    name's; of one piece of the longer name more than that, one stands unchanged in the other. Pieces are joined by
-    equality; both sides are distinct names.
+    ``likeness`` is the indel ratio of the names in their ``form`` (as they are, if none). With ``block``, only names of
+    the same block are compared. No pair that is as alike as ``least`` is missed, and not all pairs are made: a text's pairs
+    of neighbouring characters are put in order of their rarity, and texts meet by the rarest of them only, as many as it
+    takes for two texts so alike to have one in common. Very alike counterparts are sought first, by few and rare ones (see
+    ROUNDS); only names without any go on. Short texts, of which nothing is sure, meet by single characters. Both sides are
+    distinct names; empty names have no counterpart.
     """
     by = [block] if block else []
-    a = names.select("name", *by).distinct()
-    b = candidates.groupBy(F.col("name").alias("candidate"), *by).agg(F.min("rank").alias("rank"))
-    la, lb = F.length("name"), F.length("candidate")
-    # the ratio is at most 2 * min / (la + lb)
-    near = 2.0 * F.least(la, lb) >= least * (la + lb)
-    if block:
-        pairs = a.join(b, by).filter(near)
-    else:
-        longest = max(1, int(1 / (2 * (1 - least)))) if least < 1 else 1 << 16
-
-        def pieces(df: DataFrame, col: str) -> DataFrame:
-            """Disjoint pieces, one more than there may be edits."""
-            n = F.length(col)
-            edits = F.floor(2 * (1 - least) * n + 1e-9).cast("int")
-            size = F.least(F.greatest(F.floor(n / (edits + 1)), F.lit(1)), F.lit(longest)).cast("int")
-            cut = F.transform(F.sequence(F.lit(0), edits), lambda i: F.substring(F.col(col), i * size + 1, size))
-            return df.select(*df.columns, size.alias("__size"), F.explode(cut).alias("__gram")).filter(F.length("__gram") == F.col("__size")).distinct()
-
-        def grams(df: DataFrame, col: str) -> DataFrame:
-            """All substrings of the sizes that pieces have."""
-            sized = df.select(*df.columns, F.explode(F.sequence(F.lit(1), F.least(F.length(col), F.lit(longest)))).alias("__size")).filter(F.length(col) >= F.col("__size"))
-            every = F.transform(F.sequence(F.lit(1), F.length(col) - F.col("__size") + 1), lambda i: F.substring(F.col(col), i, F.col("__size")))
-            return sized.select(*df.columns, "__size", F.explode(every).alias("__gram")).distinct()
-
-        a, b = a.filter("name <> ''"), b.filter("candidate <> ''")
-        joint = ["__size", "__gram"]
-        longer_candidate = grams(a, "name").join(pieces(b, "candidate"), joint).filter(la <= lb)
-        longer_name = pieces(a, "name").join(grams(b, "candidate"), joint).filter(la > lb)
-        pairs = longer_candidate.unionByName(longer_name).filter(near).select("name", "candidate", "rank").distinct()
-    scored = pairs.withColumn("score", likeness(F.col("name"), F.col("candidate"))).filter(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy("name", *by).orderBy(F.desc("score"), "rank"))
-    return scored.withColumn("__r", rank).filter("__r = 1").select("name", "candidate", *by, "score")
+    form = form or (lambda c: c)
+    a = names.select(F.lit(0).alias("__side"), "name", F.lit(None).cast(candidates.schema["rank"].dataType).alias("rank"), *by).distinct()
+    b = candidates.groupBy(F.lit(1).alias("__side"), "name", *by).agg(F.min("rank").alias("rank")).select("__side", "name", "rank", *by)
+    # both sides are read several times
+    every = cut_lineage(a.unionByName(b).filter("name <> ''").withColumn("__text", form(F.col("name"))))
+    each = _tokens(every)
+    rarity = each.filter("__token IS NOT NULL").groupBy(*by, "__token").agg(F.count(F.lit(1)).alias("__n"))
+    tokens = F.transform(F.array_sort(F.collect_list(F.when(F.col("__token").isNotNull(), F.struct("__n", "__token")))), lambda s: s["__token"])
+    # each text with its tokens, the rarest first
+    ordered = each.join(rarity, [*by, "__token"], "left").groupBy(*every.columns).agg(tokens.alias("__tokens")).withColumn("__length", F.length("__text"))
+    ordered = cut_lineage(ordered)
+    a = ordered.filter("__side = 0").drop("__side", "rank")
+    b = ordered.filter("__side = 1").drop("__side").withColumnRenamed("name", "candidate")
+    found = None
+    for at_least in sorted({least, *(r for r in ROUNDS if r > least)}, reverse=True):
+        best = _most_alike(a, b, at_least, by, likeness)
+        if at_least > least:
+            best = cut_lineage(best)
+            a = a.join(best.select("name", *by), ["name", *by], "left_anti")
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def _most_alike(a: DataFrame, b: DataFrame, least: float, by: list[str], likeness: Callable[[Column, Column], Column]) -> DataFrame:
+    """Per name of ``a`` the most alike of ``b``, if it is as alike as ``least``."""
+    longest = int(2.0 / (2.0 * (1.5 * least - 1.0) / (2.0 - least)) + 1) if least > 2 / 3 else 1 << 30
+    partner = longest * (2.0 - least) / least if least > 2 / 3 else 1 << 30
+
+    def keys(df: DataFrame) -> DataFrame:
+        """The rarest tokens of a text; its characters too, if it or its counterpart may be short."""
+        size = F.size("__tokens")
+        rare = F.slice("__tokens", 1, F.greatest(size - F.greatest(_least_shared(F.col("__length"), least), F.lit(1)) + 1, F.lit(0)))
+        letters = F.when(F.col("__length") <= partner, F.array_distinct(F.split("__text", ""))).otherwise(F.array().cast("array<string>"))
+        return df.select(*df.columns, F.explode(F.concat(rare, letters)).alias("__key")).drop("__tokens")
+
+    x = keys(a).withColumnRenamed("__text", "__x").withColumnRenamed("__length", "__lx")
+    y = keys(b).withColumnRenamed("__text", "__y").withColumnRenamed("__length", "__ly")
+    # the ratio is at most 2 * min / (both lengths); single characters count for short texts only
+    near = 2.0 * F.least("__lx", "__ly") >= least * (F.col("__lx") + F.col("__ly")) - 1e-9
+    useful = (F.length("__key") > 1) | (F.least("__lx", "__ly") <= longest)
+    pairs = x.join(y, [*by, "__key"]).filter(near & useful).select("name", *by, "candidate", "rank", "__x", "__y").distinct()
+    scored = pairs.withColumn("score", likeness(F.col("__x"), F.col("__y"))).filter(F.col("score") >= least)
+    best = F.max_by(F.struct("candidate", "score"), F.struct(F.col("score"), (-F.col("rank")).alias("r")))
+    return scored.groupBy("name", *by).agg(best.alias("b")).select("name", "b.candidate", *by, "b.score")
 
 
 def resolve(extraction: DataFrame, baseline: DataFrame, least: float = LEAST_LIKENESS) -> DataFrame:
@@ -151,56 +185,140 @@ def assign_by_key(extraction: DataFrame, baseline: DataFrame, left: str = "match
     """The k-th extraction row of a key with the k-th baseline row of that key: ``ext_seq``, ``base_seq`` (null: more rows than the baseline has)."""
     e = extraction.filter(F.col(left).isNotNull()).select(F.col(left).alias("k"), F.col("seq").alias("ext_seq"))
     b = baseline.select(F.col(right).alias("k"), F.col("seq").alias("base_seq"))
-    e, b = place_within(e, ["k"], ["ext_seq"], "n"), place_within(b, ["k"], ["base_seq"], "n")
+    # both sides are put in order at once
+    both = e.select("k", F.lit(0).alias("side"), F.col("ext_seq").alias("s")).unionByName(b.select("k", F.lit(1).alias("side"), F.col("base_seq").alias("s")))
+    placed = place_within(both, ["k", "side"], ["s"], "n")
+    e, b = placed.filter("side = 0").select("k", "n", F.col("s").alias("ext_seq")), placed.filter("side = 1").select("k", "n", F.col("s").alias("base_seq"))
     return e.join(b, ["k", "n"], "left").select("ext_seq", "base_seq")
 
 
-def assign_fallback(rows: DataFrame, free: DataFrame, score: Callable[[dict, dict], float] | None = None) -> DataFrame:
-    """Rows (``ext_seq``, ``name``, ``port``, ``protocol``) take, in order, the best free baseline row of their name.
+def _take_in_order(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """One name's rows: each takes the first free row with its port and protocol, else with one of them, else any.
 
-    The best has the highest score - by default one for an equal port and one for an equal protocol - and comes first on a
-    tie; a taken row is gone. Names don't share rows, so each name is one group; its rows of both sides are what the
-    baseline has of one name. ``ext_seq``, ``base_seq`` (null: none left).
+    Free rows wait in one queue for each of these, in their order; what was taken from another queue is passed over, so the
+    work follows the rows of both sides together.
     """
-
-    def same(e: dict, b: dict) -> float:
-        return float(bool(e["port"]) and e["port"] == b["port"]) + float(bool(e["protocol"]) and e["protocol"] == b["protocol"])
-
-    rate = score or same
-
+    queues: dict[tuple, deque] = {}
+    for seq, port, protocol in sorted(zip(right["base_seq"], right["port"], right["protocol"])):
+        for q in ((port, protocol), ("port", port, 0), ("protocol", protocol, 0), ()):
+            queues.setdefault(q, deque()).append(seq)
+    taken: set[int] = set()
+
+    def first(q: tuple) -> int | None:
+        waiting = queues.get(q, ())
+        while waiting and waiting[0] in taken:
+            waiting.popleft()
+        return waiting[0] if waiting else None
+
+    out = []
+    for seq, port, protocol in sorted(zip(left["ext_seq"], left["port"], left["protocol"])):
+        got = first((port, protocol)) if port and protocol else None
+        if got is None:
+            ones = [first(q) for q, said in ((("port", port, 0), port), (("protocol", protocol, 0), protocol)) if said]
+            got = min((x for x in ones if x is not None), default=None)
+        if got is None:
+            got = first(())
+        if got is not None:
+            taken.add(got)
+        out.append((seq, got))
+    return pd.DataFrame(out, columns=["ext_seq", "base_seq"]).astype({"base_seq": "Int64"})
+
+
+def _best_by(rate: Callable[[dict, dict], float]) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def greedy(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free_rows = right.sort_values("base_seq").to_dict("records")
+        free = right.sort_values("base_seq").to_dict("records")
         out = []
         for e in left.sort_values("ext_seq").to_dict("records"):
-            best = max(range(len(free_rows)), key=lambda i: (rate(e, free_rows[i]), -i), default=None)
-            out.append((e["ext_seq"], free_rows.pop(best)["base_seq"] if best is not None else None))
+            best = max(range(len(free)), key=lambda i: (rate(e, free[i]), -i), default=None)
+            out.append((e["ext_seq"], free.pop(best)["base_seq"] if best is not None else None))
         return pd.DataFrame(out, columns=["ext_seq", "base_seq"]).astype({"base_seq": "Int64"})
 
+    return greedy
+
+
+def mean_field_score(fields: list[str], score: Callable[[str, str], float]) -> Callable[[dict, dict], float]:
+    """A rate for assign_fallback: the mean score of the fields that both rows have, and 0.5 more if port and protocol are equal; -1 if there is no such field."""
+    seen: dict[tuple[str, str], float] = {}
+
+    def rate(e: dict, b: dict) -> float:
+        scores = []
+        for f in fields:
+            x, y = e[f] or "", b[f] or ""
+            if x.strip() and y.strip():
+                if (x, y) not in seen:
+                    seen[x, y] = score(x, y)
+                scores.append(seen[x, y])
+        return sum(scores) / len(scores) + 0.5 * (e["port"] == b["port"] and e["protocol"] == b["protocol"]) if scores else -1.0
+
+    return rate
+
+
+def assign_fallback(rows: DataFrame, free: DataFrame, score: Callable[[dict, dict], float] | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (``ext_seq``, ``name``, ``port``, ``protocol``) take, in order, the best free baseline row of their name.
+
+    The best has the highest score - by default one for an equal port and one for an equal protocol - and comes first on a
+    tie; a taken row is gone. Names don't share rows, so each name is one group, of the narrow rows that the key left over;
+    with the default score the work follows their number. Another ``score`` of two rows (with the columns ``fields``)
+    compares each row with all free rows of its name. ``ext_seq``, ``base_seq`` (null: none left).
+    """
+
     def tidy(df: DataFrame, seq: str) -> DataFrame:
-        return df.select("name", F.trim(F.coalesce("port", F.lit(""))).alias("port"), F.lower(F.trim(F.coalesce("protocol", F.lit("")))).alias("protocol"), F.col(seq))
+        return df.select("name", F.trim(F.coalesce("port", F.lit(""))).alias("port"), F.lower(F.trim(F.coalesce("protocol", F.lit("")))).alias("protocol"), F.col(seq), *fields)
 
-    return tidy(rows, "ext_seq").groupBy("name").cogroup(tidy(free, "base_seq").groupBy("name")).applyInPandas(greedy, "ext_seq bigint, base_seq bigint")
+    ship_package(rows.sparkSession)
+    take = _best_by(score) if score else _take_in_order
+    return tidy(rows, "ext_seq").groupBy("name").cogroup(tidy(free, "base_seq").groupBy("name")).applyInPandas(take, "ext_seq bigint, base_seq bigint")
 
 
-def link(extraction: DataFrame, baseline: DataFrame, scanner: str | None = None, allow_duplicates: bool = False, ports: bool = True) -> DataFrame:
-    """The whole linkage: ``ext_seq``, ``base_seq``, ``status`` of every extraction row, and baseline rows never used as ABSENT."""
+@dataclass(frozen=True)
+class Linkage:
+    """What linking gives: ``links`` (``ext_seq``, ``base_seq``, ``status``), the extraction's ``resolved`` rows and the ``baseline`` rows that took part, both with keys."""
+
+    links: DataFrame
+    resolved: DataFrame
+    baseline: DataFrame
+
+
+def link_steps(extraction: DataFrame, baseline: DataFrame, scanner: str | None = None, allow_duplicates: bool = False, ports: bool = True, score: Callable[[dict, dict], float] | None = None, fields: tuple[str, ...] = ()) -> Linkage:
+    """The whole linkage: each extraction row with its baseline row and status, and baseline rows never used as ABSENT.
+
+    ``score`` and ``fields`` (text columns of both sides) decide among baseline rows of one name, see assign_fallback.
+    """
     scanner = scanner or detect_scanner(extraction)
-    e, b = with_keys(extraction, scanner, ports), with_keys(baseline, scanner, ports)
+    shared = [c for c in extraction.columns if c in baseline.columns]
+    e, b = with_keys(extraction, scanner, ports, shared), with_keys(baseline, scanner, ports, shared)
     if not allow_duplicates:
         b = dedup_baseline(b)
     # several steps read what follows: both sides are cut to their narrow columns
-    e, b = (cut_lineage(x.select("seq", "key", "name_norm", "port", "protocol")) for x in (e, b))
+    e, b = (cut_lineage(_column(_column(x, "port"), "protocol").select("seq", "Name", "key", "name_norm", "port", "protocol", *fields)) for x in (e, b))
     resolved = cut_lineage(resolve(e, b))
     by_key = assign_by_key(resolved, b)
     used = by_key.filter("base_seq IS NOT NULL").select("base_seq")
-    free = b.join(used, b["seq"] == used["base_seq"], "left_anti").select(F.col("name_norm").alias("name"), "port", "protocol", F.col("seq").alias("base_seq"))
-    rest = resolved.filter("match_key IS NULL AND match_name IS NOT NULL").select(F.col("match_name").alias("name"), "port", "protocol", F.col("seq").alias("ext_seq"))
-    by_name = assign_fallback(rest, free)
-    assigned = cut_lineage(by_key.unionByName(by_name))
+    free = b.join(used, b["seq"] == used["base_seq"], "left_anti").select(F.col("name_norm").alias("name"), "port", "protocol", F.col("seq").alias("base_seq"), *fields)
+    rest = resolved.filter("match_key IS NULL AND match_name IS NOT NULL").select(F.col("match_name").alias("name"), "port", "protocol", F.col("seq").alias("ext_seq"), *fields)
+    assigned = cut_lineage(by_key.unionByName(assign_fallback(rest, free, score, fields)))
     status = F.when(F.col("r.status") == "UNMATCHED", "UNMATCHED").when(F.col("a.base_seq").isNull(), "UNMATCHED_EXCESS").otherwise(F.col("r.status"))
     rows = resolved.alias("r").join(assigned.alias("a"), F.col("r.seq") == F.col("a.ext_seq"), "left").select(F.col("r.seq").alias("ext_seq"), "a.base_seq", status.alias("status"))
     absent = b.select(F.col("seq").alias("base_seq")).join(assigned.filter("base_seq IS NOT NULL").select("base_seq"), "base_seq", "left_anti")
-    return rows.unionByName(absent.select(F.lit(None).cast("bigint").alias("ext_seq"), "base_seq", F.lit("ABSENT").alias("status")))
+    links = rows.unionByName(absent.select(F.lit(None).cast("bigint").alias("ext_seq"), "base_seq", F.lit("ABSENT").alias("status")))
+    return Linkage(links, resolved, b)
+
+
+def _column(df: DataFrame, name: str) -> DataFrame:
+    return df if name in df.columns else df.withColumn(name, F.lit(None).cast("string"))
+
+
+def link(extraction: DataFrame, baseline: DataFrame, scanner: str | None = None, allow_duplicates: bool = False, ports: bool = True) -> DataFrame:
+    """``ext_seq``, ``base_seq``, ``status`` of every extraction row, and of baseline rows never used as ABSENT; see link_steps."""
+    return link_steps(extraction, baseline, scanner, allow_duplicates, ports).links
+
+
+def mapping_debug(linkage: Linkage) -> DataFrame:
+    """How each extraction row was matched: its names and key, the baseline's name, likeness of both names and the kind of match."""
+    first = linkage.baseline.groupBy(F.col("name_norm").alias("match_name")).agg(F.min_by("Name", "seq").alias("Baseline_Name_matched"))
+    kind = F.when(F.col("match_name").isNull(), "UNMATCHED").when(F.col("match_key").isNotNull(), "MATCHED_COMPOSITE").otherwise("MATCHED_NAME_ONLY")
+    rows = linkage.resolved.join(first, "match_name", "left")
+    return rows.select("seq", F.col("Name").alias("Extraction_Name"), F.col("name_norm").alias("Extraction_Name_norm"), F.col("key").alias("Composite_Key"), "Baseline_Name_matched", F.coalesce("match_score", F.lit(0.0)).alias("match_score"), kind.alias("Status"))
 
 
 def lookup_with_alternative(df: DataFrame, dim: DataFrame, key: str, alternative: str, value: str) -> tuple[DataFrame, DataFrame]:
@@ -255,7 +373,16 @@ def first_existing(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def blocked_token_sort(rows: DataFrame, baseline: DataFrame, least: float = LEAST_TOKEN_SORT) -> DataFrame:
-    """Each row's name (``ip``, ``name``) as the most alike baseline name of the same address, or as it is; rows keep their number."""
-    cands = baseline.select("ip", "name").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("ip").orderBy("name")))
-    best = fuzzy_names(rows.select("ip", "name"), cands, least, "ip", token_sort_ratio)
+    """Each row's name (``ip``, ``name``) as the most alike baseline name of the same address, or as it is; rows keep their number.
+
+    Names are compared with their words in order, so the same candidates as in fuzzy_names do, within an address.
+    """
+
+    def in_order(name: Column) -> Column:
+        return F.array_join(F.array_sort(F.filter(F.split(name, r"(?U)\s+"), lambda w: w != "")), " ")
+
+    # of equally alike names the first in order
+    distinct = baseline.select("ip", "name").distinct()
+    cands = distinct.withColumn("rank", F.row_number().over(Window.partitionBy("ip").orderBy("name")))
+    best = fuzzy_names(rows.select("ip", "name"), cands, least, "ip", indel_ratio, in_order)
     return rows.join(best.select("ip", "name", "candidate"), ["ip", "name"], "left").withColumn("matched_name", F.coalesce("candidate", "name")).drop("candidate")

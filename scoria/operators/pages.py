@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoria.functions.text import WS, clean_layout, is_footer, nfkc, page_or_placeholder
 from scoria.profiles import PLUGIN_HEADER
+from scoria.session import shipped
 
 #: Marks of page breaks, and the headings at which a carried-over passage ends.
 GOES_ON, WENT_ON = "continues on next page", "continued from previous page"
@@ -126,7 +127,7 @@ def stitch_pages(pages: DataFrame) -> DataFrame:
         ordered = pdf.sort_values("page_no")
         return pd.DataFrame({"doc_id": ordered["doc_id"].iloc[:1], "text": ["\n".join(Stitcher([t or "" for t in ordered["text"]]).run())]})
 
-    joined = pages.select("doc_id", "page_no", "text").groupBy("doc_id").applyInPandas(whole, f"doc_id {kind}, text string")
+    joined = shipped(pages).select("doc_id", "page_no", "text").groupBy("doc_id").applyInPandas(whole, f"doc_id {kind}, text string")
     return joined.withColumn("text", nfkc("text"))
 
 
@@ -158,9 +159,21 @@ def split_summary(docs: DataFrame, scanner: str) -> DataFrame:
     return docs.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.kind", "p.text").filter((F.col("kind") == "body") | F.col("text").rlike(r"\S"))
 
 
-def body_text(parts: DataFrame) -> DataFrame:
-    """``doc_id`` and the text of the bodies only, joined by line ends where a document has more than one."""
-    return parts.filter("kind = 'body'").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
+def body_text(parts: DataFrame, order: str | None = None) -> DataFrame:
+    """``doc_id`` and the text of the bodies only, joined by line ends where a document has more than one, in the order of the column ``order``.
+
+    Without ``order`` a document must have one body; more of them can't be put in order, and are refused.
+    """
+    bodies = parts.filter("kind = 'body'")
+    if order is None:
+        one = bodies.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
+        return one.select("doc_id", F.when(F.col("n") == 1, F.col("text")).otherwise(F.raise_error(F.lit("a document has several bodies: give their order"))).alias("text"))
+    return bodies.groupBy("doc_id").agg(ordered_text(order, "text").alias("text"))
+
+
+def ordered_text(no: str, line: str, sep: str = "\n") -> Column:
+    """Lines of a group joined in their order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(no, line))), lambda s: s[line]), sep)
 
 
 def text_lines(docs: DataFrame, *keep: str) -> DataFrame:
@@ -181,4 +194,4 @@ def read_pages(paths: DataFrame, parse) -> DataFrame:  # noqa: ANN001
                     out.append((path, 1, f"ERROR: {e}"))
             yield pd.DataFrame(out, columns=["doc_id", "page_no", "text"])
 
-    return paths.select("path", "content").mapInPandas(run, "doc_id string, page_no int, text string")
+    return shipped(paths).select("path", "content").mapInPandas(run, "doc_id string, page_no int, text string")

@@ -17,7 +17,7 @@ def validate_records(records: DataFrame, identification: str | None = None) -> D
     """Records with a real name, missing lists empty, missing severity and source '', INFO as LOG.
 
     ``identification``: an array column of places; records with URLs there whose name lacks 'Instances' get the number of
-    places appended to it.
+    places appended to it. (One without any place has no URL there either, so none is without a number.)
     """
     name = stripped(F.coalesce("Name", F.lit("")))
     kept = records.filter((name != "") & ~name.rlike(METADATA_NAME))
@@ -62,8 +62,52 @@ def validate_assets(raw: DataFrame, json_col: str = "raw") -> DataFrame:
 VALIDATORS = {"standard": validate_records, "asset": validate_assets}
 
 
+#: What profile names say of their kind, in the order in which they are looked for.
+PROFILE_TYPES = ("cais", "tenable", "openvas")
+
+
+def profile_type(prompt: str = "", output: str = "", kind: str = "") -> str:
+    """The type of a profile by the name of its prompt, else of its output file, else the type it states, else 'default'."""
+    for text in (prompt.lower(), output.lower()):
+        for known in PROFILE_TYPES:
+            if known in text:
+                return known
+    return kind.lower() or "default"
+
+
+def register_validator(kind: str, validator) -> None:  # noqa: ANN001
+    VALIDATORS[kind] = validator
+
+
 def validator_for(profile: Profile):  # noqa: ANN201
-    return VALIDATORS["asset" if profile.asset_records else "standard"]
+    """The validator registered for the profile's type; 'cais' has asset records; the standard one where there is none."""
+    kind = profile_type(profile.prompt_file, profile.output_file, profile.type)
+    if kind in VALIDATORS:
+        return VALIDATORS[kind]
+    return VALIDATORS["asset" if kind == "cais" or profile.asset_records else "standard"]
+
+
+def check_arguments(evaluate: bool = False, baseline: object = None, formats: tuple[str, ...] = (), inputs: object = None) -> tuple[str, ...]:
+    """The formats to write, after checking what a run was asked for: there must be input, and a baseline to evaluate against.
+
+    An evaluation needs the workbook: where it wasn't asked for, all formats are written.
+    """
+    if inputs is None:
+        raise ValueError("there is no input")
+    if evaluate and baseline is None:
+        raise ValueError("an evaluation needs a baseline")
+    return ("all",) if evaluate and not {"xlsx", "all"} & set(formats) else tuple(formats)
+
+
+def require_named(records: DataFrame) -> DataFrame:
+    """``records``, if all of them have a ``Name`` or a ``name``; an error otherwise. One aggregate row is read."""
+    names = [c for c in ("Name", "name") if c in records.columns]
+    if not names:
+        raise ValueError("records have neither Name nor name")
+    missing = records.agg(F.count_if(F.coalesce(*(F.col(c) for c in names)).isNull()).alias("n")).first().n
+    if missing:
+        raise ValueError(f"{missing} records have no name")
+    return records
 
 
 def has_text(texts: Column) -> Column:
@@ -78,11 +122,6 @@ def with_description(records: DataFrame, field: str = "description") -> tuple[Da
     return records.filter(ok), records.filter(~ok)
 
 
-def missing_names(records: DataFrame) -> DataFrame:
-    """Number of records without a name: what a writer checks first."""
-    return records.agg(F.count_if(F.col("Name").isNull()).alias("missing"), F.count(F.lit(1)).alias("records"))
-
-
 def integrity(files: DataFrame, mapping: DataFrame, baseline: DataFrame, file_key: str, address: str) -> DataFrame:
     """Issues between report files, their addresses and a baseline: ``issue``, ``value``; an empty result passes.
 

@@ -27,6 +27,9 @@ class Profile:
     description_field: str = "description"
     prompt: str = "{context}"
     chunking: Chunking = field(default_factory=Chunking)
+    prompt_file: str = ""
+    output_file: str = ""
+    type: str = ""
 
     @property
     def asset_records(self) -> bool:
@@ -49,6 +52,7 @@ class ModelProfile:
 NVT_LINE = r"^\s*NVT:\s"
 PLUGIN_HEADER = r"VULNERABILITY\s+(CRITICAL|HIGH|MEDIUM|LOW|INFO)\s+PLUGIN\s+ID\s+\d+"
 
+#: The readers' patterns, whether their markers come in pairs, and markers a chunk.
 PROFILES: dict[str, Profile] = {
     "openvas": Profile("openvas", chunking=Chunking(r"^\s*(?:High|Medium|Low|Log|Critical)\s+\d+/\w+|^\s*NVT:", False, 5, "openvas")),
     "tenable": Profile("tenable", chunking=Chunking(PLUGIN_HEADER, True, 3, "tenable_was")),
@@ -89,10 +93,20 @@ def load_profile(path: str) -> Profile:
         data = with_environment(json.load(f))
     known = {f.name for f in fields(Profile)} - {"chunking"}
     base = Profile(**{k: v for k, v in data.items() if k in known})
+    if data.get("prompt_template"):
+        base = replace(base, prompt=load_prompt(data["prompt_template"]), prompt_file=data["prompt_template"])
     chunking = {k: v for k, v in (data.get("chunking") or {}).items() if k in {f.name for f in fields(Chunking)}}
     return replace(base, chunking=Chunking(**chunking))
 
 
+def load_prompt(template: str) -> str:
+    """A prompt: the text of the file that ``template`` names, if there is one, else ``template`` itself."""
+    if len(template) < 1024 and os.path.isfile(template):
+        with open(template, encoding="utf-8") as f:
+            return f.read()
+    return template
+
+
 def load_model(path: str) -> ModelProfile:
     """A model profile from a JSON file; either spelling of the token limit is read."""
     with open(path, encoding="utf-8") as f:

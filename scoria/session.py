@@ -58,6 +58,24 @@ def shipped(df: DataFrame) -> DataFrame:
     return df
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system it names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def modified_at(spark: SparkSession, path: str) -> int | None:
+    """When a file was last changed, in milliseconds; null if it isn't there. For a folder, its newest file's time."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return None
+    status = system.getFileStatus(at)
+    if status.isFile():
+        return status.getModificationTime()
+    return max((f.getModificationTime() for f in system.listStatus(at)), default=status.getModificationTime())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``."""
     ship_package(spark)

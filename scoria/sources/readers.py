@@ -3,26 +3,24 @@
 from __future__ import annotations
 
 import io
-import os
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoria.functions.text import report_name
 from scoria.schemas import RECORD_DDL
+from scoria.session import path_exists, place_within, shipped
 
 
 def read_text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Whole files: ``doc_id`` (file name), ``text``; folders are searched through."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
-    reader = reader.option("pathGlobFilter", glob) if glob else reader
-    return reader.text(path).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
 
 
 def read_binary(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
@@ -30,13 +28,38 @@ def read_binary(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFram
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType | str = RECORD_DDL) -> DataFrame:
-    """JSON arrays of records, one or many files, with ``report`` from the file name; unreadable parts have no rows.
+def read_record_files(spark: SparkSession, path: str, schema: T.StructType | str = RECORD_DDL) -> tuple[DataFrame, DataFrame]:
+    """(records, files) of JSON arrays of records, one or many files.
 
-    ``seq`` orders by file and place.
+    records: ``report`` from the file name and ``seq`` (from 1), the place by file name and place in the file, on any
+    cluster. files: ``file``, ``records`` and ``error``: what isn't a list, or can't be read, has no records and says so.
     """
-    rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
-    return rows.withColumn("report", report_name(F.col("_metadata.file_name"))).withColumn("seq", F.monotonically_increasing_id())
+    ddl = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), "value")
+    body = F.regexp_replace("value", r"^[\x{FEFF}\s]+", "")
+    listed, readable = body.startswith("["), F.try_parse_json(body).isNotNull()
+    items = F.when(listed & readable, F.from_json(body, f"array<struct<{', '.join(_struct_fields(ddl))}>>"))
+    error = F.when(~readable, "can't be read").when(~listed, "must be a list")
+    files = texts.select("file", F.coalesce(F.size(items), F.lit(0)).alias("records"), error.alias("error")).withColumn("records", F.greatest("records", F.lit(0)))
+    each = texts.select("file", "path", F.posexplode(items).alias("__place", "r")).select("r.*", report_name(F.col("file")).alias("report"), "path", "__place")
+    return place_within(each, [], ["path", "__place"], "seq").drop("path", "__place"), files
+
+
+def _struct_fields(ddl: str) -> list[str]:
+    return [f"`{f.name}`:{f.dataType.simpleString()}" for f in T.StructType.fromDDL(ddl)]
+
+
+def read_records(spark: SparkSession, path: str, schema: T.StructType | str = RECORD_DDL) -> DataFrame:
+    """The records of read_record_files; unreadable files and such that hold no list have no rows."""
+    return read_record_files(spark, path, schema)[0]
+
+
+def union_records(*frames: DataFrame) -> DataFrame:
+    """All rows under the union of all columns, in order of appearance; what a side lacks is null."""
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -63,11 +86,22 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("file", F.col("_metadata.file_name"))
 
 
+def folder_key(path: Column) -> Column:
+    """The last part of a path without case and marks."""
+    last = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
+    return F.regexp_replace(F.lower(last), "[^a-z0-9]", "")
+
+
 def result_dirs(listing: DataFrame, name: str) -> DataFrame:
     """Folders of ``listing`` (``path``) whose last part is ``name`` but for case and marks."""
-    key = re.sub("[^a-z0-9]", "", name.lower())
-    last = F.element_at(F.split(F.regexp_replace("path", "/+$", ""), "/"), -1)
-    return listing.filter(F.regexp_replace(F.lower(last), "[^a-z0-9]", "") == key)
+    return listing.filter(folder_key(F.col("path")) == re.sub("[^a-z0-9]", "", name.lower()))
+
+
+def resolve_dirs(names: DataFrame, listing: DataFrame, name: str = "name") -> DataFrame:
+    """``names`` with the ``path`` of the folder that each names but for case and marks: the first by path, null if there is none."""
+    first = listing.groupBy(folder_key(F.col("path")).alias("__key")).agg(F.min("path").alias("path"))
+    keyed = names.withColumn("__key", F.regexp_replace(F.lower(F.col(name)), "[^a-z0-9]", ""))
+    return keyed.join(first, "__key", "left").drop("__key")
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -120,8 +154,8 @@ def read_workbook(spark: SparkSession, path: str, sheet: str, columns: list[str]
     A folder with a subfolder ``sheet`` is read as parquet. In files, a missing sheet is replaced by ``fallback``; missing
     columns are null.
     """
-    if os.path.isdir(os.path.join(path, sheet)):
-        return spark.read.parquet(os.path.join(path, sheet))
+    if path_exists(spark, f"{path.rstrip('/')}/{sheet}"):
+        return spark.read.parquet(f"{path.rstrip('/')}/{sheet}")
     schema = "path string, row_no int, " + ", ".join(f"`{c}` string" for c in columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,4 +169,4 @@ def read_workbook(spark: SparkSession, path: str, sheet: str, columns: list[str]
                     out.append((p, n, *(row[head[c]] if c in head and head[c] < len(row) else None for c in columns)))
             yield pd.DataFrame(out, columns=["path", "row_no", *columns])
 
-    return read_binary(spark, path, "*.xlsx").mapInPandas(run, schema)
+    return shipped(read_binary(spark, path, "*.xlsx")).mapInPandas(run, schema)

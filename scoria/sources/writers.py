@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import zipfile
 from collections.abc import Callable, Iterable
 from xml.sax.saxutils import escape
@@ -13,6 +12,9 @@ from pyspark.sql import functions as F
 
 from scoria.functions.text import clock, ellipsis
 from scoria.operators.datasets import header_order, or_placeholder, severity_counts, stringified
+from scoria.operators.validate import require_named
+from scoria.session import cut_lineage, modified_at
+from scoria.sources.readers import read_records
 
 
 def write_json_lines(df: DataFrame, path: str, fields: Iterable[str] | None = None) -> None:
@@ -60,7 +62,7 @@ def metadata(df: DataFrame, converter: str) -> DataFrame:
 def write_workbook(tables: dict[str, DataFrame], path: str) -> None:
     """A folder with one parquet table per sheet."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(os.path.join(path, name))
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
 
 
 def _column(n: int) -> str:
@@ -116,10 +118,17 @@ FORMATS: dict[str, Callable[[DataFrame, str], None]] = {
 }
 
 
-def write(df: DataFrame, path: str, formats: Iterable[str]) -> dict[str, str]:
-    """Writes each format ('all' for every one, 'none' for none); returns what failed, by format. One failure doesn't stop the others."""
+def write(df: DataFrame, path: str, formats: Iterable[str], check: bool = False) -> dict[str, str]:
+    """Writes each format ('all' for every one, 'none' for none); returns what failed, by format. One failure doesn't stop the others.
+
+    More than one format reads the rows from a copy, so the plan runs once. ``check``: all records must have a name.
+    """
     names = list(FORMATS) if "all" in formats else [f for f in formats if f != "none"]
     failed = {}
+    if check and names:
+        require_named(df)
+    if len(names) > 1:
+        df = cut_lineage(df)
     for name in names:
         try:
             FORMATS[name](df, path)
@@ -128,9 +137,18 @@ def write(df: DataFrame, path: str, formats: Iterable[str]) -> dict[str, str]:
     return failed
 
 
-def is_fresh(source: str, target: str) -> bool:
-    """Whether ``target`` is there and not older than ``source``."""
-    return os.path.exists(target) and os.path.getmtime(target) >= os.path.getmtime(source)
+def is_fresh(spark: SparkSession, source: str, target: str) -> bool:
+    """Whether ``target`` is there and not older than ``source``, on whatever file systems they are."""
+    made, changed = modified_at(spark, target), modified_at(spark, source)
+    return made is not None and (changed is None or made >= changed)
+
+
+def convert(spark: SparkSession, source: str, path: str, formats: Iterable[str], reuse: bool = True) -> dict[str, str]:
+    """A JSON array of records to other formats in one call; formats that are there and not older than the source are kept."""
+    endings = {"csv": ".csv", "tsv": ".tsv", "json": ".jsonl", "xlsx": ".xlsx"}
+    names = list(FORMATS) if "all" in formats else [f for f in formats if f != "none"]
+    due = [f for f in names if not (reuse and f in endings and is_fresh(spark, source, path + endings[f]))]
+    return write(read_records(spark, source), path, due, check=True) if due else {}
 
 
 def accuracy_report(accuracy: DataFrame) -> str:
@@ -144,12 +162,37 @@ def removed_records(removed: DataFrame, stage: str = "description_filter", n: in
     return removed.select(F.lit(stage).alias("stage"), "seq", ellipsis(F.coalesce("Name", F.lit("")), n).alias("name"), "severity", "port")
 
 
-def consolidation_log(report: DataFrame, groups: DataFrame, most: int = 50) -> str:
-    """Text of a consolidation: records after each stage, and the ``most`` largest merged groups."""
+def removed_log(removed: DataFrame, most: int = 1000) -> str:
+    """Text of removed records: their number, and the first ``most`` with name, port, protocol, severity and what the description was."""
+    text = F.regexp_replace(F.array_join("description", " ") if dict(removed.dtypes)["description"].startswith("array") else F.col("description"), "\n", " ")
+    rows = removed.select("seq", F.coalesce("Name", F.lit("(no name)")).alias("Name"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("port", "protocol", "severity")), ellipsis(F.trim(text), 200).alias("text"))
+    total = removed.count()
+    lines = ["REMOVED RECORDS", "Records without a valid description.", f"Total: {total}", ""]
+    for i, r in enumerate(rows.orderBy("seq").limit(most).collect(), 1):
+        lines += [f"{i}. {r.Name}", f"   port {r.port}, protocol {r.protocol}, severity {r.severity}"] + ([f"   description: {r.text}"] if r.text else [])
+    return "\n".join(lines) + "\n"
+
+
+def consolidation_log(report: DataFrame, groups: DataFrame, most: int = 50, members: DataFrame | None = None) -> str:
+    """Text of a consolidation: records after each stage, and the ``most`` largest merged groups, with ``members`` (of group_members) if given."""
     stages = report.orderBy("stage_no").collect()
-    lines = ["CONSOLIDATION", *(f"{r.stage}: {r.records}" for r in stages), "", "LARGEST GROUPS"]
-    for r in groups.orderBy(F.desc("size"), "key").limit(most).collect():
+    lines = ["CONSOLIDATION"]
+    if stages and "strategy" in report.columns:
+        lines.append(f"strategy: {stages[0].strategy}")
+    for r in stages:
+        why = f" ({r.removed} removed: {r.reason})" if "reason" in report.columns and r.removed else ""
+        lines.append(f"{r.stage}: {r.records}{why}")
+    lines += ["", "LARGEST GROUPS"]
+    largest = groups.orderBy(F.desc("size"), "key").limit(most)
+    of: dict = {}
+    if members is not None:
+        # ``most`` groups of a few members each
+        few = members.join(F.broadcast(largest.select(F.col("key").alias("__k"))), F.col("key").eqNullSafe(F.col("__k")), "left_semi")
+        for m in few.orderBy("key", "place").collect():
+            of.setdefault(m.key, []).append(f"  {m.place}. {m.Name or '(no name)'}: port {m.port or ''}, protocol {m.protocol or ''}, severity {m.severity or ''}")
+    for r in largest.collect():
         lines.append(f"{r['size']} x {r.key or '(no name)'} (seq {r.first_seq} to {r.last_seq})")
+        lines += of.get(r.key, [])
     return "\n".join(lines) + "\n"
 
 
@@ -170,17 +213,31 @@ def evaluation_workbook(scores: DataFrame, summary: DataFrame, categories: DataF
 
 
 def final_report(times: DataFrame, tokens: DataFrame) -> str:
-    """Text of an experiment's runs, seconds and tokens per group; both tables have a row per group."""
+    """Text of an experiment's runs, seconds, tokens and, where ``tokens`` has it, cost per group; both tables have a row per group."""
     lines = ["RUNS"]
     total = 0.0
     for r in times.select(*times.columns, clock(F.col("seconds")).alias("clock")).collect():
         total += r.seconds or 0.0
         lines.append(f"{r[0]}: {r.runs} runs, {r.clock}")
     lines += [f"all: {total:.3f} s", "", "TOKENS"]
-    lines += [f"{r[0] or 'all'}: {r.tokens_input} in, {r.tokens_output} out, {r.calls} calls" for r in tokens.collect()]
+    priced = "cost" in tokens.columns
+    lines += [f"{r[0] or 'all'}: {r.tokens_input} in, {r.tokens_output} out, {r.calls} calls" + (f", cost {r.cost:.2f}" if priced else "") for r in tokens.collect()]
     return "\n".join(lines) + "\n"
 
 
+def write_token_ledger(ledger: DataFrame, path: str, run: str = "run_id") -> None:
+    """A token ledger, one folder per run; a run that is written again replaces its own rows only.
+
+    Rows are written beside the ledger and take their place when all are there, as the committer does.
+    """
+    ledger.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(path)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """The rows of all extractions, see evaluate.summary_of_all, as one sheet."""
+    write_xlsx({"Summary": summary}, path)
+
+
 def append_ledger(spark: SparkSession, rows: list[dict], schema: str, path: str) -> None:
     """Adds rows to a run ledger; the latest row of a run counts when it is read."""
     spark.createDataFrame(rows, schema).write.mode("append").parquet(path)

@@ -92,3 +92,68 @@ def test_reports(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "lay")).collect()] == ["### d", "toc"]
     writers.append_ledger(spark, [{"run_id": "r", "status": "ok"}], "run_id string, status string", str(tmp_path / "ledger"))
     assert spark.read.parquet(str(tmp_path / "ledger")).count() == 1
+
+
+def test_record_files(spark, tmp_path):
+    """Order by file and place, whatever the splits; what holds no list, or can't be read, says so."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, name in enumerate(["scan_b.json", "scan_a.json", "scan_c.json"]):
+        (folder / name).write_text(json.dumps([{"Name": f"{name[5]}{i}", "description": ["d"], "extra": k} for i in range(40)], indent=1))
+    (folder / "one.json").write_text('{"Name": "alone"}')
+    (folder / "bad.json").write_text("[{")
+    (folder / "empty.json").write_text("\ufeff []")
+    rows, files = readers.read_record_files(spark, str(folder))
+    got = sorted((r.seq, r.Name, r.report) for r in rows.collect())
+    assert got == [(i + 1, f"{'abc'[i // 40]}{i % 40}", "abc"[i // 40]) for i in range(120)]
+    assert {r.file: (r.records, r.error) for r in files.collect()} == {"scan_a.json": (40, None), "scan_b.json": (40, None), "scan_c.json": (40, None), "one.json": (0, "must be a list"), "bad.json": (0, "can't be read"), "empty.json": (0, None)}
+    (tmp_path / "t.txt").write_text("two\nlines\n")
+    assert [r.text for r in readers.read_text_files(spark, str(tmp_path), "t.txt").collect()] == ["two\nlines\n"]
+
+
+def test_conversion_and_freshness(spark, tmp_path):
+    import os
+
+    source, target = tmp_path / "scan_x.json", str(tmp_path / "out")
+    source.write_text('[{"Name": "n", "description": ["d"], "severity": "LOW"}]')
+    assert writers.convert(spark, str(source), target, ["csv", "xlsx"]) == {}
+    assert readers.read_csv(spark, target + ".csv").first().Name == "n"
+    assert writers.is_fresh(spark, str(source), target + ".xlsx") and not writers.is_fresh(spark, str(source), target + ".none")
+    before = os.path.getmtime(target + ".xlsx")
+    assert writers.convert(spark, str(source), target, ["xlsx"]) == {} and os.path.getmtime(target + ".xlsx") == before
+    os.utime(source, (before + 60, before + 60))
+    assert not writers.is_fresh(spark, str(source), target + ".xlsx")
+    import pytest
+
+    source.write_text('[{"severity": "LOW"}]')
+    with pytest.raises(ValueError, match="no name"):
+        writers.convert(spark, str(source), target, ["csv"], reuse=False)
+
+
+def test_folders_and_columns(spark):
+    names = spark.createDataFrame([("My Base-1",), ("nope",)], "name string")
+    dirs = spark.createDataFrame([("r/b/my_base1/",), ("r/a/MyBase1",), ("r/other",)], "path string")
+    assert {r.name: r.path for r in readers.resolve_dirs(names, dirs).collect()} == {"My Base-1": "r/a/MyBase1", "nope": None}
+    both = readers.union_records(spark.createDataFrame([(1, "x")], "a int, b string"), spark.createDataFrame([("y", 2.0)], "b string, c double"))
+    assert both.columns == ["a", "b", "c"] and both.filter("b = 'y'").first().a is None
+
+
+def test_ledger_by_run(spark, tmp_path):
+    path = str(tmp_path / "led")
+    ledger = spark.createDataFrame([("r1", 0, 5), ("r2", 0, 6)], "run_id string, block_id int, tokens_input int")
+    writers.write_token_ledger(ledger, path)
+    writers.write_token_ledger(spark.createDataFrame([("r2", 0, 7)], ledger.schema), path)
+    assert {(r.run_id, r.tokens_input) for r in spark.read.parquet(path).collect()} == {("r1", 5), ("r2", 7)}
+
+
+def test_removed_and_member_logs(spark):
+    from scoria.operators import consolidate
+
+    frame = spark.createDataFrame([("a", 1, "LOW", "1", "tcp", ["x"]), ("a", 2, "LOW", None, None, None), (None, 3, None, None, None, [" "]), (None, 4, None, None, None, [])], "Name string, seq bigint, severity string, port string, protocol string, description array<string>")
+    groups = consolidate.merged_groups(frame, F.col("Name"))
+    members = consolidate.group_members(frame, groups, F.col("Name"), 1)
+    assert {(r.key, r.place, r.seq) for r in members.collect()} == {("a", 1, 1), (None, 1, 3)}
+    text = writers.consolidation_log(consolidate.stage_counts(input=frame), groups, members=members)
+    assert "2 x a (seq 1 to 2)\n  1. a: port 1, protocol tcp, severity LOW" in text and "2 x (no name)" in text
+    log = writers.removed_log(frame.filter("seq > 1"))
+    assert "Total: 3" in log and "1. a\n" in log and "2. (no name)" in log
