@@ -11,6 +11,7 @@ from scoria.functions import similarity as sim
 from scoria.functions import text as t
 from scoria.operators import consolidate as c
 from scoria.operators import datasets, evaluate, extract, linkage, validate
+from scoria.plans import oracles
 from scoria.plans.texts import norm_name_sql, norm_port_sql, strip_sql, wild_sql
 from scoria.profiles import PROFILES
 from scoria.schemas import SEVERITY_ORDER
@@ -80,6 +81,16 @@ def token_ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.token_totals(ledger).withColumn("llm", F.coalesce("llm", F.lit("all")))
 
 
+def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with costs, by prices of a million tokens in and out for some of the models."""
+    r = table(spark, sf_dir, "responses").select("doc_id", "block_id", "chunk_id", "raw")
+    b = table(spark, sf_dir, "blocks").select("doc_id", "block_id", "text")
+    runs = linkage.latest_runs(table(spark, sf_dir, "run_ledger")).select(F.col("run_id").alias("doc_id"), "llm")
+    ledger = extract.token_ledger(r.join(b, ["doc_id", "block_id"])).join(runs, "doc_id")
+    out = evaluate.token_cost(ledger, {"gpt4": (3.0, 12.0), "gpt5": (2.5, 20.0), "llama4": (1.0, 3.5)})
+    return out.withColumns({"llm": F.coalesce("llm", F.lit("all")), "cost": F.round("cost", 6)})
+
+
 def validated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = validate.validate_records(_records(spark, sf_dir))
     return out.groupBy("severity", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("description")).alias("texts"))
@@ -154,13 +165,36 @@ def pair_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urls = table(spark, sf_dir, "records").select(F.explode("instances").alias("i")).select(F.col("i.instance").alias("url"))
-    return urls.groupBy(extract.url_port(F.col("url")).alias("port")).agg(F.count(F.lit(1)).alias("n"))
+    """Ports of the instances' URLs, some of them written with a port, with another scheme, or without one."""
+    urls = table(spark, sf_dir, "records").select("seq", F.explode("instances").alias("i")).select("seq", F.col("i.instance").alias("url"))
+    host = F.regexp_extract("url", r"^\w+://([^/?#]*)", 1)
+    rest = F.regexp_replace("url", r"^\w+://[^/?#]*", "")
+    schemes = F.element_at(F.array(*map(F.lit, ("https://", "http://", "HTTP://", "ftp://", ""))), F.pmod("seq", F.lit(5)).cast("int") + 1)
+    port = F.when(F.pmod(F.floor(F.col("seq") / 5), F.lit(3)) == 0, F.concat(F.lit(":"), (8000 + F.pmod("seq", F.lit(7))).cast("string"))).otherwise("")
+    made = urls.select(F.concat(schemes, host, port, rest).alias("url"))
+    return made.groupBy(extract.url_port(F.col("url")).alias("port")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def consolidation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, report = c.consolidate(_records(spark, sf_dir).filter("source = 'NESSUS'"), PROFILES["nessus"], source="NESSUS")
-    return report.drop("stage_no")
+    """The stages of three sources' consolidation: one with a strategy, one by another name of a strategy, one without."""
+    out = None
+    for source, profile in (("OPENVAS", "openvas"), ("TENABLEWAS", "tenable"), ("NESSUS", "nessus")):
+        _, report = c.consolidate(_records(spark, sf_dir).filter(F.col("source") == source), PROFILES[profile], aliases={"tenablewas": "tenable"}, source=source)
+        report = report.select(F.lit(source).alias("source"), "stage", "records", "removed", "strategy", "reason")
+        out = report if out is None else out.unionByName(report)
+    return out
+
+
+def scanner_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of scanner that each source's records are taken to be from."""
+    records = table(spark, sf_dir, "records").select("source", "Name")
+    sources = sorted({r.source for r in records.select("source").distinct().collect() if r.source is not None})  # five sources
+    out = None
+    for s in sources:
+        mine = records.filter(F.col("source") == s)
+        row = mine.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("scanner", F.lit(linkage.detect_scanner(mine)))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def merged_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +202,8 @@ def merged_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def by_source_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.consolidate_by_source(_records(spark, sf_dir, "seq", "Name", "severity", "source", "references")).select("seq", "source", "severity", F.size("references").alias("n_refs"))
+    rows = _records(spark, sf_dir, "seq", "Name", "port", "protocol", "severity", "source", "references")
+    return c.consolidate_by_source(rows, aliases={"TENABLEWAS": "tenable"}).select("seq", "source", "severity", F.coalesce(F.size("references"), F.lit(-1)).alias("n_refs"))
 
 
 def match_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,6 +261,12 @@ def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return linkage.link(e, b, "openvas", True), e, b
 
 
+def link_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each record of one model was matched with the other's, with the likeness of both names."""
+    e, b = _of_model(spark, sf_dir, "gpt4").drop("run_id"), _of_model(spark, sf_dir, "llama4").drop("run_id")
+    return linkage.mapping_debug(linkage.link_steps(e, b, "openvas", True)).withColumn("match_score", F.round("match_score", 6))
+
+
 def link_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linked(spark, sf_dir)[0]
 
@@ -240,7 +281,8 @@ def link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     links, e, b = _linked(spark, sf_dir)
     scores = evaluate.field_scores(links.filter("base_seq IS NOT NULL"), e, b, ["description", "solution", "severity", "references"])
-    return evaluate.column_stats(scores)
+    stats = evaluate.column_stats(scores)
+    return stats.select("field", "matched", *(F.round(c, 6).alias(c) for c in ("avg_v", "std_v", "min_v", "max_v", "median_v")))
 
 
 def link_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +290,8 @@ def link_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     links, e, b = _linked(spark, sf_dir)
     scores = cut_lineage(evaluate.field_scores(links, e, b, ["description", "solution", "severity", "references"]))
     stats = evaluate.column_stats(scores.filter("base_seq IS NOT NULL"))
-    return evaluate.run_summary(links, evaluate.categorize(links, scores), stats)
+    out = evaluate.run_summary(links, evaluate.categorize(links, scores), stats)
+    return out.withColumns({c: F.round(c, 6) for c in ("overall_mean", "description_mean")})
 
 
 def removed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +326,7 @@ def multiset_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["report", "Name"]
     counts = evaluate.multiset_counts(_of_model(spark, sf_dir, "gpt4").select(*keys), _of_model(spark, sf_dir, "llama4").select(*keys), keys)
     out = evaluate.multiset_accuracy(counts)
-    return out.select("tp", "fp", "fn", *(F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")))
+    return out.select("tp", "fp", "fn", *(F.round(x, 6).alias(x) for x in ("precision", "recall", "f1", "found_pct", "invented_pct", "missing_pct")))
 
 
 def multiset_surplus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,9 +466,9 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    json_recover, answer_validation, retry_two_pass, rule_extraction, inherit_headers, token_ledger_totals, validated_records, asset_records, description_filter, integrity_sets, dedup_most_complete, dedup_composite,
-    dedup_first_seen, merge_backfill, merge_groups, severity_max, base_instances_join, pair_completeness, url_ports, consolidation_report, merged_audit, by_source_consolidation, match_wildcard, match_exact, match_fuzzy,
-    match_fuzzy_names, match_token_sort, assign_one_to_one, anti_absent, link_models, link_scores, link_field_stats, link_summary, removed_audit, rouge_l_pairs, score_bands, column_stats, multiset_prf, multiset_surplus, severity_pivot, source_pivot,
+    json_recover, answer_validation, retry_two_pass, rule_extraction, inherit_headers, token_ledger_totals, token_cost, validated_records, asset_records, description_filter, integrity_sets, dedup_most_complete, dedup_composite,
+    dedup_first_seen, merge_backfill, merge_groups, severity_max, base_instances_join, pair_completeness, url_ports, consolidation_report, scanner_detection, merged_audit, by_source_consolidation, match_wildcard, match_exact, match_fuzzy,
+    match_fuzzy_names, match_token_sort, assign_one_to_one, anti_absent, link_mapping, link_models, link_scores, link_field_stats, link_summary, removed_audit, rouge_l_pairs, score_bands, column_stats, multiset_prf, multiset_surplus, severity_pivot, source_pivot,
     heatmap, run_spread, run_mean_std, category_share, run_times, dataset_sort_id, export_cells, dataset_rows, severity_metadata, summary_lines, report_address, plan_resume, latest_ledger, model_of_file,
     first_existing_file, semantic_score, topk_per_group, stream_windows, stream_distinct,
 )
@@ -457,7 +500,7 @@ def oracle_sql() -> dict[str, str]:
     sev = "upper(trim(coalesce(severity, 'UNKNOWN')))"
     counts = f"WITH {_LATEST}, c AS (SELECT coalesce(x.report, y.report) AS report, coalesce(x.Name, y.Name) AS Name, coalesce(x.n, 0) AS f, coalesce(y.n, 0) AS e FROM (SELECT report, Name, count(*) AS n FROM {e} GROUP BY ALL) x FULL JOIN (SELECT report, Name, count(*) AS n FROM {b} GROUP BY ALL) y ON x.report = y.report AND x.Name = y.Name)"
     run_counts = f"WITH {_LATEST}, rc AS (SELECT r.run_id, llm, scanner, n, critical FROM (SELECT run_id, count(*) AS n, count(*) FILTER (upper(trim(severity)) = 'CRITICAL') AS critical FROM records GROUP BY run_id) r JOIN latest l ON r.run_id = l.run_id)"
-    return {
+    return oracles.oracle_sql() | {
         "token_ledger_totals": f"WITH {_LATEST}, t AS (SELECT l.llm, {words.format('text')} AS i, {words.format('raw')} AS o FROM responses r JOIN blocks b ON r.doc_id = b.doc_id AND r.block_id = b.block_id JOIN latest l ON l.run_id = r.doc_id) SELECT coalesce(llm, 'all') AS llm, sum(coalesce(i, 0)) AS tokens_input, sum(coalesce(o, 0)) AS tokens_output, count(*) AS calls FROM t GROUP BY ROLLUP (llm)",
         "validated_records": rf"SELECT CASE WHEN upper(severity) = 'INFO' THEN 'LOG' ELSE coalesce(severity, '') END AS severity, coalesce(source, '') AS source, count(*) AS n, sum(coalesce(len(description), 0)) AS texts FROM records WHERE {strip_sql('''coalesce(Name, '')''')} <> '' AND NOT regexp_matches({strip_sql('Name')}, '(?i)^\s*VULNERABILITY\s+(CRITICAL|HIGH|MEDIUM|LOW|INFO|LOG)\s+PLUGIN\s+ID\s+\d+') GROUP BY 1, 2",
         "asset_records": f"""SELECT seq, Name AS asset_name, TRY_CAST(port AS INT) AS port, coalesce(severity, '') AS severity, coalesce(len("references"), 0) AS n_references FROM records WHERE {strip_sql("coalesce(Name, '')")} <> ''""",
@@ -474,7 +517,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT seq, Name, n_instances, array_to_string(d, '|') AS description, array_to_string(s, '|') AS solution FROM g""",
         "severity_max": f"SELECT run_id, upper(arg_min({strip_sql('severity')}, (-({rank}), seq))) AS highest FROM records WHERE severity IS NOT NULL GROUP BY run_id",
         "pair_completeness": f"SELECT base_name, plugin, count(*) FILTER (is_instances) AS instances_rows, count(*) FILTER (NOT is_instances) AS base_rows FROM {named} GROUP BY base_name, plugin HAVING count(DISTINCT is_instances) = 2",
-        "url_ports": r"SELECT TRY_CAST(coalesce(nullif(regexp_extract(u, '^\w+://[^/?#]*:(\d+)(?:[/?#]|$)', 1), ''), CASE lower(regexp_extract(u, '^(\w+)://', 1)) WHEN 'https' THEN '443' WHEN 'http' THEN '80' END) AS INT) AS port, count(*) AS n FROM (SELECT unnest(instances).instance AS u FROM records) GROUP BY 1",
+        "url_ports": r"WITH u AS (SELECT seq, unnest(instances).instance AS u FROM records), v AS (SELECT ['https://', 'http://', 'HTTP://', 'ftp://', ''][seq % 5 + 1] || regexp_extract(u, '^\w+://([^/?#]*)', 1) || CASE WHEN (seq // 5) % 3 = 0 THEN ':' || (8000 + seq % 7) ELSE '' END || regexp_replace(u, '^\w+://[^/?#]*', '') AS u FROM u) SELECT TRY_CAST(coalesce(nullif(regexp_extract(u, '^\w+://[^/?#]*:(\d+)(?:[/?#]|$)', 1), ''), CASE lower(regexp_extract(u, '^(\w+)://', 1)) WHEN 'https' THEN '443' WHEN 'http' THEN '80' END) AS INT) AS port, count(*) AS n FROM v GROUP BY 1",
         "merged_audit": "SELECT lower(trim(Name)) AS key, count(*) AS size, min(seq) AS first_seq, max(seq) AS last_seq FROM records GROUP BY 1 HAVING count(*) > 1",
         "match_exact": f"WITH {_LATEST}, x AS (SELECT DISTINCT name_norm FROM {e}), y AS (SELECT DISTINCT name_norm FROM {b}) SELECT name_norm, CASE WHEN name_norm IN (SELECT name_norm FROM y) THEN 'both' ELSE 'left' END AS side FROM x",
         "match_wildcard": f"""WITH {_LATEST}, x AS (SELECT DISTINCT key, string_split(key, '|') AS p FROM {e}), y AS (SELECT key, string_split(key, '|') AS p, min(seq) AS s FROM {b} GROUP BY ALL)
@@ -484,7 +527,7 @@ def oracle_sql() -> dict[str, str]:
         "anti_absent": f"WITH {_LATEST} SELECT seq FROM {b} WHERE key NOT IN (SELECT key FROM {e})",
         "score_bands": "SELECT CASE WHEN value / 100 > 0.7 THEN 'Highly Similar' WHEN value / 100 > 0.6 THEN 'Moderately Similar' WHEN value / 100 > 0.4 THEN 'Slightly Similar' ELSE 'Divergent' END AS category, count(*) AS n FROM events GROUP BY 1",
         "column_stats": " UNION ALL ".join(f"SELECT '{x}' AS field, count({x}) AS matched, round(avg({x}), 4) AS avg_v, round(stddev_samp({x}), 4) AS std_v, round(min({x}), 4) AS min_v, round(max({x}), 4) AS max_v, round(quantile_cont({x}, 0.5), 4) AS median_v FROM lineitem" for x in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")),
-        "multiset_prf": counts + ", s AS (SELECT sum(least(f, e)) AS tp, sum(greatest(f - e, 0)) AS fp, sum(greatest(e - f, 0)) AS fn FROM c) SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM s",
+        "multiset_prf": counts + ", s AS (SELECT sum(least(f, e)) AS tp, sum(greatest(f - e, 0)) AS fp, sum(greatest(e - f, 0)) AS fn FROM c) SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(100 * tp / (tp + fn), 6) AS found_pct, round(100 * fp / (tp + fp), 6) AS invented_pct, round(100 * fn / (tp + fn), 6) AS missing_pct FROM s",
         "multiset_surplus": counts + " SELECT CASE WHEN f > e THEN 'surplus' ELSE 'deficit' END AS side, report, Name, abs(f - e) AS diff FROM c WHERE f <> e",
         "severity_pivot": f"""SELECT report, source, {', '.join(f"count(*) FILTER ({sev} = '{s}') AS {s}" for s in SEVERITY_ORDER)}, count(*) AS total FROM records GROUP BY report, source UNION ALL SELECT container, NULL, {', '.join('0' for _ in SEVERITY_ORDER)}, 0 FROM inventory WHERE container NOT IN (SELECT report FROM records WHERE report IS NOT NULL)""",
         "source_pivot": "SELECT report, " + ", ".join(f"count(*) FILTER (source = '{s}') AS {s}" for s in ("OPENVAS", "TENABLEWAS", "NESSUS", "QUALYS", "RAPID7")) + ", count(*) AS total FROM records GROUP BY report",

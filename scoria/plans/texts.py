@@ -106,6 +106,15 @@ def summary_body_split_tenable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "kind", F.length("text").alias("n_chars"))
 
 
+def host_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The address in each text's section 2.1; the section is put into the texts here, where the inventory knows their report."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "report", "text")
+    known = table(spark, sf_dir, "inventory").select(F.col("container").alias("report"), "ip")
+    section = F.when(F.col("ip").isNotNull(), F.concat(F.lit("\n2.1 "), "ip", F.lit(" and more\n2.1 0.0.0.0\n"))).otherwise(F.lit("\n 2.1 198.51.100.1\n"))
+    texts = docs.join(known, "report", "left").select("doc_id", F.concat(F.lit("x 2.1 203.0.113.9"), section, F.coalesce("text", F.lit(""))).alias("text"))
+    return texts.select("doc_id", t.host_address(F.col("text")).alias("address"))
+
+
 def chunk_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunks.token_windows(table(spark, sf_dir, "blocks").select("doc_id", "block_id", "text"), 300, 100)
     return out.select("doc_id", "block_id", "chunk_id", F.length("text").alias("n_chars"))
@@ -151,7 +160,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     flagship, line_explode_filter, layout_clean, nfkc_sanitize, page_stitch, name_normalize, field_normalize, composite_keys, cve_first_reference, severity_forms, name_parsers, ellipsis_and_clock,
-    block_gaps_islands, block_severity_buckets, block_whole, context_last_header, summary_body_split, summary_body_split_tenable, chunk_token_windows, chunk_marker_packing, chunk_both_cuts, pattern_detect, chunk_quality, prompt_build,
+    block_gaps_islands, block_severity_buckets, block_whole, context_last_header, summary_body_split, summary_body_split_tenable, host_addresses, chunk_token_windows, chunk_marker_packing, chunk_both_cuts, pattern_detect, chunk_quality, prompt_build,
 )
 
 
