@@ -83,32 +83,41 @@ def category_counts(categories: DataFrame, by: list[str]) -> DataFrame:
     return categories.groupBy(*by).agg(*columns)
 
 
+#: Different values that a median's bracket may hold at most, before they are put in order.
+BRACKET = 100_000
+
+
 def column_stats(long: DataFrame, name: str = "field", value: str = "score", accuracy: int = 2000) -> DataFrame:
     """Per column ``matched``, ``avg_v``, ``std_v`` (sample; null for one row), ``min_v``, ``max_v``, ``median_v`` (exact).
 
-    The median is found in two passes, so that no task holds a column's values: approximate quantiles give a narrow bracket
-    around the middle, and only distinct values within it are counted in order.
+    The median is found without any task holding a column's values: approximate quantiles give a bracket around the middle,
+    which is narrowed again, on the values within it, until it has no more than BRACKET different ones or gets no smaller;
+    only these are put in order.
     """
+    seen = long.filter(F.col(value).isNotNull()).select(F.col(name).alias("__name"), F.col(value).alias("__v"))
     half = 4.0 / accuracy
     edges = F.percentile_approx(value, F.array(F.lit(max(0.0, 0.5 - half)), F.lit(min(1.0, 0.5 + half))), accuracy)
-    stats = cut_lineage(
-        long.groupBy(name).agg(
-            F.count(value).alias("matched"),
-            F.avg(value).alias("avg_v"),
-            F.stddev_samp(value).alias("std_v"),
-            F.min(value).alias("min_v"),
-            F.max(value).alias("max_v"),
-            edges.alias("__edges"),
-        )
-    )
-    # one row per column
-    bounds = stats.select(F.col(name).alias("__name"), F.col("matched").alias("__all"), F.col("__edges")[0].alias("__lo"), F.col("__edges")[1].alias("__hi"))
-    seen = long.filter(F.col(value).isNotNull()).select(F.col(name).alias("__name"), F.col(value).alias("__v"))
-    # values below the bracket count as one value under it, those above are left out of the running count
-    narrow = seen.join(bounds, "__name").filter(F.col("__v") <= F.col("__hi")).withColumn("__v", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")))
-    counted = narrow.groupBy("__name", "__all", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy("__name").orderBy(F.asc_nulls_first("__v")))
-    ranked = counted.withColumn("__upto", upto)
+    moments = (F.count(value).alias("matched"), F.avg(value).alias("avg_v"), F.stddev_samp(value).alias("std_v"), F.min(value).alias("min_v"), F.max(value).alias("max_v"))
+    stats = cut_lineage(long.groupBy(name).agg(*moments, edges.alias("__edges")))
+    # one row per column, from here to the medians
+    bounds = stats.filter("matched > 0").select(F.col(name).alias("__name"), F.col("matched").alias("__all"), F.col("__edges")[0].alias("__lo"), F.col("__edges")[1].alias("__hi"))
+    most = None
+    while True:
+        within = seen.join(F.broadcast(bounds), "__name")
+        inside = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
+        sizes = cut_lineage(within.groupBy("__name", "__all", "__lo", "__hi").agg(F.count_if(F.col("__v") < F.col("__lo")).alias("__under"), F.count_if(inside).alias("__in"), F.approx_count_distinct(F.when(inside, F.col("__v"))).alias("__kinds")))
+        largest = sizes.agg(F.max("__kinds")).first()[0] or 0
+        if largest <= BRACKET or most is not None and largest >= most:
+            break
+        most = largest
+        # where the middle is among the values of the bracket, and a narrower one around it
+        rows = within.filter(inside).join(F.broadcast(sizes.select("__name", "__under", "__in")), "__name")
+        grid = F.percentile_approx("__v", F.array(*(F.lit(i / 64) for i in range(65))), accuracy)
+        places = rows.groupBy("__name", "__all", "__under", "__in").agg(grid.alias("__g"))
+        at = (F.col("__all") / 2 - F.col("__under")) / F.col("__in") * 64
+        bounds = cut_lineage(places.select("__name", "__all", F.col("__g")[F.greatest(F.floor(at - 1.5), F.lit(0)).cast("int")].alias("__lo"), F.col("__g")[F.least(F.ceil(at + 1.5), F.lit(64)).cast("int")].alias("__hi")))
+    counted = within.filter(inside).groupBy("__name", "__v").agg(F.count(F.lit(1)).alias("__c")).join(F.broadcast(sizes.select("__name", "__all", "__under")), "__name")
+    ranked = counted.withColumn("__upto", F.col("__under") + F.sum("__c").over(Window.partitionBy("__name").orderBy("__v")))
     lower, upper = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1
     medians = ranked.groupBy("__name").agg(((F.min(F.when(F.col("__upto") >= lower, F.col("__v"))) + F.min(F.when(F.col("__upto") >= upper, F.col("__v")))) / 2).alias("median_v"))
     out = stats.join(medians, F.col(name).eqNullSafe(F.col("__name")), "left")

@@ -300,6 +300,9 @@ def oracle_sql() -> dict[str, str]:
           count(*) FILTER (category = 'Highly Similar') AS highly_similar, count(*) FILTER (category = 'Moderately Similar') AS moderately_similar, count(*) FILTER (category = 'Slightly Similar') AS slightly_similar, count(*) FILTER (category = 'Divergent') AS divergent,
           count(*) FILTER (category = 'Non-existent') AS non_existent, count(*) FILTER (category = 'Absent') AS absent, count(*) FILTER (type LIKE '%excess%') AS excess, count(*) FILTER (type LIKE '%invention%') AS invented,
           round((SELECT avg(avg_v) FROM stats), 6) AS overall_mean, round((SELECT avg_v FROM stats WHERE field = 'description'), 6) AS description_mean FROM cats""",
+        "category_counts_by_source": f"""WITH {scores_sql()}, {CATEGORIES} SELECT coalesce(e.source, b.source) AS source, count(*) FILTER (category = 'Highly Similar') AS highly_similar, count(*) FILTER (category = 'Moderately Similar') AS moderately_similar,
+          count(*) FILTER (category = 'Slightly Similar') AS slightly_similar, count(*) FILTER (category = 'Divergent') AS divergent, count(*) FILTER (category = 'Non-existent') AS non_existent, count(*) FILTER (category = 'Absent') AS absent,
+          count(*) FILTER (type LIKE '%excess%') AS excess, count(*) FILTER (type LIKE '%invention%') AS invented FROM cats LEFT JOIN e ON cats.ext_seq = e.seq LEFT JOIN b ON cats.base_seq = b.seq GROUP BY 1""",
         "rouge_l_pairs": rouge_pairs_sql(),
         "by_source_consolidation": by_source_sql(),
         "consolidation_report": consolidation_report_sql(),

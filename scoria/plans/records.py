@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from scoria.plans import oracles
 from scoria.plans.texts import norm_name_sql, norm_port_sql, strip_sql, wild_sql
 from scoria.profiles import PROFILES
 from scoria.schemas import SEVERITY_ORDER
-from scoria.session import cut_lineage, table
+from scoria.session import cut_lineage, staging_folder, table
 from scoria.sources import writers
 from scoria.streaming import streams
 
@@ -465,12 +466,42 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.agg(F.count(F.lit(1)).alias("n_findings"))
 
 
+def _staged(spark: SparkSession) -> tuple[str, str]:
+    """A place for a stream's result and one for its checkpoint."""
+    folder = f"{staging_folder(spark)}/{uuid.uuid4().hex}"
+    return f"{folder}/result", f"{folder}/checkpoint"
+
+
+def stream_windows_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows, by a stream over the table's files that runs until all is read."""
+    result, checkpoint = _staged(spark)
+    streams.whole_result(streams.windowed_counts(streams.table_stream(spark, sf_dir, "events"), size="6 hours"), result, checkpoint)
+    return spark.read.parquet(result).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def stream_distinct_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same deduplication, by a stream with its state."""
+    result, checkpoint = _staged(spark)
+    stream = streams.table_stream(spark, sf_dir, "records").select("Name", "port", "protocol", "extracted_at")
+    streams.run_once(streams.distinct_findings(stream), result, checkpoint)
+    return spark.read.parquet(result).agg(F.count(F.lit(1)).alias("n_findings"))
+
+
+def category_counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories of the linked extraction per source of its records, absent baseline records under theirs."""
+    links, e, b = _linked(spark, sf_dir)
+    scores = evaluate.field_scores(links, e, b, list(oracles.FIELDS))
+    cats = evaluate.categorize(links, scores)
+    sources = cats.join(e.select(F.col("seq").alias("ext_seq"), F.col("source").alias("__e")), "ext_seq", "left").join(b.select(F.col("seq").alias("base_seq"), F.col("source").alias("__b")), "base_seq", "left")
+    return evaluate.category_counts(sources.withColumn("source", F.coalesce("__e", "__b")), ["source"])
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     json_recover, answer_validation, retry_two_pass, rule_extraction, inherit_headers, token_ledger_totals, token_cost, validated_records, asset_records, description_filter, integrity_sets, dedup_most_complete, dedup_composite,
     dedup_first_seen, merge_backfill, merge_groups, severity_max, base_instances_join, pair_completeness, url_ports, consolidation_report, scanner_detection, merged_audit, by_source_consolidation, match_wildcard, match_exact, match_fuzzy,
     match_fuzzy_names, match_token_sort, assign_one_to_one, anti_absent, link_mapping, link_models, link_scores, link_field_stats, link_summary, removed_audit, rouge_l_pairs, score_bands, column_stats, multiset_prf, multiset_surplus, severity_pivot, source_pivot,
     heatmap, run_spread, run_mean_std, category_share, run_times, dataset_sort_id, export_cells, dataset_rows, severity_metadata, summary_lines, report_address, plan_resume, latest_ledger, model_of_file,
-    first_existing_file, semantic_score, topk_per_group, stream_windows, stream_distinct,
+    first_existing_file, semantic_score, topk_per_group, stream_windows, stream_distinct, stream_windows_live, stream_distinct_live, category_counts_by_source,
 )
 
 
@@ -549,6 +580,8 @@ def oracle_sql() -> dict[str, str]:
         "semantic_score": "WITH p AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM p GROUP BY ALL) SELECT vec_id, round(sum(x * m) / sqrt(sum(x * x) * sum(m * m)), 4) AS score FROM p JOIN m USING (label, i) GROUP BY vec_id",
         "topk_per_group": "SELECT l_returnflag, place, l_orderkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS place FROM lineitem) WHERE place <= 3",
         "stream_windows": "SELECT time_bucket(INTERVAL 6 HOURS, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+        "stream_windows_live": "SELECT time_bucket(INTERVAL 6 HOURS, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+        "stream_distinct_live": f"SELECT count(*) AS n_findings FROM (SELECT DISTINCT {norm_name_sql('Name')}, coalesce(port, ''), lower(coalesce(protocol, '')) FROM records)",
         "stream_distinct": f"SELECT count(*) AS n_findings FROM (SELECT DISTINCT {norm_name_sql('Name')}, coalesce(port, ''), lower(coalesce(protocol, '')) FROM records)",
         "model_of_file": "SELECT CASE WHEN contains(k, 'gpt4') THEN 'gpt4' WHEN contains(k, 'gpt5') THEN 'gpt5' WHEN contains(k, 'llama3') THEN 'llama3' WHEN contains(k, 'llama4') THEN 'llama4' WHEN contains(k, 'deepseek') THEN 'deepseek' ELSE 'unknown' END AS model, count(*) AS n FROM (SELECT lower(translate(concat_ws('-', extractor, llm), '/:-.', '____')) AS k FROM run_ledger) GROUP BY 1",
     }

@@ -137,7 +137,8 @@ def pattern_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunks.chunk_quality(table(spark, sf_dir, "blocks").filter("text IS NOT NULL").select("doc_id", "block_id", "text"), r"^\s*NVT:\s", 1492)
-    return out.select("doc_id", "block_id", "size_ok", "markers", "clean_start")
+    out = chunks.quality_hints(out)
+    return out.select("doc_id", "block_id", "size_ok", "markers", "clean_start", "clean_end", "pair_kinds.instances", "pair_kinds.bases", F.size("hints").alias("n_hints"))
 
 
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +169,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
-_HEAD = r"^(?:\d+\.\d+\.\d+\s+)?(Critical|High|Medium|Low|Log)\s+(\d+|general)/([a-zA-Z0-9_-]+)"
+_HEAD = blocks.HEADER.removeprefix("(?i)")
 
 
 def strip_sql(c: str) -> str:
@@ -250,6 +251,9 @@ def oracle_sql() -> dict[str, str]:
         "pattern_detect": r"""WITH m AS (SELECT doc_id, len(regexp_extract_all(text, '(?m)^\s*Plugin ID:\s*\d+')) AS a, len(regexp_extract_all(text, '(?m)^\s*NVT:\s')) AS b, len(regexp_extract_all(text, '(?m)^\s*VULNERABILITY\s+(CRITICAL|HIGH|MEDIUM|LOW)\s+PLUGIN\s+ID\s+\d+')) AS c FROM documents WHERE text IS NOT NULL)
           SELECT doc_id, CASE WHEN a > 0 THEN 'nessus' WHEN b > 0 THEN 'openvas' WHEN c > 0 THEN 'tenable_was' ELSE 'unknown' END AS scanner_type, CASE WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE c END AS markers,
           a = 0 AND b = 0 AND c > 0 AS has_pairs, CASE WHEN a > 0 THEN 4 WHEN b > 0 THEN 5 ELSE 3 END AS max_per_chunk FROM m""",
-        "chunk_quality": r"""SELECT doc_id, block_id, length(text) <= 1492 AS size_ok, len(regexp_extract_all(text, '(?m)^\s*NVT:\s')) AS markers,
-          len(list_filter(string_split(text, chr(10))[1:15], lambda x: regexp_matches(x, '^\s*NVT:\s'))) > 0 AS clean_start FROM blocks WHERE text IS NOT NULL""",
+        "chunk_quality": r"""WITH t AS (SELECT doc_id, block_id, text, string_split(text, chr(10)) AS l FROM blocks WHERE text IS NOT NULL), u AS (SELECT *, CASE WHEN len(l) > 10 THEN l[-10:] ELSE l END AS e FROM t),
+          w AS (SELECT *, list_max(list_transform(e, lambda x, i: CASE WHEN regexp_matches(x, '^\s*NVT:\s') THEN i ELSE 0 END)) AS k FROM u),
+          q AS (SELECT doc_id, block_id, length(text) <= 1492 AS size_ok, len(regexp_extract_all(text, '(?m)^\s*NVT:\s')) AS markers, len(list_filter(l[1:15], lambda x: regexp_matches(x, '^\s*NVT:\s'))) > 0 AS clean_start,
+            k = 0 OR length(array_to_string(e[k + 1:], chr(10))) > 100 AS clean_end, len(regexp_extract_all(text, 'Instances \(\d+\)')) AS instances, len(regexp_extract_all(text, '(?i)PLUGIN\s+ID')) AS bases FROM w)
+          SELECT *, (NOT size_ok)::INT + (markers = 0)::INT + (NOT clean_start)::INT + (NOT clean_end)::INT AS n_hints FROM q""",
     }

@@ -64,6 +64,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 def modified_at(spark: SparkSession, path: str) -> int | None:
     """When a file was last changed, in milliseconds; null if it isn't there. For a folder, its newest file's time."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
