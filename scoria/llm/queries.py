@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoria.llm import collapse, mixing, spans, splitting, survivor, tokenizer, truncation
+from scoria.llm import collapse, mixing, oracle_truncation, spans, splitting, survivor, tokenizer, truncation
 from scoria.session import table
 
 
@@ -121,7 +121,13 @@ def oracle_sql() -> dict[str, str]:
           SELECT first_seq, 'description' AS field, seq, chars AS score, extracted_at FROM m WHERE members > 1 AND chars > 0 UNION ALL
           SELECT first_seq, 'severity', seq, 1, extracted_at FROM m WHERE members > 1 AND valid UNION ALL
           SELECT first_seq, 'instances', seq, n, extracted_at FROM m WHERE members > 1 AND n > 0))"""
-    return {
+    # every run of that many characters of every text, whole
+    runs = f"""n AS (SELECT {setting.format('documents.shared_span_min_chars')} AS n), r AS (SELECT doc_id, length(text) AS n_chars, i, text[i:i + n - 1] AS run FROM documents, n, LATERAL (SELECT unnest(generate_series(1, length(text) - n + 1)) AS i) WHERE length(text) >= n)"""
+    return oracle_truncation.oracle_sql() | {
+        "p8_found": f"WITH {runs}, d AS (SELECT DISTINCT doc_id, run FROM r) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.run = b.run AND a.doc_id < b.doc_id",
+        "p8_shared": f"""WITH {runs}, s AS (SELECT run FROM r GROUP BY run HAVING min(doc_id) < max(doc_id)),
+            c AS (SELECT doc_id, n_chars, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM r WHERE run IN (SELECT run FROM s))
+            SELECT doc_id, any_value(n_chars) AS n_chars, sum(least(coalesce(j - i, n), n)) AS shared_chars, sum(least(coalesce(j - i, n), n)) / any_value(n_chars) AS shared_part FROM c, n GROUP BY doc_id""",
         "p1_found": f"SELECT * FROM (SELECT min(raw_id) OVER (PARTITION BY key) AS raw_id_a, raw_id AS raw_id_b FROM (SELECT raw_id, {raw_key} AS key FROM raw_findings)) WHERE raw_id_a <> raw_id_b",
         "p1_collapsed": f"SELECT min(raw_id) AS raw_id, count(*) AS copies, count(DISTINCT raw) AS spellings FROM (SELECT raw_id, raw, {raw_key} AS key FROM raw_findings) GROUP BY key",
         "p3_found": f"""WITH b AS (SELECT doc_id, block_id, text, setting_value AS marker FROM blocks, profile_settings WHERE setting_key = 'openvas.chunking.marker_pattern')
