@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoria.operators import blocks, chunks, consolidate, datasets, evaluate, extract, pages, validate
 from scoria.profiles import ModelProfile, Profile, profile
 from scoria.session import cut_lineage
-from scoria.sources import writers
+from scoria.sources import readers, writers
 
 
 @dataclass(frozen=True)
@@ -67,9 +67,26 @@ class Engine:
         rows = datasets.numbered(full, [F.col(c) for c in order], "seq").drop(*order[1:])
         rows = validate.validator_for(self.scanner)(rows) if self.check and not self.scanner.asset_records else rows
         rows = cut_lineage(rows)
-        kept, report = consolidate.consolidate(rows.drop("doc_id"), self.scanner, self.allow_duplicates, dict(self.aliases))
+        # each document is a run of its own
+        kept, report = consolidate.consolidate(rows, self.scanner, self.allow_duplicates, dict(self.aliases), by=("doc_id",))
         _, removed = validate.with_description(rows, self.scanner.description_field)
-        return Extraction(kept.join(rows.select("seq", "doc_id"), "seq", "left"), removed, report, ledger)
+        return Extraction(kept, removed, report, ledger)
+
+    def batch(self, spark: SparkSession, folder: str, out: str, glob: str = "*.txt") -> DataFrame:
+        """All report texts of a folder in one plan: records as JSON Lines below ``out``, a folder per report, and a row per report in ``out``'s ledger, which is returned.
+
+        ledger: ``run_id`` (the file), ``status`` ('ok', or 'empty' without records), ``records``, ``tokens_input``, ``tokens_output``, ``run_at``.
+        """
+        docs = readers.read_text_files(spark, folder, glob)
+        extraction = self.extract(docs)
+        records = cut_lineage(extraction.records)
+        records.withColumn("report", F.col("doc_id")).drop("doc_id").write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("report").json(f"{out.rstrip('/')}/records")
+        tokens = extraction.ledger.groupBy("doc_id").agg(F.sum("tokens_input").alias("tokens_input"), F.sum("tokens_output").alias("tokens_output"))
+        rows = docs.select("doc_id").join(records.groupBy("doc_id").agg(F.count(F.lit(1)).alias("records")), "doc_id", "left").join(tokens, "doc_id", "left")
+        status = F.when(F.col("records").isNull(), "empty").otherwise("ok")
+        rows = rows.select(F.col("doc_id").alias("run_id"), status.alias("status"), *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("records", "tokens_input", "tokens_output")), F.current_timestamp().alias("run_at"))
+        rows.write.mode("append").parquet(f"{out.rstrip('/')}/ledger")
+        return spark.read.parquet(f"{out.rstrip('/')}/ledger")
 
     def run(self, docs: DataFrame, path: str, formats: tuple[str, ...] = ("json",), baseline: DataFrame | None = None, metric: str = "rouge") -> tuple[Extraction, evaluate.Evaluation | None, dict[str, str]]:
         """Extracts, writes the records in the formats, and evaluates them if there is a baseline: (extraction, evaluation, formats that failed)."""

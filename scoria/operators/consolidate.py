@@ -6,6 +6,7 @@ map-side combine does it: no group is sorted or held as a whole. ``seq`` is the
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -42,19 +43,19 @@ def most_complete(df: DataFrame, keys: list[Column] | str = "Name", skip: tuple[
     return keep_one(df, keys, [-filled_fields(df, skip), F.col("seq")]).withColumnRenamed("__place", "place")
 
 
-def dedup_openvas(df: DataFrame, skip: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """Most complete per (name stripped, port, protocol); 'Services' rows only collapse when they are the same throughout."""
+def dedup_openvas(df: DataFrame, skip: tuple[str, ...] = ("seq",), by: tuple[str, ...] = ()) -> DataFrame:
+    """Most complete per (name stripped, port, protocol), within ``by``; 'Services' rows only collapse when they are the same throughout."""
     name = stripped(F.coalesce("Name", F.lit("")))
     content = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in skip))), 256)
-    return most_complete(df, [name, F.col("port"), F.col("protocol"), F.when(name == "Services", content)], skip)
+    return most_complete(df, [name, F.col("port"), F.col("protocol"), F.when(name == "Services", content), *map(F.col, by)], skip)
 
 
 def _first_filled(c: str, kind: str) -> Column:
     return F.min_by(F.col(f"`{c}`"), F.when(is_filled(F.col(f"`{c}`"), kind), F.col("seq")))
 
 
-def merge_tenable(df: DataFrame, fill: tuple[str, ...] = ("description", "solution", "cvss", "references")) -> DataFrame:
-    """Per (name, plugin) the first record, with all instances in order, and empty ``fill`` fields from the next that has them."""
+def merge_tenable(df: DataFrame, fill: tuple[str, ...] = ("description", "solution", "cvss", "references"), by: tuple[str, ...] = ()) -> DataFrame:
+    """Per (name, plugin), within ``by``, the first record, with all instances in order, and empty ``fill`` fields from the next that has them."""
     kinds = dict(df.dtypes)
     fill = tuple(c for c in fill if c in kinds)
     plain = [c for c in df.columns if c not in (*fill, "instances")]
@@ -63,8 +64,8 @@ def merge_tenable(df: DataFrame, fill: tuple[str, ...] = ("description", "soluti
     if "instances" in kinds:
         listed = F.array_sort(F.collect_list(F.struct("seq", "instances")))
         aggs.append(F.flatten(F.transform(F.filter(listed, lambda s: s["instances"].isNotNull()), lambda s: s["instances"])).alias("instances"))
-    keyed = df.withColumn("__n", F.col("Name")).withColumn("__p", F.col("plugin"))
-    return keyed.groupBy("__n", "__p").agg(*aggs).select("__first.*", *fill, *(["instances"] if "instances" in kinds else []))
+    keys = {f"__k{i}": F.col(c) for i, c in enumerate(("Name", "plugin", *by))}
+    return df.withColumns(keys).groupBy(*keys).agg(*aggs).select("__first.*", *fill, *(["instances"] if "instances" in kinds else []))
 
 
 def merge_group(df: DataFrame, keys: list[Column], by_instances: bool = True) -> DataFrame:
@@ -128,7 +129,7 @@ class About:
     keys: Callable[[], list[Column]] | None = None
 
 
-STRATEGIES: dict[str, Strategy] = {"openvas": lambda df: dedup_openvas(df).drop("place"), "tenable": merge_tenable}
+STRATEGIES: dict[str, Strategy] = {"openvas": lambda df, by=(): dedup_openvas(df, by=by).drop("place"), "tenable": merge_tenable}
 ABOUT: dict[str, About] = {
     "openvas": About("most complete", "the most complete record of each name, port and protocol", "deduplication", lambda: [stripped(F.coalesce("Name", F.lit(""))), F.col("port"), F.col("protocol")]),
     "tenable": About("merge of instances", "records of one name and plugin, with all their instances", "instance consolidation", lambda: [base_name(F.col("Name"))]),
@@ -146,8 +147,8 @@ def strategy_for(source: str | None, aliases: dict[str, str] | None = None) -> S
     return STRATEGIES.get((aliases or {}).get(name, name))
 
 
-def consolidate(df: DataFrame, profile: Profile, allow_duplicates: bool = False, aliases: dict[str, str] | None = None, source: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, report) of one run: its source's strategy, else pass-through or the most complete by the profile's field; then the description filter.
+def consolidate(df: DataFrame, profile: Profile, allow_duplicates: bool = False, aliases: dict[str, str] | None = None, source: str | None = None, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(records, report) of one run, or of many that the columns ``by`` tell apart: its source's strategy, else pass-through or the most complete by the profile's field; then the description filter.
 
     ``source``: the run's; without it that of its first record (one row is read). report: ``stage_no``, ``stage``,
     ``records``, ``removed`` by the stage, and the ``strategy`` and ``reason`` of what was removed.
@@ -160,10 +161,13 @@ def consolidate(df: DataFrame, profile: Profile, allow_duplicates: bool = False,
         name = source.lower()
         about = ABOUT[(aliases or {}).get(name, name)]
     elif allow_duplicates:
-        strategy, about = lambda x: x, About("pass-through", "records as they are", "none")
+        strategy, about = lambda x, by=(): x, About("pass-through", "records as they are", "none")
     else:
-        strategy, about = lambda x: most_complete(x, profile.consolidation_field).drop("place"), About("most complete", f"the most complete record of each {profile.consolidation_field}")
-    merged = cut_lineage(strategy(df))
+        keys = [F.col(f"`{c}`") for c in (profile.consolidation_field, *by)]
+        strategy, about = lambda x, by=(): most_complete(x, keys).drop("place"), About("most complete", f"the most complete record of each {profile.consolidation_field}")
+    # a strategy of one's own that knows no ``by`` sees all runs together
+    apart = by and "by" in inspect.signature(strategy).parameters
+    merged = cut_lineage(strategy(df, by=by) if apart else strategy(df))
     kept, removed = with_description(merged, profile.description_field)
     counts = stage_counts(input=df, strategy=merged, no_description=removed, final=kept)
     before = F.lag("records").over(Window.orderBy("stage_no"))  # four rows

@@ -37,6 +37,8 @@ WEB_SECTIONS = {
     "plugin details": "plugin_details",
     "identification": "instances",
 }
+#: Fixed value: the line that gives a finding's severity and score.
+SCORE_LINE = re.compile(r"(?i)^(Critical|High|Medium|Low|Log)\s*\(CVSS:\s*([\d.]+)\)")
 #: Sections of a report and the record fields that they fill.
 SECTIONS = {
     "summary": "description",
@@ -52,7 +54,7 @@ SECTIONS = {
 
 
 def rule_based(prompts: list[str]) -> list[str]:
-    """A deterministic backend for OpenVAS-like text: name by NVT:, header for severity and port, sections to fields.
+    """A deterministic backend for OpenVAS-like text: name by NVT:, header for severity and port, score line for severity and CVSS, sections to fields.
 
     It approximates what a model does under the extraction rules; it isn't claimed to equal one.
     """
@@ -60,14 +62,16 @@ def rule_based(prompts: list[str]) -> list[str]:
     out = []
     for text in prompts:
         records: list[dict[str, Any]] = []
-        port = protocol = severity = field = None
+        port = protocol = severity = field = score = None
         for line in (text or "").split("\n"):
             bare = line.strip()
             if m := head.match(bare):
-                severity, port, protocol, field = m[1].upper(), m[2], m[3], None
+                severity, port, protocol, field, score = m[1].upper(), m[2], m[3], None, None
+            elif m := SCORE_LINE.match(bare):
+                severity, score, field = m[1].upper(), m[2], None
             elif bare.startswith("NVT:"):
-                records.append({"Name": bare[4:].strip(), "port": port, "protocol": protocol, "severity": severity, "source": "OPENVAS"})
-                field = None
+                records.append({"Name": bare[4:].strip(), "port": port, "protocol": protocol, "severity": severity, "source": "OPENVAS"} | ({"cvss": [score]} if score else {}))
+                field = score = None
             elif bare.lower().rstrip(":") in SECTIONS:
                 field = SECTIONS[bare.lower().rstrip(":")]
             elif bare and field and records:

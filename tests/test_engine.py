@@ -48,6 +48,24 @@ def test_engine_from_text_to_evaluation(spark, tmp_path):
     assert validate.check_arguments(True, 1, ("csv",), 1) == ("all",) and validate.check_arguments(False, None, ("csv",), 1) == ("csv",)
 
 
+def test_each_document_is_a_run(spark, tmp_path):
+    """The same finding in two reports stays in both; a folder of reports is extracted in one plan, with a ledger."""
+    (tmp_path / "in").mkdir()
+    for name in ("one.txt", "two.txt"):
+        (tmp_path / "in" / name).write_text(REPORT + REPORT.replace("Contents\n", ""))
+    (tmp_path / "in" / "three.txt").write_text("nothing here")
+    engine = Engine.of("openvas", extract.rule_based)
+    ledger = {r.run_id: (r.status, r.records) for r in engine.batch(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()}
+    assert ledger["three.txt"] == ("empty", 0) and ledger["one.txt"] == ledger["two.txt"] and ledger["one.txt"][0] == "ok"
+    rows = spark.read.json(str(tmp_path / "out" / "records"))
+    assert {(r.report, r.n) for r in rows.filter("Name = 'Weak cipher'").groupBy("report").agg(F.count("*").alias("n")).collect()} == {("one.txt", 1), ("two.txt", 1)}
+    web = spark.createDataFrame([(1, "r1", "n", "p", ["d"], "TENABLEWAS"), (2, "r2", "n", "p", ["d"], "TENABLEWAS"), (3, "r2", "n", "p", None, "TENABLEWAS")], "seq bigint, doc_id string, Name string, plugin string, description array<string>, source string")
+    from scoria.operators import consolidate
+
+    kept, _ = consolidate.consolidate(web, PROFILES["tenable"], aliases={"tenablewas": "tenable"}, by=("doc_id",))
+    assert {(r.seq, r.doc_id) for r in kept.collect()} == {(1, "r1"), (2, "r2")}
+
+
 SIDES = "seq bigint, Name string, port string, protocol string, description array<string>, severity string"
 
 
@@ -184,6 +202,12 @@ def test_answers_and_retries(spark):
     assert [r.Name for r in extract.identified_pairs(held).collect()] == ["a"]
 
 
+def test_score_lines():
+    text = "Log 443/tcp\nHigh (CVSS: 7.5)\nNVT: A\nSummary\nx\nNVT: B\nMedium 80/tcp\nNVT: C"
+    got = [(r["Name"], r["severity"], r["port"], r.get("cvss")) for r in extract.recover_json(extract.rule_based([text])[0])]
+    assert got == [("A", "HIGH", "443", ["7.5"]), ("B", "HIGH", "443", None), ("C", "MEDIUM", "80", None)]
+
+
 def test_web_scan_rules(spark):
     text = "VULNERABILITY HIGH PLUGIN ID 98056\n\nOpen Redirect Instances (2)\nIdentification\nhttps://a.example/x\nhttps://a.example/y\nVULNERABILITY HIGH PLUGIN ID 98056\nOpen Redirect\nDescription\nIt redirects.\nReference Information\nhttps://r.example\nCWE-601\nRisk Information\nCVSSV3 BASE SCORE 6.1\nPlugin Details\nFamily: Web\n"
     record = extract.recover_json(extract.rule_based_tenable([text])[0])
