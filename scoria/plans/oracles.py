@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from scoria.operators.pages import EXPORT_MARK, FIRST_FINDING
 from scoria.plans.texts import _HEAD, WS, norm_name_sql, norm_port_sql, norm_text_sql, strip_sql, wild_sql
-from scoria.schemas import DATASET_FIELDS, RECORD_FIELDS, SEVERITY_RANK
+from scoria.schemas import ASSET_FIELDS, DATASET_FIELDS, RECORD_FIELDS, SEVERITY_RANK
 
 #: The longest sequence whose places fit one 128-bit number with room for a carry.
 BITS = 126
@@ -169,7 +171,7 @@ def filled_sql(c: str, empty: str, first: str = "") -> str:
 def inherit_sql() -> str:
     text = lambda c: f"CASE WHEN json_type(r, '$.{c}') IN ('OBJECT', 'ARRAY') THEN NULL ELSE json_extract_string(r, '$.{c}') END AS {c}"
     first = "first_of"
-    return f"""WITH {items_sql()}, i AS (SELECT response_id, doc_id, block_id, chunk_id, unnest(from_json(l, '["JSON"]')) AS r, generate_subscripts(from_json(l, '["JSON"]'), 1) - 1 AS item_no FROM ans WHERE doc_id IS NOT NULL),
+    return f"""WITH {items_sql()}, i AS (SELECT response_id, doc_id, block_id, chunk_id, unnest(from_json(l, '["JSON"]')) AS r, generate_subscripts(from_json(l, '["JSON"]'), 1) - 1 AS item_no FROM ans),
       o AS (SELECT *, block_id = 0 AND row_number() OVER (PARTITION BY doc_id, block_id, chunk_id ORDER BY item_no, response_id) = 1 AS first_of FROM i WHERE json_type(r) = 'OBJECT'),
       f AS (SELECT response_id, item_no, first_of, o.doc_id, o.block_id, {text('Name')}, {text('port')}, {text('protocol')}, {text('severity')} FROM o),
       j AS (SELECT f.*, b.port AS b_port, b.protocol AS b_protocol, b.severity AS b_severity FROM f LEFT JOIN blocks b ON f.doc_id = b.doc_id AND f.block_id = b.block_id)
@@ -241,6 +243,30 @@ def tenable_split_sql() -> str:
       SELECT doc_id, 'body' AS kind, length(b) AS n_chars FROM p UNION ALL SELECT doc_id, 'summary', length(s) FROM p WHERE regexp_matches(s, '\S')"""
 
 
+def assets_sql(sources: dict[str, str]) -> str:
+    """Asset findings with their types, from what each field was written as."""
+    out = ["seq"]
+    lists = {"definition.references": 'coalesce(len("references"), 0)', "definition.see_also": "CASE WHEN cvss[1] <> '' THEN 1 ELSE 0 END"}
+    for name, kind in ASSET_FIELDS.items():
+        column, x = name.replace(".", "_"), sources.get(name)
+        if name in lists:
+            out.append(f"{lists[name]} AS {column}_n")
+            continue
+        if name == "definition.description":
+            x = "array_to_string(description, chr(10))"
+        elif name == "definition.cvss2.base_score":
+            x = "seq::VARCHAR"
+        elif x is None:
+            x = "NULL"
+        for spark, duck in (("STRING", "VARCHAR"), ("`", '"'), ("10.0D", "10.0::DOUBLE")):
+            x = x.replace(spark, duck)
+        x = re.sub(r"get\(([^,]+), 0\)", r"\1[1]", x)
+        kinds = {"string!": f"coalesce({x}, '')", "number": f"TRY_CAST({x} AS DOUBLE)", "int": f"CASE WHEN regexp_full_match({x}, '-?[0-9]+') THEN TRY_CAST({x} AS INT) END"}
+        out.append(f"{kinds.get(kind, x)} AS {column}")
+    named = strip_sql("coalesce(Name, '')")
+    return f"SELECT {', '.join(out)} FROM records WHERE {named} <> ''"
+
+
 def dataset_sql() -> str:
     kinds = dict(RECORD_FIELDS)
 

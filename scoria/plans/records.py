@@ -66,8 +66,8 @@ def rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inherit_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the stored answers with port, protocol and severity of their blocks where they have none."""
-    r = table(spark, sf_dir, "responses").filter("doc_id IS NOT NULL").select("response_id", "doc_id", "block_id", "chunk_id", extract.recovered_list(F.col("raw")).alias("items"))
+    """Records of the stored answers with port, protocol and severity of their blocks where they have none; those of unknown documents as they are."""
+    r = table(spark, sf_dir, "responses").select("response_id", "doc_id", "block_id", "chunk_id", extract.recovered_list(F.col("raw")).alias("items"))
     found = extract.records_of(r, ("response_id", "doc_id", "block_id", "chunk_id"))
     full = extract.inherit_header(found, table(spark, sf_dir, "blocks").select("doc_id", "block_id", "port", "protocol", "severity"))
     return full.select("response_id", "item_no", "Name", "port", "protocol", "severity")
@@ -97,12 +97,25 @@ def validated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("severity", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("description")).alias("texts"))
 
 
+#: How asset_records writes each field: a column of records, or a constant; and as what it is written.
+ASSET_SOURCES = {
+    "id": "CAST(seq AS STRING)", "asset.name": "report", "asset.display_fqdn": "lower(report)", "asset.host_name": "report", "asset.operating_system": "source", "asset.system_type": "'Network Service'",
+    "definition.name": "Name", "definition.severity": "severity", "definition.solution": "get(solution, 0)", "definition.id": "plugin", "definition.family": "plugin_details.family", "definition.type": "protocol",
+    "definition.cve": "get(`references`, 0)", "definition.synopsis": "get(impact, 0)", "definition.plugin_published": "plugin_details.publication_date", "definition.patch_published": "plugin_details.modification_date",
+    "definition.cvss3.base_score": "CAST(seq % 100 / 10.0D AS STRING)", "definition.epss.score": "CASE seq % 3 WHEN 0 THEN 'none' WHEN 1 THEN CAST(seq % 7 AS STRING) END", "definition.exploitability_ease": "port",
+    "output": "get(detection_result, 0)", "port": "port", "protocol": "protocol", "scan.id": "run_id", "severity": "severity", "state": "CASE WHEN seq % 2 = 0 THEN 'OPEN' END", "age_in_days": "CASE seq % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN CAST(seq AS STRING) WHEN 2 THEN '1.5' END",
+}
+
+
 def asset_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records written as asset findings and read back by the asset validator."""
+    """Records written as asset findings, in all kinds of fields, and read back by the asset validator; fields that no record has are null."""
     r = table(spark, sf_dir, "records")
-    raw = r.select("seq", F.to_json(F.struct(F.col("Name").alias("definition.name"), F.col("severity"), F.col("port"), F.col("protocol"), F.array_join("description", "\n").alias("definition.description"), F.col("references").alias("definition.references"))).alias("raw"))
-    out = validate.validate_assets(raw)
-    return out.select("seq", F.col("`definition.name`").alias("asset_name"), "port", "severity", F.size(F.col("`definition.references`")).alias("n_references"))
+    written = [F.expr(x).alias(name) for name, x in ASSET_SOURCES.items()]
+    written += [F.array_join("description", "\n").alias("definition.description"), F.col("references").alias("definition.references"), F.get("cvss", F.lit(0)).alias("definition.see_also"), F.col("seq").alias("definition.cvss2.base_score")]
+    out = validate.validate_assets(r.select("seq", F.to_json(F.struct(*written)).alias("raw")))
+    kinds = dict(out.dtypes)
+    shown = [F.coalesce(F.size(F.col(f"`{n}`")), F.lit(-1)).alias(n.replace(".", "_") + "_n") if kinds[n].startswith("array") else F.col(f"`{n}`").alias(n.replace(".", "_")) for n in kinds if n != "seq"]
+    return out.select("seq", *shown)
 
 
 def description_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,6 +436,15 @@ def plan_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.unfinished(plan, done).select("run_id", "base", "scanner", "llm", "run_num")
 
 
+def plan_unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts with a baseline but no report, and reports without a baseline."""
+    bases = table(spark, sf_dir, "run_ledger").select(F.regexp_replace("baseline", "_baseline$", "").alias("base")).filter("base IS NOT NULL").distinct()
+    reports = table(spark, sf_dir, "inventory").select(F.col("container").alias("base"))
+    more = bases.unionByName(spark.createDataFrame([("no_such_host",)], "base string"))
+    _, no_report, no_baseline = linkage.experiment_plan(more, reports, ["openvas"], ["gpt4"], 1)
+    return no_report.select("base", F.lit("no report").alias("issue")).unionByName(no_baseline.select("base", F.lit("no baseline").alias("issue")))
+
+
 def latest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.latest_runs(table(spark, sf_dir, "run_ledger")).select("run_id", F.lower(F.trim("status")).alias("status"), "run_at")
 
@@ -500,7 +522,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     json_recover, answer_validation, retry_two_pass, rule_extraction, inherit_headers, token_ledger_totals, token_cost, validated_records, asset_records, description_filter, integrity_sets, dedup_most_complete, dedup_composite,
     dedup_first_seen, merge_backfill, merge_groups, severity_max, base_instances_join, pair_completeness, url_ports, consolidation_report, scanner_detection, merged_audit, by_source_consolidation, match_wildcard, match_exact, match_fuzzy,
     match_fuzzy_names, match_token_sort, assign_one_to_one, anti_absent, link_mapping, link_models, link_scores, link_field_stats, link_summary, removed_audit, rouge_l_pairs, score_bands, column_stats, multiset_prf, multiset_surplus, severity_pivot, source_pivot,
-    heatmap, run_spread, run_mean_std, category_share, run_times, dataset_sort_id, export_cells, dataset_rows, severity_metadata, summary_lines, report_address, plan_resume, latest_ledger, model_of_file,
+    heatmap, run_spread, run_mean_std, category_share, run_times, dataset_sort_id, export_cells, dataset_rows, severity_metadata, summary_lines, report_address, plan_resume, plan_unpaired, latest_ledger, model_of_file,
     first_existing_file, semantic_score, topk_per_group, stream_windows, stream_distinct, stream_windows_live, stream_distinct_live, category_counts_by_source,
 )
 
@@ -534,7 +556,7 @@ def oracle_sql() -> dict[str, str]:
     return oracles.oracle_sql() | {
         "token_ledger_totals": f"WITH {_LATEST}, t AS (SELECT l.llm, {words.format('text')} AS i, {words.format('raw')} AS o FROM responses r JOIN blocks b ON r.doc_id = b.doc_id AND r.block_id = b.block_id JOIN latest l ON l.run_id = r.doc_id) SELECT coalesce(llm, 'all') AS llm, sum(coalesce(i, 0)) AS tokens_input, sum(coalesce(o, 0)) AS tokens_output, count(*) AS calls FROM t GROUP BY ROLLUP (llm)",
         "validated_records": rf"SELECT CASE WHEN upper(severity) = 'INFO' THEN 'LOG' ELSE coalesce(severity, '') END AS severity, coalesce(source, '') AS source, count(*) AS n, sum(coalesce(len(description), 0)) AS texts FROM records WHERE {strip_sql('''coalesce(Name, '')''')} <> '' AND NOT regexp_matches({strip_sql('Name')}, '(?i)^\s*VULNERABILITY\s+(CRITICAL|HIGH|MEDIUM|LOW|INFO|LOG)\s+PLUGIN\s+ID\s+\d+') GROUP BY 1, 2",
-        "asset_records": f"""SELECT seq, Name AS asset_name, TRY_CAST(port AS INT) AS port, coalesce(severity, '') AS severity, coalesce(len("references"), 0) AS n_references FROM records WHERE {strip_sql("coalesce(Name, '')")} <> ''""",
+        "asset_records": oracles.assets_sql(ASSET_SOURCES),
         "description_filter": f"WITH k AS (SELECT coalesce(len(list_filter(description, lambda x: length({strip_sql('x')}) > 0)), 0) > 0 AS ok FROM records) SELECT 'kept' AS stage, count(*) FILTER (ok) AS records FROM k UNION ALL SELECT 'removed', count(*) FILTER (NOT ok) FROM k",
         "removed_audit": f"""SELECT 'description_filter' AS stage, seq, CASE WHEN length(Name) > 20 THEN Name[1:20] || '...' ELSE coalesce(Name, '') END AS name, severity, port FROM records WHERE coalesce(len(list_filter(description, lambda x: length({strip_sql('x')}) > 0)), 0) = 0""",
         "integrity_sets": """WITH f AS (SELECT DISTINCT report AS k FROM records WHERE report IS NOT NULL), m AS (SELECT container AS k, ip FROM inventory), b AS (SELECT DISTINCT ip FROM run_ledger JOIN inventory ON extractor = container WHERE ip IS NOT NULL)
@@ -575,6 +597,7 @@ def oracle_sql() -> dict[str, str]:
           plan AS (SELECT base, scanner, llm, run_num, concat_ws('__', base, scanner, llm, 'run' || run_num) AS run_id FROM p, (VALUES ('openvas'), ('nessus')) s(scanner), (VALUES ('gpt4'), ('llama4')) m(llm), (VALUES (1), (2)) r(run_num)),
           d AS (SELECT concat_ws('__', extractor, scanner, llm, 'run' || run_num) AS run_id, status, run_at FROM run_ledger), l AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY run_at DESC NULLS LAST, status DESC NULLS LAST) = 1)
           SELECT run_id, base, scanner, llm, run_num FROM plan WHERE run_id NOT IN (SELECT run_id FROM l WHERE lower(trim(status)) = 'ok')""",
+        "plan_unpaired": "WITH b AS (SELECT DISTINCT regexp_replace(baseline, '_baseline$', '') AS base FROM run_ledger WHERE baseline IS NOT NULL UNION ALL SELECT 'no_such_host') SELECT base, 'no report' AS issue FROM b WHERE base NOT IN (SELECT container FROM inventory) UNION ALL SELECT container, 'no baseline' FROM inventory WHERE container NOT IN (SELECT base FROM b)",
         "latest_ledger": f"WITH {_LATEST} SELECT run_id, lower(trim(status)) AS status, run_at FROM latest",
         "first_existing_file": "SELECT item, path FROM (SELECT DISTINCT run_id AS item, x.path, x.p FROM run_ledger, LATERAL (SELECT run_id || '.xlsx' AS path, 0 AS p UNION ALL SELECT run_id || '.json', 1) x WHERE x.path IN (SELECT output_file FROM run_ledger)) QUALIFY row_number() OVER (PARTITION BY item ORDER BY p) = 1",
         "semantic_score": "WITH p AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM p GROUP BY ALL) SELECT vec_id, round(sum(x * m) / sqrt(sum(x * x) * sum(m * m)), 4) AS score FROM p JOIN m USING (label, i) GROUP BY vec_id",
