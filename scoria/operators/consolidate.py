@@ -69,23 +69,33 @@ def merge_tenable(df: DataFrame, fill: tuple[str, ...] = ("description", "soluti
 
 
 def merge_group(df: DataFrame, keys: list[Column], by_instances: bool = True) -> DataFrame:
-    """Merges groups: the representative has the highest 'Instances (N)' (or comes first); arrays are united in order without repeats; scalars come from the best record that has them; the highest severity stays."""
+    """Merges groups: the representative has the highest 'Instances (N)' (or comes first); arrays are united in order without repeats; scalars come from the best record that has them; the highest severity stays.
+
+    What is gathered per group is its different array elements, each with its first place, not its records: a group of any
+    number of records costs what its result holds.
+    """
     order = F.struct((-instance_count(F.col("Name"))).alias("n"), F.col("seq")) if by_instances else F.struct(F.col("seq"))
     names = [f"__k{i}" for i in range(len(keys))]
     frame = df.select("*", *(k.alias(n) for k, n in zip(keys, names)), order.alias("__o"))
-    aggs = []
+    aggs, arrays = [], [name for name, kind in df.dtypes if kind.startswith("array") and name not in ("severity", "seq", "Name")]
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if name == "severity":
             aggs.append(F.min_by(c, F.struct((-severity_rank(c)).alias("r"), F.col("__o"))).alias(name))
         elif name in ("seq", "Name"):
             aggs.append(F.min_by(c, "__o").alias(name))
-        elif kind.startswith("array"):
-            united = F.transform(F.array_sort(F.collect_list(F.struct(F.col("__o"), c.alias("x")))), lambda s: s["x"])
-            aggs.append(F.array_distinct(F.flatten(F.filter(united, lambda x: x.isNotNull()))).alias(name))
-        else:
+        elif name not in arrays:
             aggs.append(F.min_by(c, F.when(is_filled(c, kind), F.col("__o"))).alias(name))
-    return frame.groupBy(*names).agg(*aggs).select(*df.columns)
+    out = frame.groupBy(*names).agg(*aggs)
+    for name in arrays:
+        each = frame.select(*names, "__o", F.posexplode(f"`{name}`").alias("__i", "__v")).groupBy(*names, "__v").agg(F.min(F.struct("__o", "__i")).alias("__at"))
+        united = F.transform(F.array_sort(F.collect_list(F.struct("__at", "__v"))), lambda s: s["__v"])
+        held = each.groupBy(*(F.col(n).alias(f"{n}_") for n in names)).agg(united.alias(name))
+        same = F.lit(True)
+        for n in names:
+            same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
+        out = out.join(held, same, "left").withColumn(name, F.coalesce(F.col(f"`{name}`"), F.array().cast(dict(df.dtypes)[name]))).drop(*(f"{n}_" for n in names))
+    return out.select(*df.columns)
 
 
 def base_and_instances(df: DataFrame) -> DataFrame:

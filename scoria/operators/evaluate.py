@@ -278,3 +278,22 @@ def summary_of_all(evaluations: dict[str, Evaluation]) -> DataFrame:
         row = e.overall.select(F.lit(name).alias("extraction"), "*")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+#: The data of charts by kind: what is drawn is up to the caller.
+CHARTS: dict[str, Callable[..., DataFrame]] = {
+    "heatmap": mean_heatmap,
+    "spread": spread_by_run,
+    "mean_and_spread": mean_and_spread,
+    "share": category_shares,
+    "severity": severity_table,
+    "errors": category_counts,
+    "times": run_times,
+}
+
+
+def chart_data(kind: str, *tables: DataFrame, **options) -> DataFrame:  # noqa: ANN003
+    """The rows behind a chart of a kind of CHARTS, from its tables and options."""
+    if kind not in CHARTS:
+        raise ValueError(f"no chart {kind!r}; there are {', '.join(sorted(CHARTS))}")
+    return CHARTS[kind](*tables, **options)

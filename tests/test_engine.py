@@ -243,3 +243,26 @@ def test_scored_once_for_equal_pairs(spark):
     rows = spark.createDataFrame([(1, "a b", "a c"), (2, "a b", "a c"), (3, "", None), (4, "x", ""), (5, "q", "q")], "i int, x string, y string")
     got = {r.i: r.score for r in sim.score_pairs(rows, "x", "y", sim.rouge_l, equal=1.0).collect()}
     assert got == {1: 0.5, 2: 0.5, 3: 1.0, 4: 0.0, 5: 1.0}
+
+
+def test_chart_data(spark):
+    rows = spark.createDataFrame([("m", "x", 1.0), ("m", "y", 3.0), ("n", "x", 5.0)], "llm string, field string, score double")
+    got = {r.llm: (r.x, r.y) for r in evaluate.chart_data("heatmap", rows, row="llm", column="field", value="score", columns=["x", "y"]).collect()}
+    assert got == {"m": (1.0, 3.0), "n": (5.0, None)}
+    with pytest.raises(ValueError, match="no chart"):
+        evaluate.chart_data("pie", rows)
+
+
+def test_merging_a_large_group(spark):
+    """One group of many records gathers its different elements only, in order of their first place."""
+    from scoria.operators import consolidate
+
+    rows = [(i, "a" if i % 3 else "a Instances (9)", [f"v{i % 5}", None, f"v{i % 7}"] if i % 2 else None, [], None if i < 10 else f"p{i}") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "seq bigint, Name string, tags array<string>, none array<string>, port string")
+    got = consolidate.merge_group(frame, [F.lit(None).cast("string")]).collect()
+    want: list = []
+    for r in sorted(rows, key=lambda r: (-(9 if "Inst" in r[1] else 0), r[0])):
+        for x in r[2] or []:
+            if x not in want:
+                want.append(x)
+    assert len(got) == 1 and got[0].tags == want and got[0].none == [] and got[0].port == "p12" and got[0].seq == 0
