@@ -15,18 +15,32 @@ from scoria.session import ship_package
 
 
 def lcs_length(x: Sequence, y: Sequence) -> int:
-    """Length of the longest common subsequence, on the bits of one big integer: O(len(x) * len(y) / word size)."""
+    """Length of the longest common subsequence, on the bits of one big integer: O(len(x) * len(y) / word size).
+
+    What both begin and end with is common anyway; items of one side only change nothing.
+    """
     if len(x) > len(y):
         x, y = y, x
+    n, begin = len(x), 0
+    while begin < n and x[begin] == y[begin]:
+        begin += 1
+    end = 0
+    while end < n - begin and x[-1 - end] == y[-1 - end]:
+        end += 1
+    if begin + end == n:
+        return n
+    x, y = x[begin : n - end], y[begin : len(y) - end]
     places: dict = {}
     for i, item in enumerate(x):
         places[item] = places.get(item, 0) | 1 << i
-    full = (1 << len(x)) - 1
-    row = full
+    full = row = (1 << len(x)) - 1
+    get = places.get
     for item in y:
-        hit = row & places.get(item, 0)
-        row = (row + hit | row - hit) & full
-    return len(x) - row.bit_count()
+        mask = get(item)
+        if mask is not None:
+            hit = row & mask
+            row = (row + hit | row - hit) & full
+    return begin + end + len(x) - row.bit_count()
 
 
 def rouge_l_f1(a: str, b: str) -> float:

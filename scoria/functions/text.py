@@ -35,11 +35,13 @@ SAFE_CHARACTERS = {
 TYPOS = {"certicate": "certificate", "extaction": "extraction"}
 #: Python's idea of white space in Java's pattern syntax.
 WS = r"[\p{Z}\t-\r\x1c-\x1f\x85]"
+#: The same characters, for trimming without a pattern, which looks at the ends only.
+WS_CHARACTERS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARACTERS))
 
 
 def is_footer(line: Column) -> Column:
@@ -52,7 +54,7 @@ def clean_layout(text: Column) -> Column:
     text = F.regexp_replace(text, r"\(cid:\d+\)", "")
     text = F.replace(text, F.lit("→"), F.lit("->"))
     text = F.translate(text, "’“”", "'\"\"")
-    return F.regexp_replace(F.regexp_replace(text, " {2,}", " "), f"{WS}+$", "")
+    return F.rtrim(F.regexp_replace(text, " {2,}", " "), F.lit(WS_CHARACTERS))
 
 
 def page_or_placeholder(text: Column, page_no: Column) -> Column:
