@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoria.session import cut_lineage
+from scoria.session import cut_lineage, skew_join
 
 FIELDS = ("description", "solution", "impact")
 #: An end is real if at least this part of a trigram's occurrences are ends, both among different sentences, of which at
@@ -28,8 +28,6 @@ IS_CUT = f"""CASE
   WHEN end_kinds >= {MIN_ENDS} AND end_kinds >= {END_PART} * (inside_kinds + end_kinds) AND {BOUNDED.format("")} >= {END_PART} * (inside + {BOUNDED.format("")}) THEN false
   WHEN inside_kinds - own >= {MIN_INSIDE} OR names >= {MIN_INSIDE} THEN true
   ELSE own = 0 AND pair_inside >= {MIN_INSIDE_PAIR} AND {BOUNDED.format("pair_")} < {END_PART} * (pair_inside + {BOUNDED.format("pair_")}) END"""
-#: Pieces that flagged texts are spread over in the join back to the records.
-SALTS = 8
 
 #: What a text has that isn't blank: anything but white space of any kind.
 VISIBLE = r"(?U)\S"
@@ -96,8 +94,8 @@ def final_trigrams(texts: DataFrame) -> DataFrame:
     # own: how often the sentence has its last three words before; that alone doesn't show how others go on
     finals = step(
         """
-        SELECT text, w1, w2, w3, size(filter(sequence(2, n - 1), i -> i < n - 1 AND words[i] = w3 AND words[i - 1] = w2 AND words[i - 2] = w1)) AS own
-        FROM (SELECT text, words, size(words) AS n, words[size(words) - 3] AS w1, words[size(words) - 2] AS w2, words[size(words) - 1] AS w3 FROM {shaped} WHERE final AND size(words) > 2)""",
+        SELECT text, copies, w1, w2, w3, size(filter(sequence(2, n - 1), i -> i < n - 1 AND words[i] = w3 AND words[i - 1] = w2 AND words[i - 2] = w1)) AS own
+        FROM (SELECT text, copies, words, size(words) AS n, words[size(words) - 3] AS w1, words[size(words) - 2] AS w2, words[size(words) - 1] AS w3 FROM {shaped} WHERE final AND size(words) > 2)""",
         shaped=shaped,
     )
     wanted = step("SELECT DISTINCT w1, w2, w3 FROM {finals}", finals=finals)
@@ -132,7 +130,7 @@ def final_trigrams(texts: DataFrame) -> DataFrame:
     # names are shapes once they are whole; the beginning of one is a plain word that stands where names do
     named = step("SELECT w1, w2, names FROM {begun} WHERE w3 = 'a name'", begun=begun)
     return step(
-        "SELECT f.text, f.w1, f.w2, f.w3, f.own, t.inside, t.ends, t.end_kinds, t.inside_kinds, t.most, p.inside AS pair_inside, p.ends AS pair_ends, p.most AS pair_most,"
+        "SELECT f.text, f.copies, f.w1, f.w2, f.w3, f.own, t.inside, t.ends, t.end_kinds, t.inside_kinds, t.most, p.inside AS pair_inside, p.ends AS pair_ends, p.most AS pair_most,"
         " CASE WHEN f.w2 <> '^' AND f.w3 RLIKE '^[\\\\p{{Ll}}]+$' THEN coalesce(n.names, 0) ELSE 0 END AS names FROM {finals} f"
         " JOIN {triples} t ON f.w1 = t.w1 AND f.w2 = t.w2 AND f.w3 = t.w3 JOIN {pairs} p ON f.w2 = p.w2 AND f.w3 = p.w3"
         " LEFT JOIN {named} n ON f.w1 = n.w1 AND f.w2 = n.w2",
@@ -141,22 +139,21 @@ def final_trigrams(texts: DataFrame) -> DataFrame:
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:
-    """The distinct ``text`` that were cut, by the counts of final_trigrams."""
-    return final_trigrams(texts).filter(IS_CUT).select("text")
+    """The distinct ``text`` that were cut, and their ``copies``, by the counts of final_trigrams."""
+    return final_trigrams(texts).filter(IS_CUT).select("text", "copies")
 
 
 def truncated_values(df: DataFrame, id_col: str = "seq") -> DataFrame:
     """``id``, ``source``, ``field`` of each record's field whose text was cut.
 
     A field's text ends with its last non-blank element; null, empty and blank-only fields are not cut. Records and cut
-    texts are joined by 128 bits of the text's digest; a text that many records share is spread over SALTS pieces.
+    texts are joined by 128 bits of the text's digest; rows of a text that very many records share meet it where they are read.
     """
     # distinct texts are written first: else the optimiser infers a filter from the splitting and runs it on every copy
-    cut = cut_texts(cut_lineage(element_texts(df)))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    marked = cut.select(F.md5("text").alias("digest"), salts)
-    rows = last_texts(df, id_col).select("id", "source", "field", F.md5("text").alias("digest"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return rows.join(marked, ["digest", "salt"], "left_semi").select("id", "source", "field")
+    texts = cut_lineage(element_texts(df))
+    cut = cut_lineage(cut_texts(texts).select(F.unhex(F.md5("text")).alias("digest"), "copies"))
+    rows = last_texts(df, id_col).select("id", "source", "field", F.unhex(F.md5("text")).alias("digest"))
+    return skew_join(rows, cut, "digest", "copies", texts.agg(F.sum("copies")).first()[0] or 0).select("id", "source", "field")
 
 
 def truncation_rates(df: DataFrame, id_col: str = "seq") -> DataFrame:
