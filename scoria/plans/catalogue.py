@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoria.plans import nested, records, texts
+from scoria.plans import files, nested, records, texts
 
-MODULES = (texts, records, nested)
+MODULES = (texts, records, nested, files)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8",
     if double_quotes_twice:
         cells = [F.replace(c, F.lit('"'), F.lit('""')) for c in cells]
     out = or_placeholder(df.select(*(c.alias(n) for c, n in zip(cells, header_order(df.columns)))))
-    out.write.mode("overwrite").options(header=True, sep=sep, encoding=encoding, escape='"', emptyValue="").csv(path)
+    out.write.mode("overwrite").options(header=True, sep=sep, encoding=encoding, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -74,14 +74,16 @@ def _column(n: int) -> str:
 
 
 def write_xlsx(tables: dict[str, DataFrame], path: str) -> None:
-    """An XLSX file with one sheet per table, header row in bold; rows are streamed from the executors."""
+    """An XLSX file with one sheet per table, a frozen header row in bold on a dark ground, and wrapped cells; rows are streamed from the executors."""
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
         for n, df in enumerate(tables.values(), 1):
             with book.open(f"xl/worksheets/sheet{n}.xml", "w", force_zip64=True) as f:
-                f.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
                 kinds = dict(df.dtypes)
+                widths = "".join(f'<col min="{i}" max="{i}" width="{60 if kinds[c].startswith("array") else 24}" customWidth="1"/>' for i, c in enumerate(df.columns, 1))
+                view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
+                f.write(f'<worksheet xmlns="{main}">{view}<cols>{widths}</cols><sheetData>'.encode())
                 rows = df.select(*(stringified(F.col(f"`{c}`"), kinds[c], "\n").alias(c) for c in df.columns)).toLocalIterator()
                 for r, values in enumerate([df.columns], 1):
                     f.write(_row(r, values, 1))
@@ -94,7 +96,7 @@ def write_xlsx(tables: dict[str, DataFrame], path: str) -> None:
         links += f'<Relationship Id="rId0" Type="{rel}/styles" Target="styles.xml"/>'
         package = "http://schemas.openxmlformats.org/package/2006"
         book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">{links}</Relationships>')
-        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>')
+        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><fonts count="2"><font/><font><b/><color rgb="FFFFFFFF"/></font></fonts><fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FF34495E"/></patternFill></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf applyAlignment="1"><alignment vertical="top" wrapText="1"/></xf><xf fontId="1" fillId="2" applyFont="1" applyFill="1"/></cellXfs></styleSheet>')
         book.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         kinds_xml = "".join(f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for n in range(1, len(tables) + 1))
         book.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{kinds_xml}</Types>')
