@@ -98,6 +98,12 @@ def merge_group(df: DataFrame, keys: list[Column], by_instances: bool = True) ->
     return out.select(*df.columns)
 
 
+def highest_severity(df: DataFrame, by: list[str], name: str = "highest") -> DataFrame:
+    """Per group its highest severity, in capitals, the first of equal ones; groups without any are left out."""
+    best = F.min_by(F.upper(stripped(F.col("severity"))), F.struct((-severity_rank(F.col("severity"))).alias("r"), "seq"))
+    return df.filter("severity IS NOT NULL").groupBy(*by).agg(best.alias(name))
+
+
 def base_and_instances(df: DataFrame) -> DataFrame:
     """Joins base records with their instances records by (base name, plugin); instances without a base get one made from themselves."""
     frame = df.withColumn("__base", base_name(F.col("Name"))).withColumn("__is", instance_count(F.col("Name")) > 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoria.functions.text import first_cve, port_protocol, severity_case
@@ -54,7 +54,7 @@ def header_order(columns: list[str], first: tuple[str, ...] = FIRST_COLUMNS) ->
 
 def or_placeholder(df: DataFrame, text: str = "no records") -> DataFrame:
     """``df``, or one row with ``text`` in its first column if it has none."""
-    none = df.agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
+    none = df.limit(1).agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
     cells = [F.lit(text).cast(t).alias(c) if i == 0 else F.lit(None).cast(t).alias(c) for i, (c, t) in enumerate(df.dtypes)]
     return df.unionByName(none.select(*cells))
 
@@ -69,3 +69,11 @@ def summary_lines(records: DataFrame) -> DataFrame:
     """One line per record: name, severity, port/protocol and first CVE."""
     line = F.format_string("%s | %s | %s | %s", F.coalesce("Name", F.lit("N/A")), F.coalesce(severity_case(F.col("severity")), F.lit("N/A")), port_protocol(F.col("port"), F.col("protocol")), first_cve(F.col("references")))
     return records.select("seq", line.alias("line"))
+
+
+def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int, place: str = "place") -> DataFrame:
+    """The first ``n`` rows of each group in a total order, with their ``place`` from 1: a top-k report.
+
+    The engine limits each task's rows of a group to ``n`` before they meet, so no group is sorted as a whole.
+    """
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(place) <= n)

@@ -46,6 +46,17 @@ def with_keys(df: DataFrame, scanner: str, ports: bool = True, columns: list[str
     return df.withColumn("name_norm", normalize_name(F.col("Name"))).withColumn("key", composite_key(scanner, columns or df.columns, ports))
 
 
+def exact_names(extraction: DataFrame, baseline: DataFrame) -> DataFrame:
+    """The extraction's different normalised names, and whether the baseline has them: ``name_norm``, ``known``."""
+    mine, theirs = extraction.select("name_norm").distinct(), baseline.select("name_norm").distinct().withColumn("__k", F.lit(True))
+    return mine.join(theirs, "name_norm", "left").select("name_norm", F.col("__k").isNotNull().alias("known"))
+
+
+def without_key(baseline: DataFrame, extraction: DataFrame) -> DataFrame:
+    """Baseline rows whose key no extraction row has."""
+    return baseline.join(extraction.select("key"), "key", "left_anti")
+
+
 def dedup_baseline(baseline: DataFrame) -> DataFrame:
     """The first row of each normalised name."""
     rank = F.row_number().over(Window.partitionBy("name_norm").orderBy("seq"))

@@ -157,9 +157,7 @@ def merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _records(spark, sf_dir, "seq", "run_id", "severity")
-    best = F.min_by(F.upper(t.stripped(F.col("severity"))), F.struct((-t.severity_rank(F.col("severity"))).alias("r"), "seq"))
-    return r.filter("severity IS NOT NULL").groupBy("run_id").agg(best.alias("highest"))
+    return c.highest_severity(_records(spark, sf_dir, "seq", "run_id", "severity"), ["run_id"])
 
 
 def base_instances_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,9 +226,8 @@ def match_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = linkage.with_keys(_of_model(spark, sf_dir, "gpt4"), "openvas").select("name_norm").distinct()
-    b = linkage.with_keys(_of_model(spark, sf_dir, "llama4"), "openvas").select("name_norm").distinct()
-    return e.join(b, "name_norm", "left_semi").withColumn("side", F.lit("both")).unionByName(e.join(b, "name_norm", "left_anti").withColumn("side", F.lit("left")))
+    e, b = linkage.with_keys(_of_model(spark, sf_dir, "gpt4"), "openvas"), linkage.with_keys(_of_model(spark, sf_dir, "llama4"), "openvas")
+    return linkage.exact_names(e, b).select("name_norm", F.when(F.col("known"), "both").otherwise("left").alias("side"))
 
 
 def match_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,9 +262,8 @@ def assign_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anti_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = linkage.with_keys(_of_model(spark, sf_dir, "gpt4"), "openvas").select("key")
-    b = linkage.with_keys(_of_model(spark, sf_dir, "llama4"), "openvas")
-    return b.join(e, "key", "left_anti").select("seq")
+    e, b = linkage.with_keys(_of_model(spark, sf_dir, "gpt4"), "openvas"), linkage.with_keys(_of_model(spark, sf_dir, "llama4"), "openvas")
+    return linkage.without_key(b, e).select("seq")
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -473,8 +469,8 @@ def semantic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most expensive items per return flag: a top-k report."""
-    w = Window.partitionBy("l_returnflag").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    li = table(spark, sf_dir, "lineitem").withColumn("place", F.row_number().over(w)).filter("place <= 3")
+    order = [F.desc("l_extendedprice"), *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))]
+    li = datasets.top_per_group(table(spark, sf_dir, "lineitem"), ["l_returnflag"], order, 3)
     return li.select("l_returnflag", "place", "l_orderkey", "l_extendedprice")
 
 
