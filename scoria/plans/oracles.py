@@ -329,6 +329,11 @@ def oracle_sql() -> dict[str, str]:
         "category_counts_by_source": f"""WITH {scores_sql()}, {CATEGORIES} SELECT coalesce(e.source, b.source) AS source, count(*) FILTER (category = 'Highly Similar') AS highly_similar, count(*) FILTER (category = 'Moderately Similar') AS moderately_similar,
           count(*) FILTER (category = 'Slightly Similar') AS slightly_similar, count(*) FILTER (category = 'Divergent') AS divergent, count(*) FILTER (category = 'Non-existent') AS non_existent, count(*) FILTER (category = 'Absent') AS absent,
           count(*) FILTER (type LIKE '%excess%') AS excess, count(*) FILTER (type LIKE '%invention%') AS invented FROM cats LEFT JOIN e ON cats.ext_seq = e.seq LEFT JOIN b ON cats.base_seq = b.seq GROUP BY 1""",
+        "listlike_normalize": f"""SELECT seq, {norm_list_sql('"references"')} AS text FROM records""",
+        "semantic_text_scores": """WITH p AS (SELECT seq, coalesce(Name, '') AS x, coalesce(lead(Name) OVER (PARTITION BY run_id ORDER BY seq), '') AS y FROM records),
+          t AS (SELECT seq, x, y, list_filter(string_split_regex(lower(x), '[\\s\\p{Z}]+'), lambda w: w <> '') AS a, list_filter(string_split_regex(lower(y), '[\\s\\p{Z}]+'), lambda w: w <> '') AS b FROM p),
+          n AS (SELECT seq, x, y, list_sum(list_transform(list_distinct(a), lambda w: len(list_filter(a, lambda u: u = w)) * len(list_filter(b, lambda u: u = w)))) AS ab, list_sum(list_transform(list_distinct(a), lambda w: len(list_filter(a, lambda u: u = w)) ** 2)) AS aa, list_sum(list_transform(list_distinct(b), lambda w: len(list_filter(b, lambda u: u = w)) ** 2)) AS bb FROM t)
+          SELECT seq, round(CASE WHEN x = '' AND y = '' THEN 1.0 WHEN x = '' OR y = '' THEN 0.0 ELSE least(1.0, greatest(0.0, coalesce(ab / sqrt(aa * bb), 0.0))) END, 6) AS score FROM n""",
         "rouge_l_pairs": rouge_pairs_sql(),
         "by_source_consolidation": by_source_sql(),
         "consolidation_report": consolidation_report_sql(),

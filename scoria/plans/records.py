@@ -467,6 +467,14 @@ def semantic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("vec_id", F.round(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))), 4).alias("score"))
 
 
+def semantic_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The semantic score of each record's name and the run's next record's, by the stand-in backend, clamped and field by field as scores are."""
+    r = table(spark, sf_dir, "records").select("seq", "run_id", F.col("Name").alias("x"))
+    pairs = r.withColumn("y", F.lead("x").over(Window.partitionBy("run_id").orderBy("seq")))
+    scored = sim.score_pairs(pairs, "x", "y", lambda a, b: sim.semantic_score(a, b, "token_cosine"))
+    return scored.select("seq", F.round("score", 6).alias("score"))
+
+
 def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most expensive items per return flag: a top-k report."""
     order = [F.desc("l_extendedprice"), *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))]
@@ -519,7 +527,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     dedup_first_seen, merge_backfill, merge_groups, severity_max, base_instances_join, pair_completeness, url_ports, consolidation_report, scanner_detection, merged_audit, by_source_consolidation, match_wildcard, match_exact, match_fuzzy,
     match_fuzzy_names, match_token_sort, assign_one_to_one, anti_absent, link_mapping, link_models, link_scores, link_field_stats, link_summary, removed_audit, rouge_l_pairs, score_bands, column_stats, multiset_prf, multiset_surplus, severity_pivot, source_pivot,
     heatmap, run_spread, run_mean_std, category_share, run_times, dataset_sort_id, export_cells, dataset_rows, severity_metadata, summary_lines, report_address, plan_resume, plan_unpaired, latest_ledger, model_of_file,
-    first_existing_file, semantic_score, topk_per_group, stream_windows, stream_distinct, stream_windows_live, stream_distinct_live, category_counts_by_source,
+    first_existing_file, semantic_score, semantic_text_scores, topk_per_group, stream_windows, stream_distinct, stream_windows_live, stream_distinct_live, category_counts_by_source,
 )
 
 

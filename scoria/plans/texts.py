@@ -49,6 +49,13 @@ def field_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "records").select("seq", F.md5(t.normalize_list(F.col("description"))).alias("text_md5"))
 
 
+def listlike_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References as a workbook's cell has them, a list written out, read and normalised."""
+    written = F.concat(F.lit("['"), F.array_join("references", "', '"), F.lit("']"))
+    cell = F.when(F.size("references") > 0, written).when(F.size("references") == 0, "[]")
+    return table(spark, sf_dir, "records").select("seq", t.normalize_listlike(cell).alias("text"))
+
+
 def composite_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = table(spark, sf_dir, "records").select("Name", "port", "protocol", "severity", "plugin")
     keys = frame.select(t.composite_key("openvas", frame.columns).alias("openvas_key"), t.composite_key("tenable", frame.columns).alias("tenable_key"))
@@ -160,7 +167,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    flagship, line_explode_filter, layout_clean, nfkc_sanitize, page_stitch, name_normalize, field_normalize, composite_keys, cve_first_reference, severity_forms, name_parsers, ellipsis_and_clock,
+    flagship, line_explode_filter, layout_clean, nfkc_sanitize, page_stitch, name_normalize, field_normalize, listlike_normalize, composite_keys, cve_first_reference, severity_forms, name_parsers, ellipsis_and_clock,
     block_gaps_islands, block_severity_buckets, block_whole, context_last_header, summary_body_split, summary_body_split_tenable, host_addresses, chunk_token_windows, chunk_marker_packing, chunk_both_cuts, pattern_detect, chunk_quality, prompt_build,
 )
 
