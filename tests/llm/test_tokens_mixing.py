@@ -103,12 +103,12 @@ def test_mixing_edges(spark):
 def test_inclusion_follows_weights(spark):
     """Over many seeds documents are drawn as often as their weights say, and dues above the cap stay at it."""
     rng = random.Random(4)
-    docs = [(i, "a", rng.choice([5, 10, 20, 40, 400])) for i in range(120)]
+    docs = [(i, "a", rng.choice([5, 10, 20, 40, 400])) for i in range(300)]
     frame = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint").withColumn("weight", F.col("n_tokens"))
     targets = spark.createDataFrame([("a", 1.0, 2)], TARGETS)
     total = 0.5 * sum(n for _, _, n in docs)
     copies: dict = {}
-    seeds = 40
+    seeds = 16
     for seed in range(seeds):
         rows = mixing.mix_sources(frame, targets, total=total, seed=seed)[0].collect()
         tokens = sum(r.copies * r.n_tokens for r in rows)
