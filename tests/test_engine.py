@@ -235,8 +235,8 @@ def test_profiles_and_ids(spark, tmp_path):
     import uuid
 
     assert row[0].u == row[1].u != row[2].u and uuid.UUID(row[0].u).version == 5
-    paths = spark.createDataFrame([("res/OpenVAS_bWAPP/gpt4/run1/x.json",), ("res/other/gpt4/run1/x.json",), ("x.json",)], "p string").select(*(c.alias(n) for n, c in zip("sb", t.folder_parts(F.col("p"))))).collect()
-    assert [tuple(r) for r in paths] == [("openvas", "bwapp"), ("other", "other"), ("unknown", "unknown")]
+    paths = spark.createDataFrame([("res/OpenVAS_someApp/gpt4/run1/x.json",), ("res/other/gpt4/run1/x.json",), ("x.json",)], "p string").select(*(c.alias(n) for n, c in zip("sb", t.folder_parts(F.col("p"))))).collect()
+    assert [tuple(r) for r in paths] == [("openvas", "someapp"), ("other", "other"), ("unknown", "unknown")]
 
 
 def test_scored_once_for_equal_pairs(spark):
