@@ -53,8 +53,17 @@ def field_scores(links: DataFrame, extraction: DataFrame, baseline: DataFrame, f
     return linked.unionByName(unlinked)
 
 
+#: Fixed value: decimals of a mean score. Doubles added up in another order differ below them, different means of common words above.
+MEAN_DECIMALS = 14
+
+
+def mean_score() -> Column:
+    """Mean of ``score``, the same in whatever order rows arrive, so that a mean on a band's edge isn't now and then above it."""
+    return F.round(F.avg("score"), MEAN_DECIMALS).alias("mean_score")
+
+
 def row_means(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("ext_seq", "status").agg(F.avg("score").alias("mean_score"))
+    return scores.groupBy("ext_seq", "status").agg(mean_score())
 
 
 #: What a category row is.
@@ -66,7 +75,7 @@ def categorize(links: DataFrame, scores: DataFrame, inventions: bool = True) ->
 
     ``type`` parts unlinked rows into those whose counterpart was used up and those without one.
     """
-    means = scores.groupBy("ext_seq").agg(F.avg("score").alias("mean_score"))
+    means = scores.groupBy("ext_seq").agg(mean_score())
     joined = links.join(means, "ext_seq", "left")
     absent, unlinked = F.col("status") == "ABSENT", F.col("base_seq").isNull()
     category = F.when(absent, "Absent").when(unlinked, "Non-existent").otherwise(band(F.col("mean_score")))
