@@ -36,3 +36,8 @@ def tables(spark, tmp_path_factory):
 def test_link_scores(spark, tables):
     got = plans.link_scores(spark, tables).collect()
     assert [(r.ext_seq, r.base_seq, r.mean_score, r.category) for r in sorted(got)] == [(i, i + 1000, 0.6, "Slightly Similar") for i in range(24)]
+
+
+def test_link_summary(spark, tables):
+    r = plans.link_summary(spark, tables).first()
+    assert (r.total, r.matched, r.highly_similar, r.moderately_similar, r.slightly_similar, r.divergent, r.overall_mean) == (24, 24, 0, 0, 24, 0, 0.6)
