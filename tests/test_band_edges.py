@@ -41,3 +41,8 @@ def test_link_scores(spark, tables):
 def test_link_summary(spark, tables):
     r = plans.link_summary(spark, tables).first()
     assert (r.total, r.matched, r.highly_similar, r.moderately_similar, r.slightly_similar, r.divergent, r.overall_mean) == (24, 24, 0, 0, 24, 0, 0.6)
+
+
+def test_category_counts_by_source(spark, tables):
+    got = {r.source: (r.highly_similar, r.moderately_similar, r.slightly_similar, r.divergent) for r in plans.category_counts_by_source(spark, tables).collect()}
+    assert got == dict.fromkeys(SOURCES, (0, 0, 8, 0))
