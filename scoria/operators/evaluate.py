@@ -47,7 +47,8 @@ def field_scores(links: DataFrame, extraction: DataFrame, baseline: DataFrame, f
     rows = links.filter("ext_seq IS NOT NULL").alias("l")
     joined = rows.join(extraction.alias("e"), F.col("l.ext_seq") == F.col("e.seq")).join(baseline.alias("b"), F.col("l.base_seq") == F.col("b.seq"), "left")
     pairs = F.array(*(F.struct(F.lit(c).alias("field"), comparable(extraction, c, "e").alias("x"), comparable(baseline, c, "b").alias("y")) for c in fields))
-    each = joined.select("ext_seq", "base_seq", "status", F.explode(pairs).alias("p")).select("ext_seq", "base_seq", "status", "p.*")
+    # the texts are read several times, and made once
+    each = cut_lineage(joined.select("ext_seq", "base_seq", "status", F.explode(pairs).alias("p")).select("ext_seq", "base_seq", "status", "p.*"))
     unlinked = each.filter("base_seq IS NULL").select("ext_seq", "base_seq", "status", "field", F.lit(0.0).alias("score"))
     linked = score_pairs(each.filter("base_seq IS NOT NULL"), "x", "y", score, "score", equal).select("ext_seq", "base_seq", "status", "field", "score")
     return linked.unionByName(unlinked)

@@ -8,8 +8,9 @@ assignment gives, without a loop over rows.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -112,6 +113,20 @@ def _least_shared(length: Column, least: float) -> Column:
     return F.ceil(length * (2.0 * (1.5 * least - 1.0) / (2.0 - least)) - 1.0 - 1e-9).cast("int")
 
 
+#: Characters whose numbers in two texts are compared before the texts are: 32 kinds, each counted up to 8, in 4 numbers of 64 bits.
+KINDS = (*(f"{c}{c.upper()}" for c in "abcdefghijklmnopqrstuvwxyz"), "0123456789", " ", "-_", ".,", "/:", "()")
+
+
+def _bags(text: Column) -> dict[str, Column]:
+    """How many characters of each of the KINDS a text has, as so many bits, 8 for each kind."""
+    def bits(kind: str) -> Column:
+        n = F.length(text) - F.length(F.translate(text, kind, ""))
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(n, F.lit(8))) - 1
+
+    words = [[F.shiftleft(bits(kind), 8 * i) for i, kind in enumerate(KINDS[w : w + 8])] for w in range(0, len(KINDS), 8)]
+    return {f"__bag{i}": reduce(Column.bitwiseOR, word) for i, word in enumerate(words)}
+
+
 def fuzzy_names(names: DataFrame, candidates: DataFrame, least: float = LEAST_LIKENESS, block: str | None = None, likeness: Callable[[Column, Column], Column] = indel_ratio, form: Callable[[Column], Column] | None = None) -> DataFrame:
     """Per name (``name``) the most alike candidate (``candidate``, ``rank``): ``name``, ``candidate``, ``score``; ties to the lower rank.
 
@@ -119,8 +134,9 @@ def fuzzy_names(names: DataFrame, candidates: DataFrame, least: float = LEAST_LI
     the same block are compared. No pair that is as alike as ``least`` is missed, and not all pairs are made: a text's pairs
     of neighbouring characters are put in order of their rarity, and texts meet by the rarest of them only, as many as it
     takes for two texts so alike to have one in common. Very alike counterparts are sought first, by few and rare ones (see
-    ROUNDS); only names without any go on. Short texts, of which nothing is sure, meet by single characters. Both sides are
-    distinct names; empty names have no counterpart.
+    ROUNDS); only names without any go on. Short texts, of which nothing is sure, meet by single characters. Texts that meet
+    are compared only if the numbers of their characters (see KINDS) differ by no more than the edits between texts so alike.
+    Both sides are distinct names; empty names have no counterpart.
     """
     by = [block] if block else []
     form = form or (lambda c: c)
@@ -133,7 +149,7 @@ def fuzzy_names(names: DataFrame, candidates: DataFrame, least: float = LEAST_LI
     tokens = F.transform(F.array_sort(F.collect_list(F.when(F.col("__token").isNotNull(), F.struct("__n", "__token")))), lambda s: s["__token"])
     # each text with its tokens, the rarest first
     ordered = each.join(rarity, [*by, "__token"], "left").groupBy(*every.columns).agg(tokens.alias("__tokens")).withColumn("__length", F.length("__text"))
-    ordered = cut_lineage(ordered)
+    ordered = cut_lineage(ordered.withColumns(_bags(F.col("__text"))))
     a = ordered.filter("__side = 0").drop("__side", "rank")
     b = ordered.filter("__side = 1").drop("__side").withColumnRenamed("name", "candidate")
     found = None
@@ -158,15 +174,20 @@ def _most_alike(a: DataFrame, b: DataFrame, least: float, by: list[str], likenes
         letters = F.when(F.col("__length") <= partner, F.array_distinct(F.split("__text", ""))).otherwise(F.array().cast("array<string>"))
         return df.select(*df.columns, F.explode(F.concat(rare, letters)).alias("__key")).drop("__tokens")
 
-    x = keys(a).withColumnRenamed("__text", "__x").withColumnRenamed("__length", "__lx")
-    y = keys(b).withColumnRenamed("__text", "__y").withColumnRenamed("__length", "__ly")
+    bags = [c for c in a.columns if c.startswith("__bag")]
+    x = keys(a).withColumnsRenamed({"__text": "__x", "__length": "__lx", **{c: f"{c}x" for c in bags}})
+    y = keys(b).withColumnsRenamed({"__text": "__y", "__length": "__ly", **{c: f"{c}y" for c in bags}})
     # the ratio is at most 2 * min / (both lengths); single characters count for short texts only
     near = 2.0 * F.least("__lx", "__ly") >= least * (F.col("__lx") + F.col("__ly")) - 1e-9
     useful = (F.length("__key") > 1) | (F.least("__lx", "__ly") <= longest)
+    # each edit changes the number of one character by one
+    edits = reduce(Column.__add__, (F.bit_count(F.col(f"{c}x").bitwiseXOR(F.col(f"{c}y"))) for c in bags))
+    near = near & (edits <= (1.0 - least) * (F.col("__lx") + F.col("__ly")) + 1e-6)
     pairs = x.join(y, [*by, "__key"]).filter(near & useful).select("name", *by, "candidate", "rank", "__x", "__y").distinct()
-    scored = pairs.withColumn("score", likeness(F.col("__x"), F.col("__y"))).filter(F.col("score") >= least)
+    scored = pairs.withColumn("score", likeness(F.col("__x"), F.col("__y")))
+    # a filter of pairs by their score would be moved before distinct and score each pair as often as it meets, and then again
     best = F.max_by(F.struct("candidate", "score"), F.struct(F.col("score"), (-F.col("rank")).alias("r")))
-    return scored.groupBy("name", *by).agg(best.alias("b")).select("name", "b.candidate", *by, "b.score")
+    return scored.groupBy("name", *by).agg(best.alias("b")).select("name", "b.candidate", *by, "b.score").filter(F.col("score") >= least)
 
 
 def resolve(extraction: DataFrame, baseline: DataFrame, least: float = LEAST_LIKENESS) -> DataFrame:
@@ -203,16 +224,14 @@ def assign_by_key(extraction: DataFrame, baseline: DataFrame, left: str = "match
     return e.join(b, ["k", "n"], "left").select("ext_seq", "base_seq")
 
 
-def _take_in_order(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """One name's rows: each takes the first free row with its port and protocol, else with one of them, else any.
+def _take_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows name by name, each name's free rows (not ``asks``) first: a row takes the first free one with its port and protocol, else with one of them, else any.
 
     Free rows wait in one queue for each of these, in their order; what was taken from another queue is passed over, so the
-    work follows the rows of both sides together.
+    work follows the rows of both sides together, however many names there are.
     """
+    of = None
     queues: dict[tuple, deque] = {}
-    for seq, port, protocol in sorted(zip(right["base_seq"], right["port"], right["protocol"])):
-        for q in ((port, protocol), ("port", port, 0), ("protocol", protocol, 0), ()):
-            queues.setdefault(q, deque()).append(seq)
     taken: set[int] = set()
 
     def first(q: tuple) -> int | None:
@@ -221,18 +240,27 @@ def _take_in_order(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.Da
             waiting.popleft()
         return waiting[0] if waiting else None
 
-    out = []
-    for seq, port, protocol in sorted(zip(left["ext_seq"], left["port"], left["protocol"])):
-        got = first((port, protocol)) if port and protocol else None
-        if got is None:
-            ones = [first(q) for q, said in ((("port", port, 0), port), (("protocol", protocol, 0), protocol)) if said]
-            got = min((x for x in ones if x is not None), default=None)
-        if got is None:
-            got = first(())
-        if got is not None:
-            taken.add(got)
-        out.append((seq, got))
-    return pd.DataFrame(out, columns=["ext_seq", "base_seq"]).astype({"base_seq": "Int64"})
+    for batch in batches:
+        out = []
+        for name, asks, seq, port, protocol in zip(batch["name"], batch["asks"], batch["seq"], batch["port"], batch["protocol"]):
+            if name != of:
+                of = name
+                queues.clear()
+                taken.clear()
+            if not asks:
+                for q in ((port, protocol), ("port", port, 0), ("protocol", protocol, 0), ()):
+                    queues.setdefault(q, deque()).append(seq)
+                continue
+            got = first((port, protocol)) if port and protocol else None
+            if got is None:
+                ones = [first(q) for q, said in ((("port", port, 0), port), (("protocol", protocol, 0), protocol)) if said]
+                got = min((x for x in ones if x is not None), default=None)
+            if got is None:
+                got = first(())
+            if got is not None:
+                taken.add(got)
+            out.append((seq, got))
+        yield pd.DataFrame(out, columns=["ext_seq", "base_seq"]).astype({"ext_seq": "int64", "base_seq": "Int64"})
 
 
 def _best_by(rate: Callable[[dict, dict], float]) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
@@ -277,8 +305,11 @@ def assign_fallback(rows: DataFrame, free: DataFrame, score: Callable[[dict, dic
         return df.select("name", F.trim(F.coalesce("port", F.lit(""))).alias("port"), F.lower(F.trim(F.coalesce("protocol", F.lit("")))).alias("protocol"), F.col(seq), *fields)
 
     ship_package(rows.sparkSession)
-    take = _best_by(score) if score else _take_in_order
-    return tidy(rows, "ext_seq").groupBy("name").cogroup(tidy(free, "base_seq").groupBy("name")).applyInPandas(take, "ext_seq bigint, base_seq bigint")
+    rows, free, out = tidy(rows, "ext_seq"), tidy(free, "base_seq"), "ext_seq bigint, base_seq bigint"
+    if score:
+        return rows.groupBy("name").cogroup(free.groupBy("name")).applyInPandas(_best_by(score), out)
+    both = free.withColumnRenamed("base_seq", "seq").withColumn("asks", F.lit(False)).unionByName(rows.withColumnRenamed("ext_seq", "seq").withColumn("asks", F.lit(True)))
+    return both.repartition("name").sortWithinPartitions("name", "asks", "seq").mapInPandas(_take_in_order, out)
 
 
 @dataclass(frozen=True)
