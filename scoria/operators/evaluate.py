@@ -43,15 +43,24 @@ def field_scores(links: DataFrame, extraction: DataFrame, baseline: DataFrame, f
 
     The fields' texts are put side by side in rows first, so one vectorised call scores all fields, each different pair of
     texts once. ``equal``: what equal texts score, where the score says so of all (null: they are scored like others).
+    Unlinked rows need no texts, nor do equal values if equal texts score 1, as two empty ones do.
     """
-    rows = links.filter("ext_seq IS NOT NULL").alias("l")
-    joined = rows.join(extraction.alias("e"), F.col("l.ext_seq") == F.col("e.seq")).join(baseline.alias("b"), F.col("l.base_seq") == F.col("b.seq"), "left")
-    pairs = F.array(*(F.struct(F.lit(c).alias("field"), comparable(extraction, c, "e").alias("x"), comparable(baseline, c, "b").alias("y")) for c in fields))
+    rows = links.filter("ext_seq IS NOT NULL AND base_seq IS NOT NULL").alias("l")
+    joined = rows.join(extraction.alias("e"), F.col("l.ext_seq") == F.col("e.seq")).join(baseline.alias("b"), F.col("l.base_seq") == F.col("b.seq"))
+    pairs = []
+    for c in fields:
+        kinds = {dict(side.dtypes)[c] for side in (extraction, baseline)}
+        comparable_as_is = equal == 1.0 and len(kinds) == 1 and "map<" not in kinds.pop()
+        same = F.col(f"e.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) if comparable_as_is else F.lit(False)
+        x, y = (F.when(~same, comparable(side, c, name)) for side, name in ((extraction, "e"), (baseline, "b")))
+        pairs.append(F.struct(F.lit(c).alias("field"), same.alias("same"), x.alias("x"), y.alias("y")))
     # the texts are read several times, and made once
-    each = cut_lineage(joined.select("ext_seq", "base_seq", "status", F.explode(pairs).alias("p")).select("ext_seq", "base_seq", "status", "p.*"))
-    unlinked = each.filter("base_seq IS NULL").select("ext_seq", "base_seq", "status", "field", F.lit(0.0).alias("score"))
-    linked = score_pairs(each.filter("base_seq IS NOT NULL"), "x", "y", score, "score", equal).select("ext_seq", "base_seq", "status", "field", "score")
-    return linked.unionByName(unlinked)
+    each = cut_lineage(joined.select("ext_seq", "base_seq", "status", F.explode(F.array(*pairs)).alias("p")).select("ext_seq", "base_seq", "status", "p.*"))
+    out = ("ext_seq", "base_seq", "status", "field", "score")
+    unlinked = links.filter("ext_seq IS NOT NULL AND base_seq IS NULL").select("ext_seq", "base_seq", "status", F.explode(F.array(*map(F.lit, fields))).alias("field"), F.lit(0.0).alias("score"))
+    alike = each.filter("same").withColumn("score", F.lit(1.0)).select(*out)
+    scored = score_pairs(each.filter("NOT same"), "x", "y", score, "score", equal).select(*out)
+    return scored.unionByName(alike).unionByName(unlinked)
 
 
 #: Fixed value: decimals of a mean score. Doubles added up in another order differ below them, different means of common words above.

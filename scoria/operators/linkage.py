@@ -78,10 +78,10 @@ def wildcard_matches(extraction: DataFrame, baseline: DataFrame) -> DataFrame:
     """All pairs of distinct keys that agree where neither has a *: ``ext_key``, ``base_key``, ``base_seq``, ``score``.
 
     Joined on the number of parts and the first part; keys that begin with * are joined on the number of parts alone - on
-    their few distinct keys only.
+    their few distinct keys only. The distinct keys of either side are read for each of these joins, and found once.
     """
-    e = extraction.select(F.col("key").alias("ext_key")).distinct().withColumn("ep", _parts(F.col("ext_key"))).withColumn("n", F.size("ep")).withColumn("head", F.get("ep", F.lit(0)))
-    b = baseline.groupBy(F.col("key").alias("base_key")).agg(F.min("seq").alias("base_seq")).withColumn("bp", _parts(F.col("base_key"))).withColumn("n", F.size("bp")).withColumn("head", F.get("bp", F.lit(0)))
+    e = cut_lineage(extraction.select(F.col("key").alias("ext_key")).distinct()).withColumn("ep", _parts(F.col("ext_key"))).withColumn("n", F.size("ep")).withColumn("head", F.get("ep", F.lit(0)))
+    b = cut_lineage(baseline.groupBy(F.col("key").alias("base_key")).agg(F.min("seq").alias("base_seq"))).withColumn("bp", _parts(F.col("base_key"))).withColumn("n", F.size("bp")).withColumn("head", F.get("bp", F.lit(0)))
     agree = F.forall(F.zip_with("ep", "bp", lambda x, y: (x == y) | (x == "*") | (y == "*")), lambda x: x)
     out = ["ext_key", "base_key", "base_seq", parts_score(F.col("ep"), F.col("bp")).alias("score")]
     same = e.join(b, ["n", "head"]).filter(agree).select(*out)
@@ -97,11 +97,12 @@ def best_wildcard(extraction: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def _tokens(df: DataFrame) -> DataFrame:
-    """Explodes ``__text`` to ``__token``: its pairs of neighbouring characters, each with its number among equal ones, so that they are a set."""
+    """Explodes ``__text`` to ``__token``: its pairs of neighbouring characters, each with its number among equal ones, so that they are a set. The other columns stay."""
     text = F.col("__text")
     pairs = F.when(F.length(text) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, 2)))
-    each = df.select(*df.columns, F.explode_outer(pairs).alias("__pair")).groupBy(*df.columns, "__pair").agg(F.count(F.lit(1)).alias("__times"))
-    return each.select(*df.columns, F.explode(F.sequence(F.lit(1), "__times")).alias("__i"), "__pair").select(*df.columns, F.concat("__pair", F.col("__i").cast("string")).alias("__token"))
+    kept = [c for c in df.columns if c != "__text"]
+    each = df.select(*kept, F.explode_outer(pairs).alias("__pair")).groupBy(*kept, "__pair").agg(F.count(F.lit(1)).alias("__times"))
+    return each.select(*kept, F.explode(F.sequence(F.lit(1), "__times")).alias("__i"), "__pair").select(*kept, F.concat("__pair", F.col("__i").cast("string")).alias("__token"))
 
 
 def _least_shared(length: Column, least: float) -> Column:
@@ -142,14 +143,14 @@ def fuzzy_names(names: DataFrame, candidates: DataFrame, least: float = LEAST_LI
     form = form or (lambda c: c)
     a = names.select(F.lit(0).alias("__side"), "name", F.lit(None).cast(candidates.schema["rank"].dataType).alias("rank"), *by).distinct()
     b = candidates.groupBy(F.lit(1).alias("__side"), "name", *by).agg(F.min("rank").alias("rank")).select("__side", "name", "rank", *by)
-    # both sides are read several times
-    every = cut_lineage(a.unionByName(b).filter("name <> ''").withColumn("__text", form(F.col("name"))))
-    each = _tokens(every)
+    # both sides are read several times; from here to the scores texts go by their number
+    every = cut_lineage(a.unionByName(b).filter("name <> ''").withColumn("__text", form(F.col("name"))).withColumn("__id", F.monotonically_increasing_id()))
+    each = _tokens(every.select("__id", *by, "__text"))
     rarity = each.filter("__token IS NOT NULL").groupBy(*by, "__token").agg(F.count(F.lit(1)).alias("__n"))
     tokens = F.transform(F.array_sort(F.collect_list(F.when(F.col("__token").isNotNull(), F.struct("__n", "__token")))), lambda s: s["__token"])
     # each text with its tokens, the rarest first
-    ordered = each.join(rarity, [*by, "__token"], "left").groupBy(*every.columns).agg(tokens.alias("__tokens")).withColumn("__length", F.length("__text"))
-    ordered = cut_lineage(ordered.withColumns(_bags(F.col("__text"))))
+    ordered = each.join(rarity, [*by, "__token"], "left").groupBy("__id").agg(tokens.alias("__tokens"))
+    ordered = cut_lineage(every.join(ordered, "__id").withColumn("__length", F.length("__text")).withColumns(_bags(F.col("__text"))))
     a = ordered.filter("__side = 0").drop("__side", "rank")
     b = ordered.filter("__side = 1").drop("__side").withColumnRenamed("name", "candidate")
     found = None
@@ -172,18 +173,20 @@ def _most_alike(a: DataFrame, b: DataFrame, least: float, by: list[str], likenes
         size = F.size("__tokens")
         rare = F.slice("__tokens", 1, F.greatest(size - F.greatest(_least_shared(F.col("__length"), least), F.lit(1)) + 1, F.lit(0)))
         letters = F.when(F.col("__length") <= partner, F.array_distinct(F.split("__text", ""))).otherwise(F.array().cast("array<string>"))
-        return df.select(*df.columns, F.explode(F.concat(rare, letters)).alias("__key")).drop("__tokens")
+        return df.select("__id", *by, "__length", *bags, F.explode(F.concat(rare, letters)).alias("__key"))
 
     bags = [c for c in a.columns if c.startswith("__bag")]
-    x = keys(a).withColumnsRenamed({"__text": "__x", "__length": "__lx", **{c: f"{c}x" for c in bags}})
-    y = keys(b).withColumnsRenamed({"__text": "__y", "__length": "__ly", **{c: f"{c}y" for c in bags}})
+    x = keys(a).withColumnsRenamed({"__id": "__idx", "__length": "__lx", **{c: f"{c}x" for c in bags}})
+    y = keys(b).withColumnsRenamed({"__id": "__idy", "__length": "__ly", **{c: f"{c}y" for c in bags}})
     # the ratio is at most 2 * min / (both lengths); single characters count for short texts only
     near = 2.0 * F.least("__lx", "__ly") >= least * (F.col("__lx") + F.col("__ly")) - 1e-9
     useful = (F.length("__key") > 1) | (F.least("__lx", "__ly") <= longest)
     # each edit changes the number of one character by one
     edits = reduce(Column.__add__, (F.bit_count(F.col(f"{c}x").bitwiseXOR(F.col(f"{c}y"))) for c in bags))
     near = near & (edits <= (1.0 - least) * (F.col("__lx") + F.col("__ly")) + 1e-6)
-    pairs = x.join(y, [*by, "__key"]).filter(near & useful).select("name", *by, "candidate", "rank", "__x", "__y").distinct()
+    met = x.join(y, [*by, "__key"]).filter(near & useful).select("__idx", "__idy").distinct()
+    pairs = met.join(a.select(F.col("__id").alias("__idx"), "name", *by, F.col("__text").alias("__x")), "__idx")
+    pairs = pairs.join(b.select(F.col("__id").alias("__idy"), "candidate", "rank", F.col("__text").alias("__y")), "__idy")
     scored = pairs.withColumn("score", likeness(F.col("__x"), F.col("__y")))
     # a filter of pairs by their score would be moved before distinct and score each pair as often as it meets, and then again
     best = F.max_by(F.struct("candidate", "score"), F.struct(F.col("score"), (-F.col("rank")).alias("r")))
@@ -201,11 +204,13 @@ def resolve(extraction: DataFrame, baseline: DataFrame, least: float = LEAST_LIK
     names = baseline.groupBy("name_norm").agg(F.min("seq").alias("rank"))
     base_of_key = baseline.groupBy(F.col("key").alias("base_key")).agg(F.max_by("name_norm", "seq").alias("key_name"))
     keyed = extraction.join(best.join(base_of_key, "base_key"), extraction["key"] == best["ext_key"], "left").drop("ext_key")
-    keyed = keyed.join(names.select("name_norm", F.lit(True).alias("exact")), "name_norm", "left")
+    # the search for alike names and what follows it read these rows
+    keyed = cut_lineage(keyed.join(names.select("name_norm", F.lit(True).alias("exact")), "name_norm", "left").select(*extraction.columns, "base_key", "key_name", "exact"))
     rest = keyed.filter("exact IS NULL AND name_norm <> ''").select(F.col("name_norm").alias("name"))
     alike = fuzzy_names(rest, names.select(F.col("name_norm").alias("name"), "rank"), least).select(F.col("name").alias("__alike_name"), "candidate")
     own = keyed.join(alike, keyed["name_norm"] == alike["__alike_name"], "left").drop("__alike_name")
     own = own.withColumn("own_name", F.when(F.col("base_key").isNotNull(), F.col("key_name")).when(F.col("exact"), F.col("name_norm")).otherwise(F.col("candidate")))
+    own = cut_lineage(own.select(*extraction.columns, "base_key", "exact", "own_name"))
     last = own.groupBy(F.col("name_norm").alias("__name")).agg(F.max_by("own_name", "seq").alias("match_name"))
     scored = last.withColumn("match_score", F.coalesce(indel_ratio(F.col("__name"), F.col("match_name")), F.lit(0.0)))
     out = own.join(scored, own["name_norm"] == scored["__name"], "left")
@@ -217,11 +222,11 @@ def assign_by_key(extraction: DataFrame, baseline: DataFrame, left: str = "match
     """The k-th extraction row of a key with the k-th baseline row of that key: ``ext_seq``, ``base_seq`` (null: more rows than the baseline has)."""
     e = extraction.filter(F.col(left).isNotNull()).select(F.col(left).alias("k"), F.col("seq").alias("ext_seq"))
     b = baseline.select(F.col(right).alias("k"), F.col("seq").alias("base_seq"))
-    # both sides are put in order at once
+    # both sides are put in order at once, and the k-th rows of both meet in one group
     both = e.select("k", F.lit(0).alias("side"), F.col("ext_seq").alias("s")).unionByName(b.select("k", F.lit(1).alias("side"), F.col("base_seq").alias("s")))
     placed = place_within(both, ["k", "side"], ["s"], "n")
-    e, b = placed.filter("side = 0").select("k", "n", F.col("s").alias("ext_seq")), placed.filter("side = 1").select("k", "n", F.col("s").alias("base_seq"))
-    return e.join(b, ["k", "n"], "left").select("ext_seq", "base_seq")
+    ext_seq, base_seq = (F.max(F.when(F.col("side") == side, F.col("s"))) for side in (0, 1))
+    return placed.groupBy("k", "n").agg(ext_seq.alias("ext_seq"), base_seq.alias("base_seq")).filter("ext_seq IS NOT NULL").select("ext_seq", "base_seq")
 
 
 def _take_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -321,10 +326,11 @@ class Linkage:
     baseline: DataFrame
 
 
-def link_steps(extraction: DataFrame, baseline: DataFrame, scanner: str | None = None, allow_duplicates: bool = False, ports: bool = True, score: Callable[[dict, dict], float] | None = None, fields: tuple[str, ...] = ()) -> Linkage:
+def link_steps(extraction: DataFrame, baseline: DataFrame, scanner: str | None = None, allow_duplicates: bool = False, ports: bool = True, score: Callable[[dict, dict], float] | None = None, fields: tuple[str, ...] = (), along: tuple[str, ...] = ()) -> Linkage:
     """The whole linkage: each extraction row with its baseline row and status, and baseline rows never used as ABSENT.
 
     ``score`` and ``fields`` (text columns of both sides) decide among baseline rows of one name, see assign_fallback.
+    ``along``: other columns of both sides that ``resolved`` and ``baseline`` shall have.
     """
     scanner = scanner or detect_scanner(extraction)
     shared = [c for c in extraction.columns if c in baseline.columns]
@@ -332,9 +338,10 @@ def link_steps(extraction: DataFrame, baseline: DataFrame, scanner: str | None =
     if not allow_duplicates:
         b = dedup_baseline(b)
     # several steps read what follows: both sides are cut to their narrow columns
-    e, b = (cut_lineage(_column(_column(x, "port"), "protocol").select("seq", "Name", "key", "name_norm", "port", "protocol", *fields)) for x in (e, b))
+    narrow = dict.fromkeys(("seq", "Name", "key", "name_norm", "port", "protocol", *fields, *along))
+    e, b = (cut_lineage(_column(_column(x, "port"), "protocol").select(*narrow)) for x in (e, b))
     resolved = cut_lineage(resolve(e, b))
-    by_key = assign_by_key(resolved, b)
+    by_key = cut_lineage(assign_by_key(resolved, b))
     used = by_key.filter("base_seq IS NOT NULL").select("base_seq")
     free = b.join(used, b["seq"] == used["base_seq"], "left_anti").select(F.col("name_norm").alias("name"), "port", "protocol", F.col("seq").alias("base_seq"), *fields)
     rest = resolved.filter("match_key IS NULL AND match_name IS NOT NULL").select(F.col("match_name").alias("name"), "port", "protocol", F.col("seq").alias("ext_seq"), *fields)
@@ -342,7 +349,7 @@ def link_steps(extraction: DataFrame, baseline: DataFrame, scanner: str | None =
     status = F.when(F.col("r.status") == "UNMATCHED", "UNMATCHED").when(F.col("a.base_seq").isNull(), "UNMATCHED_EXCESS").otherwise(F.col("r.status"))
     rows = resolved.alias("r").join(assigned.alias("a"), F.col("r.seq") == F.col("a.ext_seq"), "left").select(F.col("r.seq").alias("ext_seq"), "a.base_seq", status.alias("status"))
     absent = b.select(F.col("seq").alias("base_seq")).join(assigned.filter("base_seq IS NOT NULL").select("base_seq"), "base_seq", "left_anti")
-    links = rows.unionByName(absent.select(F.lit(None).cast("bigint").alias("ext_seq"), "base_seq", F.lit("ABSENT").alias("status")))
+    links = cut_lineage(rows.unionByName(absent.select(F.lit(None).cast("bigint").alias("ext_seq"), "base_seq", F.lit("ABSENT").alias("status"))))
     return Linkage(links, resolved, b)
 
 

@@ -266,8 +266,15 @@ def anti_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.without_key(b, e).select("seq")
 
 
+def _both_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records of the two models that are linked; both are read several times, and the ledger once."""
+    runs = cut_lineage(linkage.latest_runs(table(spark, sf_dir, "run_ledger").select("run_id", "run_at", "status", "llm")).filter(F.col("llm").isin("gpt4", "llama4")).select("run_id", "llm"))
+    records = table(spark, sf_dir, "records")
+    return tuple(records.join(runs.filter(F.col("llm") == llm).select("run_id"), "run_id", "left_semi").select(*(f"`{x}`" for x in FLAT)) for llm in ("gpt4", "llama4"))
+
+
 def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    e, b = _of_model(spark, sf_dir, "gpt4").drop("run_id"), _of_model(spark, sf_dir, "llama4").drop("run_id")
+    e, b = _both_models(spark, sf_dir)
     return linkage.link(e, b, "openvas", True), e, b
 
 
@@ -515,10 +522,11 @@ def stream_distinct_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def category_counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories of the linked extraction per source of its records, absent baseline records under theirs."""
-    links, e, b = _linked(spark, sf_dir)
-    scores = evaluate.field_scores(links, e, b, list(oracles.FIELDS))
-    cats = evaluate.categorize(links, scores)
-    sources = cats.join(e.select(F.col("seq").alias("ext_seq"), F.col("source").alias("__e")), "ext_seq", "left").join(b.select(F.col("seq").alias("base_seq"), F.col("source").alias("__b")), "base_seq", "left")
+    e, b = _both_models(spark, sf_dir)
+    linked = linkage.link_steps(e, b, "openvas", True, along=("source",))
+    cats = evaluate.categorize(linked.links, evaluate.field_scores(linked.links, e, b, list(oracles.FIELDS)))
+    of_e, of_b = linked.resolved.select(F.col("seq").alias("ext_seq"), F.col("source").alias("__e")), linked.baseline.select(F.col("seq").alias("base_seq"), F.col("source").alias("__b"))
+    sources = cats.join(of_e, "ext_seq", "left").join(of_b, "base_seq", "left")
     return evaluate.category_counts(sources.withColumn("source", F.coalesce("__e", "__b")), ["source"])
 
 
