@@ -150,7 +150,8 @@ def fuzzy_names(names: DataFrame, candidates: DataFrame, least: float = LEAST_LI
     tokens = F.transform(F.array_sort(F.collect_list(F.when(F.col("__token").isNotNull(), F.struct("__n", "__token")))), lambda s: s["__token"])
     # each text with its tokens, the rarest first
     ordered = each.join(rarity, [*by, "__token"], "left").groupBy("__id").agg(tokens.alias("__tokens"))
-    ordered = cut_lineage(every.join(ordered, "__id").withColumn("__length", F.length("__text")).withColumns(_bags(F.col("__text"))))
+    # tokens are many times the texts that the optimiser knows the size of: without the hint it may broadcast them
+    ordered = cut_lineage(every.join(ordered.hint("merge"), "__id").withColumn("__length", F.length("__text")).withColumns(_bags(F.col("__text"))))
     a = ordered.filter("__side = 0").drop("__side", "rank")
     b = ordered.filter("__side = 1").drop("__side").withColumnRenamed("name", "candidate")
     found = None
